@@ -15,17 +15,23 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
-SMALL_ROWS = 20_000
+SMALL_ROWS = 200_000
+SMALL_NESTED_ROWS = 10_000
 SMALL_BYTES = 64 << 20
 SALTS = 16
 
 
-def settle(frame: DataFrame, max_rows: int = SMALL_ROWS, max_bytes: int = SMALL_BYTES) -> DataFrame | None:
+def settle(frame: DataFrame, max_rows: int | None = None, max_bytes: int = SMALL_BYTES) -> DataFrame | None:
     """``frame`` as a local table of known size, or None when it is not small.
 
-    At most ``max_rows + 1`` rows reach the driver.
+    At most ``max_rows + 1`` rows reach the driver; frames with arrays or structs,
+    whose rows may be wide, have a lower limit than flat ones.
     """
+    if max_rows is None:
+        nested = any(isinstance(f.dataType, (ArrayType, MapType, StructType)) for f in frame.schema.fields)
+        max_rows = SMALL_NESTED_ROWS if nested else SMALL_ROWS
     table = frame.limit(max_rows + 1).toArrow()
     if table.num_rows > max_rows or table.nbytes > max_bytes:
         return None
@@ -39,7 +45,7 @@ def lookup_join(
     lookup: DataFrame,
     on: list[str],
     how: str = "left",
-    max_rows: int = SMALL_ROWS,
+    max_rows: int | None = None,
     salts: int = SALTS,
 ) -> DataFrame:
     """Join ``facts`` to ``lookup``, whose key ``on`` is unique; a null key matches a null key.
@@ -90,7 +96,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def settled_or_pinned(frame: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
+def settled_or_pinned(frame: DataFrame, max_rows: int | None = None) -> DataFrame:
     """``frame`` computed once: a local table when small, else written to the shared folder."""
     small = settle(frame, max_rows)
     return small if small is not None else pinned(frame)
