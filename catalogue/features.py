@@ -90,15 +90,15 @@ def q_row_index(t: Tables) -> DataFrame:
     return indexing.row_index(rows, ["o_orderpriority", "o_orderkey"]).select("Index", "o_orderkey")
 
 
-_TURN_WORDS = "list_filter(regexp_split_to_array(lower(text), '\\s+'), w -> w <> '')"
+_TURN_WORDS = """
+t AS (SELECT conv_id * 1000 + turn AS turn_id, unnest(regexp_split_to_array(lower(text), '\\s+')) AS term
+      FROM conversations),
+w AS (SELECT * FROM t WHERE term <> ''),
+d AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS term_index FROM (SELECT DISTINCT term FROM w))
+"""
 
 
-@query(
-    f"""
-WITH w AS (SELECT DISTINCT unnest({_TURN_WORDS}) AS term FROM conversations)
-SELECT term, row_number() OVER (ORDER BY term) - 1 AS term_index FROM w
-"""
-)
+@query(f"WITH {_TURN_WORDS} SELECT term, term_index FROM d")
 def q_term_dictionary(t: Tables) -> DataFrame:
     turns = t.conversations.select(words(F.col("text")).alias("tokens"))
     return indexing.term_dictionary(turns, "tokens").select("term", "term_index")
@@ -106,10 +106,8 @@ def q_term_dictionary(t: Tables) -> DataFrame:
 
 @query(
     f"""
-WITH w AS (SELECT conv_id, turn, unnest({_TURN_WORDS}) AS term FROM conversations),
-d AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS term_index FROM (SELECT DISTINCT term FROM w))
-SELECT w.conv_id * 1000 + w.turn AS turn_id, d.term_index, count(*) AS n
-FROM w JOIN d ON d.term = w.term GROUP BY 1, 2
+WITH {_TURN_WORDS}
+SELECT w.turn_id, d.term_index, count(*) AS n FROM w JOIN d ON d.term = w.term GROUP BY 1, 2
 """
 )
 def q_bag_of_words(t: Tables) -> DataFrame:
@@ -122,7 +120,7 @@ def q_bag_of_words(t: Tables) -> DataFrame:
 
 @query(
     f"""
-WITH w AS (SELECT conv_id * 1000 + turn AS turn_id, unnest({_TURN_WORDS}) AS term FROM conversations),
+WITH {_TURN_WORDS},
 c AS (SELECT turn_id, term, count(*) AS n FROM w GROUP BY 1, 2)
 SELECT turn_id, CAST(count(*) AS INTEGER) AS terms, CAST(sum(n) AS DOUBLE) AS tokens, CAST(max(n) AS DOUBLE) AS most
 FROM c GROUP BY turn_id
@@ -146,8 +144,8 @@ def q_bag_of_words_vectors(t: Tables) -> DataFrame:
 @query(
     """
 SELECT word, count(*) AS n
-FROM (SELECT unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), w -> w <> '')) AS word FROM documents)
-GROUP BY word
+FROM (SELECT unnest(regexp_split_to_array(lower(text), '\\s+')) AS word FROM documents)
+WHERE word <> '' GROUP BY word
 """
 )
 def q_word_count(t: Tables) -> DataFrame:

@@ -153,34 +153,22 @@ def q_xbrl_facts(t: Tables) -> DataFrame:
     """One report per order with two periods; its facts as rows with their context and unit."""
     path = scratch_path(t.spark, "xbrl")
     day = F.col("o_orderdate").cast("date")
-    whole = F.floor("o_totalprice").cast("string")
-
-    def context(name: str, start, end, instant):
-        identifier = F.struct(F.col("o_orderkey").cast("string").alias("_VALUE"), F.lit("urn:cvr").alias("_scheme"))
-        period = F.struct(
-            start.cast("string").alias("startDate"), end.cast("string").alias("endDate"), instant.cast("string").alias("instant")
-        )
-        return F.struct(F.lit(name).alias("_id"), F.struct(identifier.alias("identifier")).alias("entity"), period.alias("period"))
-
-    def amount(value, context_ref: str):
-        return F.struct(
-            value.alias("_VALUE"),
-            F.lit(context_ref).alias("_contextRef"),
-            F.lit("INF").alias("_precision"),
-            F.lit("currency").alias("_unitRef"),
-        )
-
-    none = F.lit(None)
-    reports = t.orders.select(
-        F.lit("urn:fsa").alias("_xmlns:fsa"),
-        F.lit("urn:gsd").alias("_xmlns:gsd"),
-        F.array(context("C1", F.date_sub(day, 30), day, none), context("C2", none, none, day)).alias("context"),
-        F.struct(F.lit("currency").alias("_id"), F.lit("iso4217:DKK").alias("measure")).alias("unit"),
-        F.array(amount(whole, "C1"), amount(F.concat(F.lit("-"), whole), "C2")).alias("fsa:ProfitLoss"),
-        F.struct(F.col("o_orderpriority").alias("_VALUE"), F.lit("C1").alias("_contextRef")).alias("gsd:TypeOfReport"),
+    start, end = F.date_sub(day, 30).cast("string"), day.cast("string")
+    key, whole = F.col("o_orderkey").cast("string"), F.floor("o_totalprice").cast("string")
+    entity = '<entity><identifier scheme="urn:cvr">%1$s</identifier></entity>'
+    amount = '<fsa:ProfitLoss contextRef="%s" precision="INF" unitRef="currency">%s</fsa:ProfitLoss>'
+    report = (
+        '<xbrl xmlns="urn:x" xmlns:fsa="urn:fsa" xmlns:gsd="urn:gsd">'
+        f'<context id="C1">{entity}<period><startDate>%2$s</startDate><endDate>%3$s</endDate></period></context>'
+        f'<context id="C2">{entity}<period><instant>%3$s</instant></period></context>'
+        '<unit id="currency"><measure>iso4217:DKK</measure></unit>'
+        + amount % ("C1", "%4$s")
+        + amount % ("C2", "-%4$s")
+        + '<gsd:TypeOfReport contextRef="C1">%5$s</gsd:TypeOfReport></xbrl>'
     )
-    xml.write_xml(reports, path, "xbrl", "reports")
-    facts = xml.xbrl_facts(xml.read_xbrl(t.spark, path, XBRL_SCHEMA))
+    text = F.format_string(report, key, start, end, whole, "o_orderpriority")
+    t.orders.select(text.alias("value")).write.text(path)
+    facts = xml.xbrl_facts(xml.read_xbrl(t.spark, path, XBRL_SCHEMA, one_per_line=True))
     return facts.select(
         "identifier",
         "name",

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+from multiprocessing.pool import ThreadPool
+from typing import Any
+
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, SparkSession
@@ -118,19 +123,27 @@ def wssse(frame: DataFrame, distance: str = "distance", name: str = "wssse") ->
     return frame.agg(F.sum(F.col(quoted(distance)) * F.col(quoted(distance))).alias(name))
 
 
+def _side_by_side(task: Callable[[Any], Any], items: Iterable[Any], parallelism: int) -> list[Any]:
+    """Run a few fits at a time; each is a distributed job, and together they fill the gaps between stages."""
+    with ThreadPool(parallelism) as pool:
+        return pool.map(inheritable_thread_target(task), list(items))
+
+
 def kmeans_scores(
     frame: DataFrame,
     ks: tuple[int, ...] = TRIED_CLUSTERS,
     features: str = "scaledfeatures",
     max_iterations: int = MAX_ITERATIONS,
     seed: int = 42,
+    parallelism: int = 4,
 ) -> DataFrame:
     """Cost on the training rows for each k: ``k, wssse``. The vectors are cached for the fits."""
     vectors = frame.select(F.col(quoted(features)).alias("features")).persist()
-    rows = []
-    for k in ks:
-        model = fit_kmeans(vectors, k, "features", max_iterations, seed)
-        rows.append((k, float(model.summary.trainingCost)))
+
+    def training_cost(k: int) -> tuple[int, float]:
+        return k, float(fit_kmeans(vectors, k, "features", max_iterations, seed).summary.trainingCost)
+
+    rows = _side_by_side(training_cost, ks, parallelism)
     vectors.unpersist()
     return frame.sparkSession.createDataFrame(rows, "k int, wssse double")
 
@@ -143,6 +156,7 @@ def kmeans_cross_scores(
     folds: int = 10,
     max_iterations: int = MAX_ITERATIONS,
     seed: int = 42,
+    parallelism: int = 4,
 ) -> DataFrame:
     """Held-out score of each k: ``k, score``, the mean over folds of minus the cost on the fold.
 
@@ -154,15 +168,16 @@ def kmeans_cross_scores(
     if not isinstance(frame.schema[features].dataType, VectorUDT):
         raise TypeError(f"{features} is not a vector column")
     vectors = frame.select(fold.alias("fold"), vector.alias("features")).persist()
-    rows = []
-    for k in ks:
-        for held_out in range(folds):
-            model = fit_kmeans(vectors.filter(F.col("fold") != held_out), k, "features", max_iterations, seed)
-            centres = centres_frame(frame.sparkSession, model)
-            measured = nearest_centres(vectors.filter(F.col("fold") == held_out), centres, "features")
-            cost = wssse(measured).first()["wssse"]
-            if cost is not None:
-                rows.append((k, held_out, -float(cost)))
+
+    def held_out_cost(task: tuple[int, int]) -> tuple[int, int, float | None]:
+        k, held_out = task
+        model = fit_kmeans(vectors.filter(F.col("fold") != held_out), k, "features", max_iterations, seed)
+        centres = centres_frame(frame.sparkSession, model)
+        measured = nearest_centres(vectors.filter(F.col("fold") == held_out), centres, "features")
+        cost = wssse(measured).first()["wssse"]
+        return k, held_out, None if cost is None else -float(cost)
+
+    rows = _side_by_side(held_out_cost, [(k, f) for k in ks for f in range(folds)], parallelism)
     vectors.unpersist()
     scores = frame.sparkSession.createDataFrame(rows, "k int, fold int, score double")
     return scores.groupBy("k").agg(F.avg("score").alias("score"))

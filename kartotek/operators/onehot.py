@@ -25,6 +25,8 @@ def column_values(frame: DataFrame, columns: list[str], max_width: int = 10_000)
     They become column names, so they must fit on the driver; more than
     ``max_width`` in all is an error, and :func:`onehot_sparse` is the form to use.
     """
+    if not columns:
+        return {}
     pairs = F.array(
         *[F.struct(F.lit(c).alias("column"), F.col(quoted(c)).cast("string").alias("value")) for c in columns]
     )
@@ -83,7 +85,7 @@ def onehot_all(
     counts = frame.groupBy(F.col(quoted(index))).agg(
         *[F.count_if(matches(c, v)).alias(_name(c, v)) for c in columns for v in values[c]]
     )
-    return frame.select(*kept).join(counts, index)
+    return lookup_join(frame.select(*kept), counts, [index], "inner")
 
 
 def onehot_sparse(

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kartotek.operators.indexing import row_index
 from kartotek.operators.nested import quoted
+from kartotek.sizing import settle
 
 
 def sort_desc(frame: DataFrame, value: str, tie: str) -> DataFrame:
@@ -31,8 +33,16 @@ def top_per_group(frame: DataFrame, by: str, value: str, tie: str, k: int = 20,
 def max_step(scores: DataFrame, k_col: str = "k", score_col: str = "score") -> DataFrame:
     """The ``k`` at the right end of the largest rise in score, and the rise; the first one on ties.
 
-    ``scores`` has one row per tried k, so the single window is a handful of rows.
+    A score table is a handful of rows and one window does it. A large one is
+    numbered in order and each row joined to the one before it.
     """
-    ordered = Window.orderBy(k_col)
-    steps = scores.select(k_col, (F.col(score_col) - F.lag(score_col).over(ordered)).alias("step"))
+    columns = scores.select(F.col(k_col), F.col(score_col).alias("__score"))
+    small = settle(columns)
+    if small is not None:
+        ordered = Window.orderBy(k_col)
+        steps = small.select(k_col, (F.col("__score") - F.lag("__score").over(ordered)).alias("step"))
+    else:
+        numbered = row_index(columns, [k_col], "__at")
+        before = numbered.select((F.col("__at") + 1).alias("__at"), F.col("__score").alias("__before"))
+        steps = numbered.join(before, "__at").select(k_col, (F.col("__score") - F.col("__before")).alias("step"))
     return steps.filter(F.col("step").isNotNull()).orderBy(F.desc("step"), k_col).limit(1)

@@ -76,7 +76,8 @@ def fit_logistic_grid(
     The strengths are inverse and meant for a loss summed over rows; Spark's loss is
     a mean, hence a penalty of ``1 / (C * n)`` without standardising.
     """
-    n = frame.count()
+    rows = frame.select(label, features).persist()
+    n = rows.count()
     estimator = LogisticRegression(
         labelCol=label, featuresCol=features, predictionCol=prediction, standardization=False
     )
@@ -90,7 +91,9 @@ def fit_logistic_grid(
         seed=seed,
         parallelism=parallelism,
     )
-    return search.fit(frame)
+    fitted = search.fit(rows)
+    rows.unpersist()
+    return fitted
 
 
 def fit_elastic_net(

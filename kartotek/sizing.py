@@ -13,11 +13,13 @@ import tempfile
 import uuid
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, MapType, StructType
 
-SMALL_ROWS = 200_000
+SMALL_ROWS = 100_000
 SMALL_NESTED_ROWS = 10_000
 SMALL_BYTES = 64 << 20
 SALTS = 16
@@ -26,18 +28,21 @@ SALTS = 16
 def settle(frame: DataFrame, max_rows: int | None = None, max_bytes: int = SMALL_BYTES) -> DataFrame | None:
     """``frame`` as a local table of known size, or None when it is not small.
 
-    At most ``max_rows + 1`` rows reach the driver; frames with arrays or structs,
-    whose rows may be wide, have a lower limit than flat ones.
+    At most ``max_rows + 1`` rows reach the driver, and Spark stops computing result
+    partitions once it has them; frames with arrays or structs, whose rows may be
+    wide, have a lower limit than flat ones.
     """
     if max_rows is None:
         nested = any(isinstance(f.dataType, (ArrayType, MapType, StructType)) for f in frame.schema.fields)
         max_rows = SMALL_NESTED_ROWS if nested else SMALL_ROWS
-    table = frame.limit(max_rows + 1).toArrow()
-    if table.num_rows > max_rows or table.nbytes > max_bytes:
+    rows = frame.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
         return None
-    if table.num_rows == 0:
-        return frame.sparkSession.createDataFrame([], frame.schema)
-    return frame.sparkSession.createDataFrame(table, frame.schema)
+    session, schema = frame.sparkSession, frame.schema
+    if not rows or "timestamp" in schema.simpleString():
+        return session.createDataFrame(rows, schema)
+    table = pa.Table.from_pylist([row.asDict(recursive=True) for row in rows], schema=to_arrow_schema(schema))
+    return session.createDataFrame(table, schema) if table.nbytes <= max_bytes else None
 
 
 def lookup_join(

@@ -13,9 +13,19 @@ BOOK_SCHEMA = (
 XBRL_PARTS = ("context", "unit", "schemaRef")
 
 
-def read_xml(spark: SparkSession, path: str, row_tag: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """One row per ``row_tag`` element; an attribute ``a`` becomes the column ``_a``."""
-    reader = spark.read.format("xml").option("rowTag", row_tag)
+def read_xml(
+    spark: SparkSession,
+    path: str,
+    row_tag: str,
+    schema: T.StructType | str | None = None,
+    one_per_line: bool = False,
+) -> DataFrame:
+    """One row per ``row_tag`` element; an attribute ``a`` becomes the column ``_a``.
+
+    With ``one_per_line`` every line is a document of its own, and big files are
+    read in several splits; otherwise a file is one document and one task reads it.
+    """
+    reader = spark.read.format("xml").option("rowTag", row_tag).option("multiLine", not one_per_line)
     if schema is not None:
         reader = reader.schema(schema)
     return reader.load(path)
@@ -26,9 +36,15 @@ def write_xml(frame: DataFrame, path: str, row_tag: str, root_tag: str) -> None:
     frame.write.mode("overwrite").format("xml").option("rowTag", row_tag).option("rootTag", root_tag).save(path)
 
 
-def read_xbrl(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """One row per ``xbrl`` report with its contexts, units and facts; all leaves are text."""
-    reader = spark.read.format("xml").option("rowTag", "xbrl").option("inferSchema", "false")
+def read_xbrl(
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, one_per_line: bool = False
+) -> DataFrame:
+    """One row per ``xbrl`` report with its contexts, units and facts; all leaves are text.
+
+    A folder of reports has one per file, or one per line with ``one_per_line``.
+    """
+    reader = spark.read.format("xml").option("rowTag", "xbrl").option("inferSchema", False)
+    reader = reader.option("multiLine", not one_per_line)
     if schema is not None:
         reader = reader.schema(schema)
     return reader.load(path)
@@ -50,6 +66,21 @@ def _part(struct_type: T.StructType, value, *path: str):
     return value.cast("string")
 
 
+def _fact_rows(name: str, kind: T.StructType, values):
+    """One fact element's occurrences in a report as an array of a common struct; empty when absent."""
+
+    def fact(value):
+        return F.struct(
+            F.lit(name).alias("name"),
+            _part(kind, value, "_contextRef").alias("contextRef"),
+            _part(kind, value, "_unitRef").alias("unitRef"),
+            _part(kind, value, "_precision").alias("precision"),
+            _part(kind, value, "_VALUE").alias("value"),
+        )
+
+    return F.transform(F.coalesce(values, F.array()), fact)
+
+
 def xbrl_facts(reports: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """One row per fact, with the period and identifier of its context and the measure of its unit.
 
@@ -69,21 +100,9 @@ def xbrl_facts(reports: DataFrame, keep: list[str] | None = None) -> DataFrame:
             continue
         if not isinstance(kind, T.StructType) or "_contextRef" not in kind.names:
             continue
-        facts.append(
-            F.transform(
-                _as_array(reports, field.name),
-                lambda f, kind=kind, name=field.name: F.struct(
-                    F.lit(name).alias("name"),
-                    _part(kind, f, "_contextRef").alias("contextRef"),
-                    _part(kind, f, "_unitRef").alias("unitRef"),
-                    _part(kind, f, "_precision").alias("precision"),
-                    _part(kind, f, "_VALUE").alias("value"),
-                ),
-            )
-        )
+        facts.append(_fact_rows(field.name, kind, _as_array(reports, field.name)))
     if not facts:
         raise ValueError("the reports hold no fact with a contextRef")
-    filled = [F.coalesce(f, F.array().cast("array<struct<name:string,contextRef:string,unitRef:string,precision:string,value:string>>")) for f in facts]
 
     def one_of(part: str):
         names = [n for n in reports.columns if local(n) == part]
@@ -99,7 +118,7 @@ def xbrl_facts(reports: DataFrame, keep: list[str] | None = None) -> DataFrame:
         *[F.col(f"`{c}`") for c in keep],
         contexts.alias("__contexts"),
         units.alias("__units"),
-        F.explode(F.concat(*filled)).alias("__fact"),
+        F.explode(F.concat(*facts)).alias("__fact"),
     )
     context = F.try_element_at(F.filter("__contexts", lambda c: c["_id"] == F.col("__fact.contextRef")), F.lit(1))
     chosen = rows.withColumn("__context", context)
