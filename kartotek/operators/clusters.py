@@ -123,10 +123,12 @@ def wssse(frame: DataFrame, distance: str = "distance", name: str = "wssse") ->
     return frame.agg(F.sum(F.col(quoted(distance)) * F.col(quoted(distance))).alias(name))
 
 
-def _side_by_side(task: Callable[[Any], Any], items: Iterable[Any], parallelism: int) -> list[Any]:
+def _side_by_side(
+    spark: SparkSession, task: Callable[[Any], Any], items: Iterable[Any], parallelism: int
+) -> list[Any]:
     """Run a few fits at a time; each is a distributed job, and together they fill the gaps between stages."""
     with ThreadPool(parallelism) as pool:
-        return pool.map(inheritable_thread_target(task), list(items))
+        return pool.map(inheritable_thread_target(spark)(task), list(items))
 
 
 def kmeans_scores(
@@ -143,7 +145,7 @@ def kmeans_scores(
     def training_cost(k: int) -> tuple[int, float]:
         return k, float(fit_kmeans(vectors, k, "features", max_iterations, seed).summary.trainingCost)
 
-    rows = _side_by_side(training_cost, ks, parallelism)
+    rows = _side_by_side(frame.sparkSession, training_cost, ks, parallelism)
     vectors.unpersist()
     return frame.sparkSession.createDataFrame(rows, "k int, wssse double")
 
@@ -177,7 +179,7 @@ def kmeans_cross_scores(
         cost = wssse(measured).first()["wssse"]
         return k, held_out, None if cost is None else -float(cost)
 
-    rows = _side_by_side(held_out_cost, [(k, f) for k in ks for f in range(folds)], parallelism)
+    rows = _side_by_side(frame.sparkSession, held_out_cost, [(k, f) for k in ks for f in range(folds)], parallelism)
     vectors.unpersist()
     scores = frame.sparkSession.createDataFrame(rows, "k int, fold int, score double")
     return scores.groupBy("k").agg(F.avg("score").alias("score"))

@@ -59,8 +59,9 @@ def value_ranks(frame: DataFrame, columns: list[str]) -> DataFrame:
         within = Window.partitionBy("column").orderBy(F.desc("n"), "value")
         return small.withColumn("rank", (F.row_number().over(within) - 1).cast("long"))
     numbered = row_index(counts, ["column", F.desc("n"), "value"], "at")
-    first = settle(numbered.groupBy("column").agg(F.min("at").alias("first")))
-    return numbered.join(F.broadcast(first), "column").select("column", "value", "n", (F.col("at") - F.col("first")).alias("rank"))
+    first = numbered.groupBy("column").agg(F.min("at").alias("first"))
+    joined = lookup_join(numbered, first, ["column"], "inner")
+    return joined.select("column", "value", "n", (F.col("at") - F.col("first")).alias("rank"))
 
 
 def string_index(

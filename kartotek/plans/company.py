@@ -117,7 +117,7 @@ FEATURE_COLUMNS = (
 
 def companies(envelope: DataFrame) -> DataFrame:
     """The company documents of the dump, as one struct column ``virksomhed``."""
-    return split_by_type(envelope, PAYLOADS)["virksomhed"]
+    return split_by_type(envelope, {"virksomhed": PAYLOADS["virksomhed"]})["virksomhed"]
 
 
 def company_metadata(company_docs: DataFrame, keep_without_contact: bool = False) -> DataFrame:
