@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalogue.registry import Tables, query
 from kartotek.functions.text import words
+from kartotek.functions.vector import vector_entries
 from kartotek.operators import indexing, onehot
 from kartotek.operators import words as bags
 from kartotek.plans import company
@@ -62,8 +62,8 @@ def q_onehot_sparse(t: Tables) -> DataFrame:
         "o_orderkey", F.nullif("o_orderstatus", F.lit("P")).alias("status"), F.col("o_orderpriority").alias("priority")
     )
     vectors, _ = onehot.onehot_sparse(rows, "o_orderkey")
-    ones = vectors.select("o_orderkey", F.posexplode(vector_to_array("onehot")).alias("term_index", "x"))
-    return ones.filter("x = 1").select("o_orderkey", "term_index")
+    ones = vectors.select("o_orderkey", F.explode(vector_entries(F.col("onehot"))).alias("entry"))
+    return ones.select("o_orderkey", F.col("entry.index").alias("term_index"))
 
 
 @query(
@@ -132,7 +132,7 @@ def q_bag_of_words_vectors(t: Tables) -> DataFrame:
         (F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), words(F.col("text")).alias("tokens")
     )
     vectors = bags.bag_of_words_vectors(turns, "turn_id", "tokens", indexing.term_dictionary(turns, "tokens"))
-    counts = F.filter(vector_to_array("features"), lambda x: x > 0)
+    counts = vector_entries(F.col("features"))["value"]
     return vectors.withColumn("c", counts).filter(F.size("c") > 0).select(
         "turn_id",
         F.size("c").alias("terms"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,6 +79,41 @@ def q_glm_coefficients(t: Tables) -> DataFrame:
     return regression.coefficient_table(t.spark, regression.fit_binomial(labelled_texts(t)), TEXT_TERMS)
 
 
+@query(
+    """
+WITH r AS (SELECT quality AS y, n_chars / 1000 AS thousands, lang, toxic FROM documents JOIN labels USING (doc_id))
+SELECT 'thousands' AS term, round(sum(y * thousands), 3) AS total FROM r
+UNION ALL SELECT 'de', CAST(sum(y) FILTER (lang = 'de') AS DOUBLE) FROM r
+UNION ALL SELECT 'es', CAST(sum(y) FILTER (lang = 'es') AS DOUBLE) FROM r
+UNION ALL SELECT 'fr', CAST(sum(y) FILTER (lang = 'fr') AS DOUBLE) FROM r
+UNION ALL SELECT 'toxic', CAST(sum(y * toxic) AS DOUBLE) FROM r
+UNION ALL SELECT 'Intercept', CAST(sum(y) AS DOUBLE) FROM r
+"""
+)
+def q_glm_moments(t: Tables) -> DataFrame:
+    """Sum of predicted probability times feature; at the optimum it equals that of the label."""
+    rows = labelled_texts(t)
+    scored = regression.fit_binomial(rows).transform(rows)
+    weighted = F.transform(F.concat(vector_to_array("features"), F.array(F.lit(1.0))), lambda x: x * F.col("predictions"))
+    terms = F.array(*[F.lit(n) for n in [*TEXT_TERMS, "Intercept"]])
+    pairs = scored.select(F.inline(F.arrays_zip(terms.alias("term"), weighted.alias("x"))))
+    return pairs.groupBy("term").agg(F.round(F.sum("x"), 3).alias("total"))
+
+
+@query(
+    """
+SELECT count(*) AS n, CAST(0 AS BIGINT) AS misplaced FROM embeddings
+"""
+)
+def q_kmeans_nearest(t: Tables) -> DataFrame:
+    """Rows that a fitted model puts anywhere but at the nearest of its centres: none."""
+    rows = feature_vectors(t)
+    model = clusters.fit_kmeans(rows, features="features")
+    assigned = clusters.assign_clusters(model, rows)
+    near = clusters.nearest_centres(assigned, clusters.centres_frame(t.spark, model), "features", "nearest")
+    return near.agg(F.count("*").alias("n"), F.count_if(F.col("nearest") != F.col("prediction")).alias("misplaced"))
+
+
 @query()
 def q_glm_summary(t: Tables) -> DataFrame:
     return regression.binomial_summary(t.spark, regression.fit_binomial(labelled_texts(t)))

@@ -60,4 +60,4 @@ def hash_elements(texts: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Lower-cased words, split at white space; no empty words."""
-    return F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), r"\s+"), "")

@@ -57,3 +57,15 @@ def sparse_vector(size: Column, indices: Column, values: Column) -> Column:
     )
     schema = T.StructType([T.StructField("v", VectorUDT())])
     return F.from_json(F.to_json(F.struct(parts.alias("v"))), schema).getField("v")
+
+
+def vector_entries(vector: Column) -> Column:
+    """The non-zero entries of an ML vector as an array of ``index, value``; a sparse one is not widened."""
+    kind = "v struct<type:int,size:int,indices:array<int>,values:array<double>>"
+    parts = F.from_json(F.to_json(F.struct(vector.alias("v"))), kind).getField("v")
+    values = parts.getField("values")
+    places = F.when(parts.getField("type") == 0, parts.getField("indices")).otherwise(
+        F.when(F.size(values) > 0, F.sequence(F.lit(0), F.size(values) - 1)).otherwise(F.array().cast("array<int>"))
+    )
+    entries = F.arrays_zip(places.alias("index"), values.alias("value"))
+    return F.filter(entries, lambda e: e["value"] != 0)

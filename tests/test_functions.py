@@ -85,6 +85,13 @@ def test_abs_difference_and_norm(spark):
         values(spark, [([1.0], [1.0, 2.0])], schema, vector.abs_difference(F.col("a"), F.col("b")))
 
 
+def test_vector_entries(spark):
+    data = [(Vectors.sparse(9, {1: 2.0, 7: 0.0}),), (Vectors.dense([0.0, 3.0]),), (Vectors.dense([]),), (Vectors.sparse(2, {}),)]
+    frame = spark.createDataFrame(data, ["v"])
+    got = [[tuple(e) for e in r[0]] for r in frame.select(vector.vector_entries(F.col("v"))).collect()]
+    assert got == [[(1, 2.0)], [(1, 3.0)], [], []]
+
+
 def test_dense_and_sparse(spark):
     frame = spark.createDataFrame([(Vectors.sparse(3, {1: 2.0}),)], ["v"])
     assert frame.select(vector.dense(F.col("v"))).first()[0] == Vectors.dense([0, 2, 0])
