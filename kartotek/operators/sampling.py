@@ -33,41 +33,43 @@ def stratified_split(
     fraction: float = 0.2,
     seed: str = "",
     flag: str = "is_test",
-    bucket_digits: int = 5,
+    bucket_digits: int = 4,
 ) -> DataFrame:
-    """Mark exactly the rounded ``fraction`` of every label's rows as test rows.
+    """Mark exactly the rounded ``fraction`` of every label's rows as test rows; ids are unique.
 
     Rows rank by the MD5 of ``seed`` and id, so the split is repeatable. No label is
     ever sorted as a whole: rows are counted by label and leading digits of the
     digest, the running count finds the one bucket in which a label's cut lies,
-    and only the rows of that bucket are ranked.
+    and only the rows of that bucket are ranked to find the last test row. The
+    result itself is a projection that compares each row with its label's cut.
     """
+    label_key = F.col(quoted(label))
     digest = F.md5(F.concat(F.lit(seed), F.col(quoted(id_col)).cast("string")))
-    keyed = frame.withColumns({"__digest": digest, "__bucket": F.substring(digest, 1, bucket_digits)})
-    counts = keyed.groupBy(F.col(quoted(label)), "__bucket").agg(F.count("*").alias("__n"))
-    running = Window.partitionBy(F.col(quoted(label))).orderBy("__bucket")
+    ranks = frame.select(label_key, digest.alias("__digest"), F.col(quoted(id_col)).alias("__id"))
+    bucket = F.substring("__digest", 1, bucket_digits).alias("__bucket")
+    counts = ranks.groupBy(label_key, bucket).agg(F.count("*").alias("__n"))
+    running = Window.partitionBy(label_key).orderBy("__bucket")
     through = F.sum("__n").over(running.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    total = F.sum("__n").over(Window.partitionBy(F.col(quoted(label))))
-    cuts = (
+    total = F.sum("__n").over(Window.partitionBy(label_key))
+    buckets = (
         counts.select(
-            F.col(quoted(label)),
-            F.col("__bucket").alias("__cut"),
+            label_key,
+            "__bucket",
             through.alias("__through"),
             "__n",
             F.floor(total * F.lit(fraction) + 0.5).alias("__target"),
         )
         .filter((F.col("__through") >= F.col("__target")) & (F.col("__through") - F.col("__n") < F.col("__target")))
-        .select(F.col(quoted(label)), "__cut", (F.col("__target") - F.col("__through") + F.col("__n")).alias("__need"))
+        .select(label_key, "__bucket", (F.col("__target") - F.col("__through") + F.col("__n")).alias("__need"))
     )
-    marked = lookup_join(keyed, settled_or_pinned(cuts), [label], "left")
-    columns = [F.col(quoted(c)) for c in frame.columns]
-    at_cut = F.col("__bucket") == F.col("__cut")
-    clear = marked.filter(~at_cut | F.col("__cut").isNull()).select(
-        *columns, F.coalesce(F.col("__bucket") < F.col("__cut"), F.lit(False)).alias(flag)
+    candidates = lookup_join(ranks.withColumn("__bucket", bucket), settled_or_pinned(buckets), [label, "__bucket"], "inner")
+    within = Window.partitionBy(label_key).orderBy("__digest", "__id")
+    cuts = candidates.withColumn("__at", F.row_number().over(within)).filter(F.col("__at") == F.col("__need"))
+    marked = lookup_join(
+        frame, settled_or_pinned(cuts.select(label_key, F.struct("__digest", "__id").alias("__cut"))), [label], "left"
     )
-    within = Window.partitionBy(F.col(quoted(label))).orderBy("__digest", F.col(quoted(id_col)))
-    edge = marked.filter(at_cut).select(*columns, (F.row_number().over(within) <= F.col("__need")).alias(flag))
-    return clear.unionByName(edge)
+    is_test = F.struct(digest, F.col(quoted(id_col))) <= F.col("__cut")
+    return marked.select(*[F.col(quoted(c)) for c in frame.columns], F.coalesce(is_test, F.lit(False)).alias(flag))
 
 
 def split_by_flag(frame: DataFrame, flag: str) -> tuple[DataFrame, DataFrame]:
