@@ -45,6 +45,13 @@ def q_kmeans_fit(t: Tables) -> DataFrame:
     return measured.select("vec_id", "prediction", "distance")
 
 
+@query()
+def q_kmeans_centres(t: Tables) -> DataFrame:
+    """The centres of a fitted model, one row per coordinate."""
+    model = clusters.fit_kmeans(feature_vectors(t), features="features")
+    return clusters.centres_frame(t.spark, model).select("cluster", F.posexplode("coordinates").alias("dim", "x"))
+
+
 @query()
 def q_kmeans_grid(t: Tables) -> DataFrame:
     """Cost on the training rows for each number of clusters."""

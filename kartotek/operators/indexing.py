@@ -14,9 +14,10 @@ from kartotek.sizing import lookup_join, pinned, settle
 _POSITION_BITS = 33
 
 
-def row_index(frame: DataFrame, order_by: list[str | Column], name: str = "Index") -> DataFrame:
+def row_index(frame: DataFrame, order_by: list[str | Column] | None = None, name: str = "Index") -> DataFrame:
     """Number the rows 0, 1, 2, ... in the given order, with the number as the first column.
 
+    Without an order the rows are numbered as Spark reads them, with no shuffle.
     ``order_by`` should end in a unique column, which fixes the order of ties and
     lets the range sort cut a frequent leading key into several partitions. The
     sorted rows are written once with their partition and place in it; only the
@@ -24,7 +25,8 @@ def row_index(frame: DataFrame, order_by: list[str | Column], name: str = "Index
     partition goes back by broadcast (one row per partition).
     """
     place = F.monotonically_increasing_id()
-    sorted_rows = pinned(frame.orderBy(*order_by).withColumn("__place", place))
+    ordered = frame.orderBy(*order_by) if order_by else frame
+    sorted_rows = pinned(ordered.withColumn("__place", place))
     partition = F.shiftrightunsigned("__place", _POSITION_BITS)
     within = F.col("__place").bitwiseAND(F.lit((1 << _POSITION_BITS) - 1))
     counts = sorted_rows.groupBy(partition.alias("partition")).count().orderBy("partition").toArrow()

@@ -28,6 +28,11 @@ def has_path(schema: T.DataType, path: str) -> bool:
     return True
 
 
+def optional_path(frame: DataFrame, path: str, kind: str = "string") -> Column:
+    """The column at a dotted path, or a null of type ``kind`` when the schema lacks it."""
+    return path_column(path) if has_path(frame.schema, path) else F.lit(None).cast(kind)
+
+
 def project_paths(frame: DataFrame, paths: list[tuple[str, str]], missing_as_null: bool = False) -> DataFrame:
     """Select dotted paths under new names.
 
@@ -35,13 +40,8 @@ def project_paths(frame: DataFrame, paths: list[tuple[str, str]], missing_as_nul
     the array of that field. With ``missing_as_null`` a path that an inferred
     schema lacks becomes a null text column instead of an error.
     """
-    columns = []
-    for path, alias in paths:
-        if missing_as_null and not has_path(frame.schema, path):
-            columns.append(F.lit(None).cast("string").alias(alias))
-        else:
-            columns.append(path_column(path).alias(alias))
-    return frame.select(*columns)
+    at = (lambda path: optional_path(frame, path)) if missing_as_null else path_column
+    return frame.select(*[at(path).alias(alias) for path, alias in paths])
 
 
 def split_by_type(
@@ -58,12 +58,12 @@ def split_by_type(
     }
 
 
-def struct_fields(schema: T.StructType, column: str) -> list[str]:
-    """Field names of a struct column."""
+def struct_fields(schema: T.StructType, column: str | int, attribute: str = "name") -> list:
+    """Names of the fields of a struct column, or another attribute of them such as ``type``."""
     kind = schema[column].dataType
     if not isinstance(kind, T.StructType):
         raise TypeError(f"{column} is not a struct but {kind.simpleString()}")
-    return kind.names
+    return [field.jsonValue()[attribute] for field in kind.fields]
 
 
 def explode_rows(frame: DataFrame, column: str, alias: str | None = None, keep_empty: bool = False) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression, GeneralizedLinearRegressionModel
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +21,15 @@ def fit_binomial(frame: DataFrame, label: str = "label", features: str = "featur
     ).fit(frame)
 
 
+def binomial_pipeline(columns: list[str], label: str = "label") -> Pipeline:
+    """Assembler and binomial GLM as one pipeline, to fit, save and load as a whole."""
+    assembler = VectorAssembler(inputCols=columns, outputCol="features")
+    model = GeneralizedLinearRegression(
+        family="binomial", link="logit", labelCol=label, featuresCol="features", predictionCol="predictions"
+    )
+    return Pipeline(stages=[assembler, model])
+
+
 def coefficient_table(
     spark: SparkSession, model: GeneralizedLinearRegressionModel, names: list[str]
 ) -> DataFrame:

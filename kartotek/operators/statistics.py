@@ -79,41 +79,38 @@ def as_array(frame: DataFrame, column: str) -> Column:
     return F.col(quoted(column)).cast("array<double>")
 
 
-def vector_stats(frame: DataFrame, features: str, by: list[str] | None = None) -> DataFrame:
+# Name of a result column, and the summary metric it holds.
+_METRICS = {"total": "sum", "mean": "mean", "variance": "variance", "minimum": "min", "maximum": "max"}
+
+
+def vector_stats(
+    frame: DataFrame, features: str, by: list[str] | None = None, wanted: tuple[str, ...] = tuple(_METRICS)
+) -> DataFrame:
     """Per group: ``n`` and the arrays ``total, mean, variance, minimum, maximum`` over all positions.
 
     Rows without a vector are left out. The sums are partial on each map task, so
-    a big group is not gathered anywhere.
+    a big group is not gathered anywhere. ``wanted`` picks the arrays to work out.
     """
     by = by or []
     rows = frame.filter(F.col(quoted(features)).isNotNull())
-    metrics = Summarizer.metrics("count", "sum", "mean", "variance", "min", "max").summary(as_vector(frame, features))
+    metrics = Summarizer.metrics("count", *[_METRICS[w] for w in wanted]).summary(as_vector(frame, features))
     grouped = rows.groupBy(*[F.col(quoted(c)) for c in by]).agg(metrics.alias("__s"))
     return grouped.select(
         *[F.col(quoted(c)) for c in by],
         F.col("__s.count").alias("n"),
-        *[
-            vector_to_array(F.col(f"__s.{metric}")).alias(name)
-            for metric, name in (
-                ("sum", "total"),
-                ("mean", "mean"),
-                ("variance", "variance"),
-                ("min", "minimum"),
-                ("max", "maximum"),
-            )
-        ],
+        *[vector_to_array(F.col(f"__s.{_METRICS[w]}")).alias(w) for w in wanted],
     )
 
 
 def group_mean_vectors(frame: DataFrame, by: str, features: str, name: str = "mean") -> DataFrame:
     """The mean vector of each group, as an array, and its row count ``n``."""
-    return vector_stats(frame, features, [by]).select(F.col(quoted(by)), "n", F.col("mean").alias(name))
+    return vector_stats(frame, features, [by], ("mean",)).withColumnRenamed("mean", name)
 
 
 def vector_total(frame: DataFrame, features: str, by: list[str] | None = None, name: str = "total") -> DataFrame:
     """Element-wise sum of all vectors, per group when ``by`` is given."""
     by = by or []
-    return vector_stats(frame, features, by).select(*[F.col(quoted(c)) for c in by], F.col("total").alias(name))
+    return vector_stats(frame, features, by, ("total",)).drop("n").withColumnRenamed("total", name)
 
 
 def with_group_means(frame: DataFrame, by: str, features: str, name: str = "group_mean") -> DataFrame:
@@ -135,7 +132,7 @@ def f_statistic(frame: DataFrame, group: str, features: str) -> DataFrame:
     without group or vector are left out.
     """
     rows = frame.filter(F.col(quoted(group)).isNotNull())
-    stats = settled_or_pinned(vector_stats(rows, features, [group]).select("n", "mean", "variance"))
+    stats = settled_or_pinned(vector_stats(rows, features, [group], ("mean", "variance")))
     overall = stats.agg(Summarizer.mean(array_to_vector("mean"), F.col("n").cast("double")).alias("m"))
     centred = stats.withColumn("__overall", overall.select(vector_to_array("m")).scalar())
     spread = F.aggregate("variance", F.lit(0.0), lambda total, v: total + v)

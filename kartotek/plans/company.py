@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from kartotek.functions.text import as_text, first_number, last_status, leading_year, squeezed_lower
 from kartotek.operators.cleaning import fill_text, where_all_null, without
 from kartotek.operators.indexing import row_index, string_index
-from kartotek.operators.nested import explode_rows, project_paths, split_by_type
+from kartotek.operators.nested import explode_rows, optional_path, project_paths, split_by_type
 
 # Document types, their payload fields, and the columns they become.
 PAYLOADS = {
@@ -145,26 +144,34 @@ def indexed_companies(yearly: DataFrame) -> DataFrame:
 
 
 def typed_companies(company_docs: DataFrame) -> DataFrame:
-    """One typed row per company: codes as text, numbers and years as int, statuses normalised."""
-    company = F.col("virksomhed")
-    meta = company["virksomhedMetadata"]
+    """One typed row per company: codes as text, numbers and years as int, statuses normalised.
+
+    A path that an inferred schema lacks counts as missing.
+    """
+
+    def company(path: str, kind: str = "string"):
+        return optional_path(company_docs, f"virksomhed.{path}", kind)
+
+    def meta(path: str, kind: str = "string"):
+        return company(f"virksomhedMetadata.{path}", kind)
+
     columns = {
-        "cvrnummer": company["cvrNummer"],
-        "nPenheder": meta["antalPenheder"],
-        "antalAnsatte": first_number(meta["nyesteAarsbeskaeftigelse"]["intervalKodeAntalAnsatte"]),
-        "branchekode1": as_text(meta["nyesteBibranche1"]["branchekode"]),
-        "branchekode2": as_text(meta["nyesteBibranche2"]["branchekode"]),
-        "branchekode3": as_text(meta["nyesteBibranche3"]["branchekode"]),
-        "hovedbranchekode": as_text(meta["nyesteHovedbranche"]["branchekode"]),
-        "statuskode": as_text(meta["nyesteStatus"]["statuskode"]),
-        "virksomhedsBeskrivelse": as_text(meta["nyesteVirksomhedsform"]["langBeskrivelse"]),
-        "brancheAnsvarskode": as_text(company["brancheAnsvarskode"]),
-        "sammensatStatus": squeezed_lower(meta["sammensatStatus"]),
-        "virksomhedsformkode": meta["nyesteVirksomhedsform"]["virksomhedsformkode"],
-        "stiftelsesDato": meta["stiftelsesDato"],
-        "stiftelsesAar": leading_year(meta["stiftelsesDato"]),
-        "virksomhedsstatus": last_status(company["virksomhedsstatus"]),
-        "reklamebeskyttet": company["reklamebeskyttet"].cast("int"),
+        "cvrnummer": company("cvrNummer", "long"),
+        "nPenheder": meta("antalPenheder", "long"),
+        "antalAnsatte": first_number(meta("nyesteAarsbeskaeftigelse.intervalKodeAntalAnsatte")),
+        "branchekode1": as_text(meta("nyesteBibranche1.branchekode")),
+        "branchekode2": as_text(meta("nyesteBibranche2.branchekode")),
+        "branchekode3": as_text(meta("nyesteBibranche3.branchekode")),
+        "hovedbranchekode": as_text(meta("nyesteHovedbranche.branchekode")),
+        "statuskode": as_text(meta("nyesteStatus.statuskode")),
+        "virksomhedsBeskrivelse": as_text(meta("nyesteVirksomhedsform.langBeskrivelse")),
+        "brancheAnsvarskode": as_text(company("brancheAnsvarskode")),
+        "sammensatStatus": squeezed_lower(meta("sammensatStatus")),
+        "virksomhedsformkode": meta("nyesteVirksomhedsform.virksomhedsformkode", "long"),
+        "stiftelsesDato": meta("stiftelsesDato"),
+        "stiftelsesAar": leading_year(meta("stiftelsesDato")),
+        "virksomhedsstatus": last_status(company("virksomhedsstatus", "array<struct<status:string>>")),
+        "reklamebeskyttet": company("reklamebeskyttet", "boolean").cast("int"),
     }
     return company_docs.select(*[columns[name].alias(name) for name in FEATURE_COLUMNS])
 

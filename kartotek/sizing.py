@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import ArrayType, MapType, StructType
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, UserDefinedType
 
 SMALL_ROWS = 100_000
 SMALL_NESTED_ROWS = 10_000
@@ -25,6 +25,11 @@ SMALL_BYTES = 64 << 20
 SALTS = 16
 
 
+def _only_as_rows(kind: DataType) -> bool:
+    """Types that do not go through Arrow unchanged from Python values."""
+    return isinstance(kind, UserDefinedType) or "timestamp" in kind.simpleString()
+
+
 def settle(frame: DataFrame, max_rows: int | None = None, max_bytes: int = SMALL_BYTES) -> DataFrame | None:
     """``frame`` as a local table of known size, or None when it is not small.
 
@@ -39,7 +44,7 @@ def settle(frame: DataFrame, max_rows: int | None = None, max_bytes: int = SMALL
     if len(rows) > max_rows:
         return None
     session, schema = frame.sparkSession, frame.schema
-    if not rows or "timestamp" in schema.simpleString():
+    if not rows or any(_only_as_rows(field.dataType) for field in schema.fields):
         return session.createDataFrame(rows, schema)
     table = pa.Table.from_pylist([row.asDict(recursive=True) for row in rows], schema=to_arrow_schema(schema))
     return session.createDataFrame(table, schema) if table.nbytes <= max_bytes else None
@@ -65,7 +70,8 @@ def lookup_join(
     small = settle(renamed, max_rows)
     if small is not None:
         return facts.join(F.broadcast(small), matches, how).drop(*extra)
-    salted = facts.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in facts.columns]), F.lit(salts)))
+    hashed = [F.col(f"`{c}`") for c, kind in facts.dtypes if "map<" not in kind]
+    salted = facts.withColumn("__salt", F.pmod(F.xxhash64(*hashed), F.lit(salts)))
     repeated = renamed.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn(
         "__copy", F.col("__copy").cast("long")
     )

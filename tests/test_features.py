@@ -33,6 +33,12 @@ def test_settle_limits(spark):
     assert rows(sizing.settle(stamps)) == rows(stamps)
 
 
+def test_settled_vectors_and_maps(spark, size):
+    rows_in = spark.createDataFrame([(1, Vectors.dense([1.0]))], ["k", "v"])
+    facts = spark.range(3).select(F.col("id").alias("k"), F.create_map(F.lit("a"), F.lit(1)).alias("m"))
+    assert sorted(r[2] is None for r in rows(sizing.lookup_join(facts, rows_in, ["k"]))) == [False, True, True]
+
+
 def test_lookup_join(spark, size):
     facts = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, None), (5, "z")], "id int, k string")
     lookup = spark.createDataFrame([("a", 10), ("b", 20), (None, 30)], "k string, v int")
@@ -78,6 +84,9 @@ def test_row_index(spark):
     assert [r[1:] for r in sorted(rows(got))] == expected
     assert sorted(r[0] for r in got.select("Index").collect()) == list(range(5000))
     assert rows(indexing.row_index(frame.filter("id < 0"), ["id"])) == []
+    unsorted = indexing.row_index(frame.coalesce(1))
+    assert [r[0] for r in sorted(rows(unsorted))] == [r[0] for r in sorted(rows(unsorted), key=lambda r: r[2])]
+    assert unsorted.select("Index").distinct().count() == 5000
 
 
 def test_term_dictionary(spark):

@@ -4,7 +4,9 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import KMeansModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
@@ -159,6 +161,15 @@ def test_binomial(spark, logistic):
         regression.coefficient_table(spark, model, ["a"])
 
 
+def test_pipeline(spark, logistic, tmp_path):
+    flat = logistic.select("label", *[vector_to_array("features")[i].alias(n) for i, n in enumerate("ab")])
+    model = regression.binomial_pipeline(["a", "b"]).fit(flat)
+    models.save_model(model, str(tmp_path / "p"))
+    again = models.load_model(PipelineModel, str(tmp_path / "p"))
+    assert rows(again.transform(flat)) == rows(model.transform(flat))
+    assert list(model.stages[-1].coefficients) == pytest.approx(list(regression.fit_binomial(logistic).coefficients))
+
+
 def test_logistic_grid(logistic):
     search = regression.fit_logistic_grid(logistic, inverse_strengths=(0.1, 0.999))
     assert len(search.avgMetrics) == 2

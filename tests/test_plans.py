@@ -48,6 +48,11 @@ def test_metadata_of_an_inferred_schema(spark, tmp_path):
     inferred = company.companies(read_json(spark, str(tmp_path)))
     flat = company.company_metadata(inferred)
     assert flat.count() == 2 and flat.first()["mndbeskfkvart"] is None
+    typed = company.typed_companies(inferred).first()
+    assert (typed["cvrnummer"], typed["antalAnsatte"], typed["branchekode3"]) == (20, 10, "None")
+    (tmp_path / "d.json").write_text('{"_type":"virksomhed","_source":{"Vrvirksomhed":{"cvrNummer":1}}}')
+    typed = company.typed_companies(company.companies(read_json(spark, str(tmp_path)))).first()
+    assert (typed["cvrnummer"], typed["virksomhedsstatus"], typed["stiftelsesAar"]) == (1, "", None)
 
 
 def test_yearly(docs):

@@ -42,7 +42,8 @@ def test_split_by_type(spark):
 
 
 def test_struct_fields(deep):
-    assert nested.struct_fields(deep.schema, "m") == ["inner"]
+    assert nested.struct_fields(deep.schema, "m") == nested.struct_fields(deep.schema, 1) == ["inner"]
+    assert nested.struct_fields(deep.select("m.inner").schema, "inner", "type")[0] == "string"
     with pytest.raises(TypeError):
         nested.struct_fields(deep.schema, "id")
 
