@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable
 from multiprocessing.pool import ThreadPool
 from typing import Any
 
+import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.linalg import VectorUDT
@@ -46,8 +47,14 @@ def assign_clusters(model: KMeansModel, frame: DataFrame) -> DataFrame:
 
 def centres_frame(spark: SparkSession, model: KMeansModel) -> DataFrame:
     """The k centres as rows ``cluster, coordinates``, with every coordinate."""
-    rows = [(i, [float(x) for x in centre]) for i, centre in enumerate(model.clusterCenters())]
-    return spark.createDataFrame(rows, "cluster int, coordinates array<double>")
+    centres = [[float(x) for x in centre] for centre in model.clusterCenters()]
+    table = pa.table(
+        {
+            "cluster": pa.array(range(len(centres)), pa.int32()),
+            "coordinates": pa.array(centres, pa.list_(pa.float64())),
+        }
+    )
+    return spark.createDataFrame(table)
 
 
 def center_distances(

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kartotek.operators.nested import quoted
+from kartotek.operators.nested import elements, quoted
 from kartotek.sizing import lookup_join, pinned, settle
 
 _POSITION_BITS = 33
@@ -41,8 +41,8 @@ def term_dictionary(frame: DataFrame, term_col: str, name: str = "term_index") -
     """Distinct terms numbered from 0 in term order; ``term_col`` may hold terms or arrays of terms."""
     column = F.col(quoted(term_col))
     is_array = frame.schema[term_col].dataType.typeName() == "array"
-    terms = frame.select((F.explode(column) if is_array else column).alias("term"))
-    return row_index(terms.filter(F.col("term").isNotNull()).distinct(), ["term"], name)
+    terms = elements(frame, column if is_array else F.array(column), "term")
+    return row_index(terms.distinct(), ["term"], name)
 
 
 def value_ranks(frame: DataFrame, columns: list[str]) -> DataFrame:

@@ -58,6 +58,16 @@ def split_by_type(
     }
 
 
+def elements(frame: DataFrame, values: Column, name: str, keep: list[str] | None = None) -> DataFrame:
+    """One row per non-null element of a computed array, next to the columns in ``keep``.
+
+    A plain explode makes Spark test the array for emptiness first and so work it
+    out twice; the outer form with the nulls filtered afterwards works it out once.
+    """
+    kept = [F.col(quoted(c)) for c in keep or []]
+    return frame.select(*kept, F.explode_outer(values).alias(name)).filter(F.col(quoted(name)).isNotNull())
+
+
 def struct_fields(schema: T.StructType, column: str | int, attribute: str = "name") -> list:
     """Names of the fields of a struct column, or another attribute of them such as ``type``."""
     kind = schema[column].dataType

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 
 from kartotek.functions.text import words
 from kartotek.functions.vector import sparse_vector
-from kartotek.operators.nested import quoted
+from kartotek.operators.nested import elements, quoted
 from kartotek.sizing import lookup_join, settle
 
 
 def word_count(frame: DataFrame, text_col: str) -> DataFrame:
     """How often each lower-cased word occurs in the whole table: ``word, n``."""
-    found = frame.select(F.explode(words(F.col(quoted(text_col)))).alias("word"))
+    found = elements(frame, words(F.col(quoted(text_col))), "word")
     return found.groupBy("word").agg(F.count("*").alias("n"))
 
 
@@ -27,7 +27,7 @@ def bag_of_words(
     before the lookup. A token it lacks is dropped, or an error with
     ``unknown="error"``.
     """
-    tokens = frame.select(F.col(quoted(id_col)), F.explode(F.col(quoted(tokens_col))).alias("term"))
+    tokens = elements(frame, F.col(quoted(tokens_col)), "term", [id_col])
     counts = tokens.groupBy(F.col(quoted(id_col)), "term").agg(F.count("*").alias("n"))
     found = lookup_join(counts, dictionary.select("term", "term_index"), ["term"], "left" if unknown == "error" else "inner")
     at = F.col("term_index")
