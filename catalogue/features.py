@@ -27,7 +27,17 @@ def q_pivot_onehot(t: Tables) -> DataFrame:
     return onehot.pivot_onehot(rows, "event_type", values=EVENT_TYPES)
 
 
-STATUSES = ["F", "O", None]
+@query(
+    "SELECT e.user_id AS \"Index\", e.event_id, c.* EXCLUDE (user_id) FROM events e JOIN (SELECT user_id, "
+    + ", ".join(f"count(*) FILTER (event_type = '{v}') AS \"event_type:{v}\"" for v in EVENT_TYPES)
+    + " FROM events GROUP BY user_id) c ON c.user_id = e.user_id"
+)
+def q_onehot_joined(t: Tables) -> DataFrame:
+    """An index with many rows: each event next to the counts of its user, joined back."""
+    rows = t.events.select(F.col("user_id").alias("Index"), "event_id", "event_type")
+    return onehot.onehot_all(rows, unique_index=False)
+
+
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 

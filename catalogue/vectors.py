@@ -195,6 +195,13 @@ def own_distances(embeddings: DataFrame) -> DataFrame:
     return clusters.center_distances(embeddings, label_centres(embeddings), "embedding", prediction="label").drop("embedding")
 
 
+@query(TO_OWN_CENTRE + "SELECT vec_id, round(distance, 6) AS distance FROM d WHERE label = 2")
+def q_cluster_filter(t: Tables) -> DataFrame:
+    """The distances of one cluster; the filter on its number reaches the scan."""
+    chosen = own_distances(t.embeddings).filter(F.col("label") == 2)
+    return chosen.select("vec_id", F.round("distance", 6).alias("distance"))
+
+
 @query(TO_OWN_CENTRE + "SELECT vec_id, label, round(distance, 6) AS distance FROM d")
 def q_center_distance(t: Tables) -> DataFrame:
     return own_distances(t.embeddings).withColumn("distance", F.round("distance", 6))

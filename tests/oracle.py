@@ -21,8 +21,9 @@ def connect(folder: str) -> duckdb.DuckDBPyConnection:
 
 
 def _plain(value):
-    if isinstance(value, float) and math.isnan(value):
-        return None
+    """Floats as text, so that a negative zero differs from zero; NaN as null."""
+    if isinstance(value, float):
+        return None if math.isnan(value) else repr(value)
     return value
 
 
