@@ -15,16 +15,27 @@ BINS = 50
 LOG_LOW, LOG_HIGH, LOG_EDGES = 0, 8, 100
 
 
-def group_bounds(frame: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """Per group ``total, mean, stddev, lo, hi`` of a number column; nulls are left out."""
+def group_bounds(frame: DataFrame, value: str, by: list[str], weight: str | None = None) -> DataFrame:
+    """Per group ``total, mean, stddev, lo, hi`` of a number column; nulls are left out.
+
+    ``weight`` names a column saying how many times each row counts.
+    """
     number = F.col(quoted(value)).cast("double")
+    if weight is None:
+        total, mean, stddev = F.count("*"), F.avg(number), F.stddev_samp(number)
+    else:
+        times = F.col(quoted(weight))
+        total, first, second = F.sum(times), F.sum(times * number), F.sum(times * number * number)
+        mean = first / total
+        variance = F.greatest(second - first * first / total, F.lit(0.0)) / (total - 1)
+        stddev = F.when(total > 1, F.sqrt(variance))
     return (
         frame.filter(number.isNotNull())
         .groupBy(*[F.col(quoted(c)) for c in by])
         .agg(
-            F.count("*").alias("total"),
-            F.avg(number).alias("mean"),
-            F.stddev_samp(number).alias("stddev"),
+            total.alias("total"),
+            mean.alias("mean"),
+            stddev.alias("stddev"),
             F.min(number).alias("lo"),
             F.max(number).alias("hi"),
         )
@@ -32,27 +43,37 @@ def group_bounds(frame: DataFrame, value: str, by: list[str]) -> DataFrame:
 
 
 def histogram(
-    frame: DataFrame, value: str, by: list[str] | None = None, bins: int = BINS, bounds: DataFrame | None = None
+    frame: DataFrame,
+    value: str,
+    by: list[str] | None = None,
+    bins: int = BINS,
+    bounds: DataFrame | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """Equal bins between the least and greatest value of each group, empty bins included.
 
     One row per group and bin: ``bin, bin_lo, bin_hi, n, density``. The last bin is
     closed. A group with one single value has all rows in bin 0 and no density.
+    ``weight`` names a column saying how many times each row counts.
     """
     by = by or []
     keys = [F.col(quoted(c)) for c in by]
     number = F.col(quoted(value)).cast("double")
-    limits = settled_or_pinned(bounds if bounds is not None else group_bounds(frame, value, by))
+    times = F.lit(1).cast("long") if weight is None else F.col(quoted(weight))
+    limits = settled_or_pinned(bounds if bounds is not None else group_bounds(frame, value, by, weight))
     limits = limits.select(*keys, "total", "lo", ((F.col("hi") - F.col("lo")) / bins).alias("width"))
-    rows = frame.filter(number.isNotNull()).select(*keys, number.alias("__x"))
+    rows = frame.filter(number.isNotNull()).select(*keys, number.alias("__x"), times.alias("__times"))
     if by:
         rows = lookup_join(rows, limits, by, "inner")
     else:
-        rows = rows.withColumn("__l", limits.select(F.struct("lo", "width")).scalar()).select("__x", "__l.lo", "__l.width")
+        rows = rows.withColumn("__l", limits.select(F.struct("lo", "width")).scalar()).select(
+            "__x", "__times", "__l.lo", "__l.width"
+        )
     at = F.when(F.col("width") == 0, 0).otherwise(
         F.least(F.floor((F.col("__x") - F.col("lo")) / F.nullif("width", F.lit(0.0))), F.lit(bins - 1))
     )
-    counts = rows.select(*keys, at.cast("int").alias("bin")).groupBy(*keys, "bin").agg(F.count("*").alias("n"))
+    binned = rows.select(*keys, at.cast("int").alias("bin"), "__times")
+    counts = binned.groupBy(*keys, "bin").agg(F.sum("__times").alias("n"))
     grid = limits.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     filled = lookup_join(grid, counts, [*by, "bin"], "left")
     n = F.coalesce("n", F.lit(0).cast("long"))

@@ -101,6 +101,20 @@ def test_histogram(spark):
     assert [r[3] for r in whole] == list(counts)
 
 
+def test_weighted_histogram(spark):
+    data = [("a", 1.0, 3), ("a", 2.5, 1), ("a", 9.0, 2), ("b", 4.0, 5), ("c", 7.0, 1)]
+    counted = spark.createDataFrame(data, "k string, x double, n long")
+    plain = counted.select("k", F.explode(F.array_repeat("x", F.col("n").cast("int"))).alias("x"))
+    a, b = histograms.group_bounds(counted, "x", ["k"], "n"), histograms.group_bounds(plain, "x", ["k"])
+    for left, right in zip(sorted(rows(a)), sorted(rows(b))):
+        assert left[:2] == right[:2] and left[2:3] + left[4:] == pytest.approx(right[2:3] + right[4:])
+        assert (left[3] is None and right[3] is None) or left[3] == pytest.approx(right[3], abs=1e-9)
+    a, b = histograms.histogram(counted, "x", ["k"], weight="n"), histograms.histogram(plain, "x", ["k"])
+    assert sorted(rows(a), key=str) == sorted(rows(b), key=str)
+    a, b = histograms.histogram(counted, "x", weight="n"), histograms.histogram(plain, "x")
+    assert sorted(rows(a)) == sorted(rows(b))
+
+
 def test_log_histogram(spark):
     data = [0.5, 1.0, 2.0, 50.0, 123.4, 99999.0, 1e8, 2e8]
     frame = spark.createDataFrame([(x,) for x in data], "x double")
