@@ -11,6 +11,7 @@ from kartotek.functions.text import words
 from kartotek.functions.vector import vector_entries
 from kartotek.operators import indexing, onehot
 from kartotek.operators import words as bags
+from kartotek.operators.nested import elements
 from kartotek.plans import company
 
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
@@ -143,12 +144,9 @@ def q_bag_of_words_vectors(t: Tables) -> DataFrame:
         (F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), words(F.col("text")).alias("tokens")
     )
     vectors = bags.bag_of_words_vectors(turns, "turn_id", "tokens", indexing.term_dictionary(turns, "tokens"))
-    counts = vector_entries(F.col("features"))["value"]
-    return vectors.withColumn("c", counts).filter(F.size("c") > 0).select(
-        "turn_id",
-        F.size("c").alias("terms"),
-        F.aggregate("c", F.lit(0.0), lambda s, x: s + x).alias("tokens"),
-        F.array_max("c").alias("most"),
+    entries = elements(vectors, vector_entries(F.col("features")), "entry", ["turn_id"])
+    return entries.groupBy("turn_id").agg(
+        F.count("*").cast("int").alias("terms"), F.sum("entry.value").alias("tokens"), F.max("entry.value").alias("most")
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from kartotek.functions.vector import sparse_vector
 from kartotek.operators.indexing import term_dictionary
 from kartotek.operators.nested import quoted
-from kartotek.sizing import lookup_join, settle
+from kartotek.sizing import lookup_join, settle, small_vocabulary
 
 Values = dict[str, list[str | None]]
 
@@ -105,9 +105,8 @@ def onehot_sparse(
     parts = [F.concat(F.lit(f"{c}:"), F.coalesce(F.col(quoted(c)).cast("string"), F.lit("null"))) for c in columns]
     terms = frame.select(F.col(quoted(index)), F.array(*parts).alias("__terms"))
     dictionary = dictionary if dictionary is not None else term_dictionary(terms, "__terms")
-    small = settle(dictionary)
-    if small is not None:
-        vocabulary = [row["term"] for row in small.orderBy("term_index").collect()]
+    vocabulary = small_vocabulary(dictionary)
+    if vocabulary is not None:
         encoder = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="__terms", outputCol=output)
         return encoder.transform(terms).drop("__terms"), dictionary
     size = dictionary.agg(F.count("*")).scalar()

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kartotek.functions.text import words
 from kartotek.functions.vector import sparse_vector
 from kartotek.operators.nested import elements, quoted
-from kartotek.sizing import lookup_join, settle
+from kartotek.sizing import lookup_join, small_vocabulary
 
 
 def word_count(frame: DataFrame, text_col: str) -> DataFrame:
@@ -18,17 +19,48 @@ def word_count(frame: DataFrame, text_col: str) -> DataFrame:
     return found.groupBy("word").agg(F.count("*").alias("n"))
 
 
+def token_counts(frame: DataFrame, id_col: str, tokens_col: str) -> DataFrame:
+    """How often each token occurs in each row: ``<id>, term, n``; one row per id.
+
+    A row holds all its tokens, so they are counted where they are, a batch of rows
+    at a time, and nothing is shuffled.
+    """
+
+    def count(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            ids, tokens = batch.column(0), batch.column(1)
+            rows = pc.list_parent_indices(tokens).to_numpy().astype("int64")
+            terms = pc.list_flatten(tokens).dictionary_encode()
+            present = terms.indices.is_valid().to_numpy(zero_copy_only=False)
+            codes = terms.indices.drop_null().to_numpy()
+            width = max(len(terms.dictionary), 1)
+            pairs, n = np.unique(rows[present] * width + codes, return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [ids.take(pa.array(pairs // width)), terms.dictionary.take(pa.array(pairs % width)), pa.array(n, pa.int64())],
+                names=[id_col, "term", "n"],
+            )
+
+    chosen = frame.select(F.col(quoted(id_col)), F.col(quoted(tokens_col)))
+    schema = T.StructType(
+        [chosen.schema[id_col], T.StructField("term", T.StringType()), T.StructField("n", T.LongType())]
+    )
+    return chosen.mapInArrow(count, schema)
+
+
 def bag_of_words(
     frame: DataFrame, id_col: str, tokens_col: str, dictionary: DataFrame, unknown: str = "drop"
 ) -> DataFrame:
     """Count of each dictionary term per row: ``<id>, term_index, n``.
 
-    ``dictionary`` has ``term`` and ``term_index``. Tokens are counted per row
-    before the lookup. A token it lacks is dropped, or an error with
-    ``unknown="error"``.
+    ``dictionary`` has ``term`` and ``term_index``, and an id belongs to one row.
+    Tokens are counted per row before the lookup. A token it lacks is dropped, or
+    an error with ``unknown="error"``.
     """
-    tokens = elements(frame, F.col(quoted(tokens_col)), "term", [id_col])
-    counts = tokens.groupBy(F.col(quoted(id_col)), "term").agg(F.count("*").alias("n"))
+    counts = token_counts(frame, id_col, tokens_col)
     found = lookup_join(counts, dictionary.select("term", "term_index"), ["term"], "left" if unknown == "error" else "inner")
     at = F.col("term_index")
     if unknown == "error":
@@ -43,10 +75,9 @@ def bag_of_words_vectors(
 
     The dictionary must be numbered 0, 1, 2, ... as :func:`term_dictionary` does.
     """
-    small = settle(dictionary.select("term", "term_index"))
+    vocabulary = small_vocabulary(dictionary)
     rows = frame.select(F.col(quoted(id_col)), F.col(quoted(tokens_col)).alias("__tokens"))
-    if small is not None:
-        vocabulary = [row["term"] for row in small.orderBy("term_index").collect()]
+    if vocabulary is not None:
         encoder = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="__tokens", outputCol=output)
         return encoder.transform(rows).drop("__tokens")
     size = dictionary.agg(F.count("*")).scalar()

@@ -21,6 +21,7 @@ from pyspark.sql.types import ArrayType, DataType, MapType, StructType, UserDefi
 
 SMALL_ROWS = 100_000
 SMALL_NESTED_ROWS = 10_000
+SMALL_VOCABULARY = 2_000
 SMALL_BYTES = 64 << 20
 SALTS = 16
 
@@ -50,6 +51,12 @@ def settle(frame: DataFrame, max_rows: int | None = None, max_bytes: int = SMALL
     return session.createDataFrame(table, schema) if table.nbytes <= max_bytes else None
 
 
+def small_vocabulary(dictionary: DataFrame) -> list[str] | None:
+    """The terms in order of their index when there are few enough to hand to a model, else None."""
+    small = settle(dictionary.select("term", "term_index"), SMALL_VOCABULARY)
+    return None if small is None else [row["term"] for row in small.orderBy("term_index").collect()]
+
+
 def lookup_join(
     facts: DataFrame,
     lookup: DataFrame,

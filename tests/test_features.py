@@ -20,6 +20,7 @@ def size(request, monkeypatch):
     if request.param == "large":
         monkeypatch.setattr(sizing, "SMALL_ROWS", 1)
         monkeypatch.setattr(sizing, "SMALL_NESTED_ROWS", 1)
+        monkeypatch.setattr(sizing, "SMALL_VOCABULARY", 1)
     return request.param
 
 
@@ -159,6 +160,16 @@ def test_bag_of_words(turns, dictionary, size):
         bags.bag_of_words(turns, "id", "tokens", dictionary, unknown="error").collect()
 
 
+def test_token_counts(spark):
+    data = [("x", ["b", "a", None, "b"]), ("y", []), ("z", None), ("w", ["a"])]
+    frame = spark.createDataFrame(data, "`the id` string, t array<string>")
+    got = bags.token_counts(frame.coalesce(1), "the id", "t")
+    assert got.columns == ["the id", "term", "n"]
+    assert sorted(rows(got)) == [("w", "a", 1), ("x", "a", 1), ("x", "b", 2)]
+    assert rows(bags.token_counts(frame.filter("t is null"), "the id", "t")) == []
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString().replace("coalesce", "")
+
+
 def test_bag_of_words_vectors(turns, dictionary, size):
     got = {r["id"]: r["features"] for r in bags.bag_of_words_vectors(turns, "id", "tokens", dictionary).collect()}
     assert got[1] == Vectors.sparse(3, {0: 3.0, 1: 1.0, 2: 1.0})
