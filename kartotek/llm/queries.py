@@ -6,8 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kartotek.llm import exact_dedup, line_dedup
+from kartotek.llm import exact_dedup, line_dedup, mixing, token_files
 from kartotek.llm.common import table
+from kartotek.sizing import scratch_path
+
+# Tokenizer file and end id of the token files
+WORD_TOKENIZER = "word_bpe_49k.json"
+END_ID = 2
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -60,3 +65,23 @@ def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.decisions(table(spark, folder, "documents"))
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query()
+def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    out = scratch_path(spark, "tokens")
+    token_files.write_tokens(table(spark, folder, "documents"), out, tokenizer_path(WORD_TOKENIZER), END_ID)
+    return token_files.read_digests(spark, out)
+
+
+@query()
+def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.plan(table(spark, folder, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken", "source"
+    )
