@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kartotek.llm import exact_dedup, line_dedup, mixing, token_files
+from kartotek.llm import exact_dedup, line_dedup, mixing, simhash, token_files
 from kartotek.llm.common import table
 from kartotek.sizing import scratch_path
 
@@ -85,3 +86,9 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.plan(table(spark, folder, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken", "source"
     )
+
+
+@query()
+def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.clusters(table(spark, folder, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
