@@ -58,3 +58,17 @@ def with_results(docs: DataFrame, results: DataFrame, names: list[str], id_col:
     clean = docs.drop(*[n for n in names if n != id_col])
     found = results.select(F.col("doc_id").alias("__doc"), *names)
     return clean.join(found, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__doc")), "left").drop("__doc")
+
+
+class Memo(dict):
+    """Values worked out when first asked for; emptied when it has grown to its limit."""
+
+    def __init__(self, work, limit: int):
+        super().__init__()
+        self.work, self.limit = work, limit
+
+    def __missing__(self, key):
+        if len(self) >= self.limit:
+            self.clear()
+        self[key] = found = self.work(key)
+        return found

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kartotek.llm import exact_dedup, line_dedup, mixing, simhash, token_files
+from kartotek.llm import exact_dedup, line_dedup, mixing, simhash, token_files, toxicity
 from kartotek.llm.common import table
 from kartotek.sizing import scratch_path
 
@@ -92,3 +92,8 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
 def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.clusters(table(spark, folder, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query()
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
