@@ -72,3 +72,24 @@ class Memo(dict):
             self.clear()
         self[key] = found = self.work(key)
         return found
+
+
+def whole_groups(batches: Iterable[pa.RecordBatch], key: str, rows: int) -> Iterator[pa.Table]:
+    """Batches ordered by ``key`` as tables of about ``rows`` rows that never part a group."""
+    held: list[pa.RecordBatch] = []
+    count = 0
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            held.append(batch.slice(start, rows))
+            count += held[-1].num_rows
+            if count < rows:
+                continue
+            table_ = pa.Table.from_batches(held).combine_chunks()
+            keys = table_.column(key).to_numpy()
+            cut = int(np.searchsorted(keys, keys[-1]))
+            if cut:
+                yield table_.slice(0, cut)
+            held = table_.slice(cut).to_batches()
+            count = len(keys) - cut
+    if count:
+        yield pa.Table.from_batches(held)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kartotek.llm import exact_dedup, line_dedup, mixing, simhash, token_files, toxicity
+from kartotek.llm import exact_dedup, line_dedup, mixing, simhash, substring_dedup, token_files, toxicity
 from kartotek.llm.common import table
 from kartotek.sizing import scratch_path
 
@@ -97,3 +97,8 @@ def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query()
+def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.substring_digests(table(spark, folder, "documents"))
