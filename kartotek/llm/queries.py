@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kartotek.llm import exact_dedup, line_dedup, mixing, simhash, substring_dedup, token_files, toxicity
+from kartotek.llm import decontamination, exact_dedup, line_dedup, mixing, simhash, substring_dedup, token_files, toxicity
 from kartotek.llm.common import table
 from kartotek.sizing import scratch_path
 
@@ -102,3 +102,58 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.substring_digests(table(spark, folder, "documents"))
+
+
+_DECONTAMINATION_SQL = r"""
+    WITH texts AS (
+      SELECT 'd' AS side, doc_id AS id, coalesce(text, '') AS text FROM documents
+      UNION ALL SELECT 'i', item_id, coalesce(text, '') FROM benchmark),
+    split AS (
+      SELECT side, id, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM texts),
+    bare AS (SELECT *, list_transform(words, lambda w: trim(w, {marks})) AS bare FROM split),
+    cores AS (SELECT *, list_transform(bare, lambda w: lower(w)) AS cores FROM bare),
+    templates AS (
+      SELECT side, id, cores, list_transform(cores, lambda w, i: CASE
+        WHEN w >= '0' AND w < ':' THEN '<num>'
+        WHEN i = 1 OR w = '' THEN w
+        WHEN cores[i - 1] >= '0' AND cores[i - 1] < ':' AND w IN ({units}) THEN '<unit>'
+        WHEN left(bare[i], 1) <> left(w, 1) AND NOT contains({ends}, right(words[i - 1], 1)) THEN '<name>'
+        ELSE w END) AS template FROM cores),
+    windows AS (
+      SELECT side, id, place, template[place:place + 4] AS shape, cores[place:place + 4] AS vals
+      FROM (SELECT *, unnest(range(1, len(template) - 3)) AS place FROM templates)),
+    items AS (
+      SELECT *, count(*) OVER (PARTITION BY id) AS windows FROM windows
+      WHERE side = 'i' AND len(list_filter(shape, lambda w: w <> '' AND NOT starts_with(w, '<'))) >= 3),
+    met AS (
+      SELECT d.id AS doc_id, i.id AS item_id, i.windows, i.place AS i_place, d.place - i.place AS diagonal,
+             i.shape, i.vals AS i_vals, d.vals AS d_vals
+      FROM windows d JOIN items i ON d.side = 'd' AND d.shape = i.shape),
+    found AS (
+      SELECT doc_id, item_id, windows, count(DISTINCT i_place) AS found FROM met GROUP BY ALL
+      HAVING count(DISTINCT i_place) * 100 >= windows * 80),
+    diagonals AS (SELECT doc_id, item_id, diagonal, count(DISTINCT i_place) AS n FROM met GROUP BY ALL),
+    best AS (
+      SELECT doc_id, item_id, diagonal FROM diagonals
+      QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n DESC, diagonal) = 1),
+    slots AS (
+      SELECT DISTINCT doc_id, item_id, i_vals[k] AS iv, d_vals[k] AS dv
+      FROM (SELECT *, unnest(range(1, 6)) AS k FROM met JOIN best USING (doc_id, item_id, diagonal))
+      WHERE starts_with(shape[k], '<')),
+    checked AS (
+      SELECT doc_id, item_id, count(*) = count(DISTINCT iv) AND count(*) = count(DISTINCT dv) AS consistent,
+             bool_or(iv <> dv) AS differs
+      FROM slots GROUP BY ALL)
+    SELECT doc_id, item_id, windows, found, found / windows AS coverage,
+           CASE WHEN coalesce(differs, false) THEN 'reparameterised' ELSE 'exact' END AS kind
+    FROM found LEFT JOIN checked USING (doc_id, item_id) WHERE coalesce(consistent, true)
+""".format(
+    marks="'" + decontamination.MARKS.replace("'", "''") + "'",
+    units=", ".join(f"'{u}'" for u in decontamination.UNITS),
+    ends="'" + decontamination.SENTENCE_ENDS + "'",
+)
+
+
+@query(_DECONTAMINATION_SQL.replace("\\\\", "\\"))
+def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
