@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kartotek.llm import decontamination, exact_dedup, line_dedup, mixing, simhash, substring_dedup, token_files, toxicity
+from kartotek.llm import decontamination, exact_dedup, line_dedup, mixing, pii, simhash, substring_dedup, token_files, toxicity
 from kartotek.llm.common import table
 from kartotek.sizing import scratch_path
 
@@ -157,3 +157,8 @@ _DECONTAMINATION_SQL = r"""
 @query(_DECONTAMINATION_SQL.replace("\\\\", "\\"))
 def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query()
+def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.find(table(spark, folder, "documents"))
