@@ -19,18 +19,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kartotek.llm import common
+from kartotek.llm import bloom, common
 from kartotek.sizing import pinned
 
-BITS_PER_DOC = 16
-MAX_BITS = 1 << 28
-HASHES = 4
-SEGMENT_BITS = 1 << 20
-
 _DIGEST = pa.schema(
     [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("sha", pa.binary()), ("h", pa.int64())]
 )
-_PART = pa.schema([("segment", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())])
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,84 +45,16 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return rows.mapInArrow(_digests, "doc_id long, n_chars long, sha binary, h long")
 
 
-def _positions(h: np.ndarray, bits: int) -> np.ndarray:
-    """Bit positions of each hash, one row per hash; ``bits`` is a power of two."""
-    first = h.view(np.uint64)
-    step = (first >> np.uint64(17)) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
-    steps = np.arange(HASHES, dtype=np.uint64)
-    mixed = first[:, None] + steps[None, :] * step[:, None]
-    mixed ^= mixed >> np.uint64(31)
-    return (mixed & np.uint64(bits - 1)).astype(np.int64)
-
-
-def _task_filter(bits: int):
-    """Per task, the bits that it sets and the bits that it sets twice, as positions within segments."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values, counts = np.unique(batch.column("h").to_numpy(zero_copy_only=False), return_counts=True)
-            if not len(values):
-                continue
-            where = _positions(values, bits)
-            many = np.unique(where[counts > 1])
-            once, hits = np.unique(where, return_counts=True)
-            twice = np.union1d(many, once[hits > 1])
-            for segment in np.unique(once // SEGMENT_BITS).tolist():
-                low, high = segment * SEGMENT_BITS, (segment + 1) * SEGMENT_BITS
-                cut = [
-                    (p[np.searchsorted(p, low) : np.searchsorted(p, high)] - low).astype(np.uint32).tobytes()
-                    for p in (once, twice)
-                ]
-                yield common.batch_of(_PART, ([segment], [cut[0]], [cut[1]]))
-
-    return run
-
-
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bits of each segment that were set twice, in one task or by two tasks."""
-    state: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for batch in batches:
-        for segment, once, twice in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            if segment not in state:
-                state[segment] = np.zeros(SEGMENT_BITS, dtype=bool), np.zeros(SEGMENT_BITS, dtype=bool)
-            seen, again = state[segment]
-            at = np.frombuffer(once, dtype=np.uint32)
-            again[at[seen[at]]] = True
-            seen[at] = True
-            again[np.frombuffer(twice, dtype=np.uint32)] = True
-    for segment, (_, again) in state.items():
-        yield common.batch_of(_PART, ([segment], [b""], [np.packbits(again, bitorder="little").tobytes()]))
-
-
-def repeated_bits(hashes: DataFrame, bits: int) -> np.ndarray:
-    """First pass: the filter of bits set at least twice, ``bits / 8`` bytes."""
-    schema = "segment int, once binary, twice binary"
-    parts = hashes.select("h").mapInArrow(_task_filter(bits), schema)
-    merged = parts.repartition("segment").mapInArrow(_merge, schema)
-    found = np.zeros(max(bits, SEGMENT_BITS) // 8, dtype=np.uint8)
-    for row in merged.collect():
-        start = row["segment"] * SEGMENT_BITS // 8
-        found[start : start + SEGMENT_BITS // 8] = np.frombuffer(row["twice"], dtype=np.uint8)
-    return found[: max(bits // 8, 1)]
-
-
-def filter_bits(rows: int, max_bits: int = MAX_BITS) -> int:
-    """A power of two near 16 bits a row, at most ``max_bits``."""
-    return min(max_bits, 1 << max(10, (max(rows, 1) * BITS_PER_DOC - 1).bit_length()))
-
-
-def _tested(shared, bits: int):
+def _tested(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = shared.value
         for batch in batches:
-            where = _positions(batch.column("h").to_numpy(zero_copy_only=False), bits)
-            hit = ((found[where >> 3] >> (where & 7).astype(np.uint8)) & 1).all(axis=1)
+            hit = bloom.contains(shared.value, batch.column("h").to_numpy(zero_copy_only=False))
             yield batch.append_column("maybe", pa.array(hit))
 
     return run
 
 
-def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
+def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = bloom.MAX_BITS) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when they are so without white space; null counts as empty, and empty texts are equal to each
@@ -137,14 +63,17 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     gives no rows.
     """
     narrow = pinned(digests(docs, id_col, text_col))
-    bits = filter_bits(narrow.count(), max_bits)
-    shared = docs.sparkSession.sparkContext.broadcast(repeated_bits(narrow, bits))
+    bits = bloom.filter_bits(narrow.count(), max_bits)
+    shared = docs.sparkSession.sparkContext.broadcast(bloom.build(narrow.select("h"), bits, twice=True))
     tested = narrow.mapInArrow(
-        _tested(shared, bits), "doc_id long, n_chars long, sha binary, h long, maybe boolean"
+        _tested(shared), "doc_id long, n_chars long, sha binary, h long, maybe boolean"
     ).drop("h")
     maybe = tested.filter("maybe")
-    best = maybe.groupBy("sha").agg(
-        F.count(F.lit(1)).alias("group_size"), F.max(F.struct("n_chars", (-F.col("doc_id")).alias("neg"))).alias("best")
+    best = pinned(
+        maybe.groupBy("sha").agg(
+            F.count(F.lit(1)).alias("group_size"),
+            F.max(F.struct("n_chars", (-F.col("doc_id")).alias("neg"))).alias("best"),
+        )
     )
     grouped = maybe.join(best, "sha").select(
         "doc_id", (-F.col("best.neg")).alias("keep_id"), "group_size",
@@ -160,7 +89,7 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     )
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = bloom.MAX_BITS) -> DataFrame:
     """``docs`` without the rows that :func:`decisions` drops; all columns stay as they are."""
     dropped = decisions(docs, id_col, text_col, max_bits).filter(~F.col("kept")).select(F.col("doc_id").alias("__doc"))
     return docs.join(dropped, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__doc")), "left_anti")

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kartotek.llm import common
+from kartotek.sizing import pinned
 
 # A-Z to a-z, all other bytes as they are
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -72,7 +73,7 @@ def _reassemble(min_chars: int, as_text: bool):
 def _kept(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int, as_text: bool) -> DataFrame:
     rows = common.id_and_text(docs, id_col, text_col)
     keys = rows.mapInArrow(_keys(min_chars), "k1 long, k2 long, doc_id long")
-    common_keys = (
+    common_keys = pinned(
         keys.groupBy("k1", "k2")
         .agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper"))
         .filter(F.col("n_docs") >= min_docs)

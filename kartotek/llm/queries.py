@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kartotek.llm import decontamination, exact_dedup, line_dedup, mixing, pii, simhash, substring_dedup, token_files, toxicity
+from kartotek.llm import chat, decontamination, exact_dedup, line_dedup, mixing, pii, simhash, substring_dedup, token_files, toxicity
 from kartotek.llm.common import table
-from kartotek.sizing import scratch_path
+from kartotek.sizing import pinned, scratch_path
 
-# Tokenizer file and end id of the token files
+# Tokenizer files, end id of the token files
+BYTE_TOKENIZER = "byte_bpe_50k.json"
 WORD_TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 
@@ -162,3 +163,15 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.find(table(spark, folder, "documents"))
+
+
+@query()
+def op1_chat(spark: SparkSession, folder: str) -> DataFrame:
+    text = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame(
+        [(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string"
+    )
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    path = tokenizer_path(BYTE_TOKENIZER)
+    segments, leaves = chat.pack(rows, path)
+    return chat.read_back(pinned(segments), leaves, path)
