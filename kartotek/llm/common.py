@@ -50,14 +50,10 @@ def batch_of(schema: pa.Schema, columns: Iterable) -> pa.RecordBatch:
     )
 
 
-def with_results(docs: DataFrame, results: DataFrame, names: list[str], id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with the columns ``names`` of ``results``, whose ``doc_id`` is unique; a null id meets a null id.
-
-    Columns of the same name in ``docs`` are replaced.
-    """
-    clean = docs.drop(*[n for n in names if n != id_col])
-    found = results.select(F.col("doc_id").alias("__doc"), *names)
-    return clean.join(found, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__doc")), "left").drop("__doc")
+def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` without the rows whose id is in the one column of ``ids``; a null id meets a null id."""
+    left, right = docs.alias("docs"), ids.toDF("__id").alias("gone")
+    return left.join(right, F.col(f"docs.`{id_col}`").cast("long").eqNullSafe(F.col("gone.__id")), "left_anti")
 
 
 class Memo(dict):

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kartotek.llm.common import id_and_text
+from kartotek.llm.common import id_and_text, without_ids
 from kartotek.sizing import pinned
 
 # Marks cut off the ends of words, ends of sentences, units of measure
@@ -167,5 +167,5 @@ def matches(
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **columns: str) -> DataFrame:
     """``docs`` without the documents in which an item is found; rows that share an id go together."""
-    found = pinned(matches(docs, benchmark, id_col, text_col, **columns).select(F.col("doc_id").alias("__doc")).distinct())
-    return docs.join(found, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__doc")), "left_anti")
+    found = matches(docs, benchmark, id_col, text_col, **columns).select("doc_id").distinct()
+    return without_ids(docs, pinned(found), id_col)

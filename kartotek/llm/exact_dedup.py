@@ -91,5 +91,5 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = bloom.MAX_BITS) -> DataFrame:
     """``docs`` without the rows that :func:`decisions` drops; all columns stay as they are."""
-    dropped = decisions(docs, id_col, text_col, max_bits).filter(~F.col("kept")).select(F.col("doc_id").alias("__doc"))
-    return docs.join(dropped, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__doc")), "left_anti")
+    dropped = decisions(docs, id_col, text_col, max_bits).filter(~F.col("kept"))
+    return common.without_ids(docs, pinned(dropped.select("doc_id")), id_col)

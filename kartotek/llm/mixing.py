@@ -227,8 +227,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         .select("__doc", "__copy.*")
         .filter("__a1 IS NULL OR __b1 > __a1 OR __b2 > __a2")
     )
-    joined = docs.withColumn("__text", F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).drop(text_col).join(
-        kept, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__doc"))
-    )
-    cut = joined.drop("__doc").mapInArrow(_cut, joined.drop("__doc").schema)
+    left = docs.withColumn("__text", F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).drop(text_col).alias("docs")
+    joined = left.join(
+        kept.alias("kept"), F.col(f"docs.`{id_col}`").cast("long").eqNullSafe(F.col("kept.__doc"))
+    ).drop(F.col("kept.__doc"))
+    cut = joined.mapInArrow(_cut, joined.schema)
     return cut.withColumn(text_col, F.col("__text")).select(*[f"`{c}`" for c in docs.columns])

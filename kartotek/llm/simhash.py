@@ -219,27 +219,10 @@ def join_units(unit: np.ndarray, side: np.ndarray, bits: np.ndarray, budget: int
     return forest.parent
 
 
-def _complete_units(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[list[np.ndarray]]:
-    """Columns of ordered batches, cut between units only and in pieces of about ``rows``."""
-    held: list[list[np.ndarray]] = []
-    count = 0
-    for batch in batches:
-        held.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)])
-        count += batch.num_rows
-        if count < rows:
-            continue
-        columns = [np.concatenate(c) for c in zip(*held)]
-        cut = int(np.searchsorted(columns[0], columns[0][-1]))
-        if cut:
-            yield [c[:cut] for c in columns]
-        held, count = [[c[cut:] for c in columns]], len(columns[0]) - cut
-    if held:
-        yield [np.concatenate(c) for c in zip(*held)]
-
-
 def _links(unit_rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for unit, side, bits, turn in _complete_units(batches, unit_rows):
+        for leaves in common.whole_groups(batches, "unit", unit_rows):
+            unit, side, bits, turn = (leaves.column(c).to_numpy() for c in ("unit", "side", "bits", "turn"))
             bits = bits.view(np.uint64)
             order = np.lexsort((bits, side, unit))
             unit, side, bits, turn = unit[order], side[order], bits[order], turn[order]
@@ -292,5 +275,4 @@ def clusters(
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """``docs`` with only the document of the smallest id of each component; rows that share an id go together."""
     gone = clusters(docs, id_col, text_col, **settings).filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    lost = gone.select(F.col("doc_id").alias("__doc")).distinct()
-    return docs.join(lost, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__doc")), "left_anti")
+    return common.without_ids(docs, pinned(gone.select("doc_id").distinct()), id_col)
