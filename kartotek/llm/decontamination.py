@@ -84,7 +84,7 @@ def _windows(templates: DataFrame, keys: list[str]) -> DataFrame:
 def item_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """The windows that count of every item, their number, and whether they are probes."""
     rows = id_and_text(benchmark, item_col, text_col).select(
-        F.col("doc_id").alias("item_id"), F.xxhash64("text").alias("item"), "text"
+        F.coalesce("doc_id", F.lit(_NO_ID)).alias("item_id"), F.xxhash64("text").alias("item"), "text"
     ).distinct()
     content = F.expr("size(filter(shape, w -> w <> '' AND NOT startswith(w, '<')))")
     counted = _windows(_templates(rows), ["item_id", "item"]).filter(content >= CONTENT)
@@ -129,7 +129,7 @@ def matches(
     met = pinned(
         candidates.join(
             sides,
-            F.col("item_id").eqNullSafe(F.col("i_id")) & (F.col("item") == F.col("i")) & (F.col("hash") == F.col("i_hash")),
+            (F.col("item_id") == F.col("i_id")) & (F.col("item") == F.col("i")) & (F.col("hash") == F.col("i_hash")),
         ).withColumn("diagonal", F.col("place") - F.col("i_place"))
         .select("doc", "row", "item_id", "item", "windows", "i_place", "diagonal", "shape", "values", "i_values")
     )
@@ -159,7 +159,8 @@ def matches(
         .groupBy("doc", "item_id")
         .agg(F.max(F.struct((F.col("found") / F.col("windows")).alias("coverage"), "found", "windows", "kind")).alias("m"))
         .select(
-            F.expr(f"nullif(doc, {_NO_ID + 1} - 1)").alias("doc_id"), "item_id", F.col("m.windows").cast("long").alias("windows"),
+            F.nullif("doc", F.lit(_NO_ID)).alias("doc_id"), F.nullif("item_id", F.lit(_NO_ID)).alias("item_id"),
+            F.col("m.windows").cast("long").alias("windows"),
             F.col("m.found").cast("long").alias("found"), F.col("m.coverage").alias("coverage"), F.col("m.kind").alias("kind"),
         )
     )

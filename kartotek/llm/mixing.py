@@ -2,9 +2,9 @@
 
 A source's target is its share of all words by weight, but never over ``max_repeats`` times its size. Whole passes
 over a source need no choice. What is left of the targets is dealt out in blocks of equal size: first to the
-sources by highest quotients, then within each source to its shards by the same rule. A shard lays its documents in
-a line in seeded order, cut into blocks, and takes its quota of blocks from a seeded place on, so that nearly all
-documents stay whole.
+sources by highest quotients, then within each source to its shards by the same rule. A shard lays its documents in a ring in
+seeded order, cut into blocks from a seeded word on, and takes the first blocks up to its quota, so that nearly all
+documents stay whole. Only the block that closes the ring can be shorter than the others.
 
 A shard holds a bounded number of words and documents whatever the size of its source, and is the only thing
 that is gathered in one task. Only one row a source reaches the driver.
@@ -125,14 +125,11 @@ def _select_blocks(block_words: int, seed: int):
         size = docs["size"].to_numpy()
         end = np.cumsum(size)
         start, length = end - size, int(end[-1])
-        blocks = -(-length // block_words)
-        quota = min(int(docs["quota"].iloc[0]), blocks)
+        take = min(int(docs["quota"].iloc[0]) * block_words, length)
         place = np.array([(seed << 40) ^ (int(docs["source_no"].iloc[0]) << 20) ^ int(docs["shard"].iloc[0])])
-        first = int(_mixed(place)[0] % np.uint64(max(blocks, 1)))
-        last = first + quota
-        ranges = [(first, min(last, blocks)), (0, max(0, last - blocks))]
+        first = int(_mixed(place)[0] % np.uint64(max(length, 1)))
+        ranges = [(first, min(first + take, length)), (0, max(0, first + take - length))]
         for n, (low, high) in enumerate(ranges, 1):
-            low, high = min(low * block_words, length), min(high * block_words, length)
             a, b = np.clip(start, low, high) - start, np.clip(end, low, high) - start
             docs[f"a{n}"], docs[f"b{n}"] = np.where(b > a, a, 0), np.where(b > a, b, 0)
         return docs[["doc_id", "source", "size", "source_size", "target", "passes", "a1", "b1", "a2", "b2"]]
@@ -227,9 +224,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         .select("__doc", "__copy.*")
         .filter("__a1 IS NULL OR __b1 > __a1 OR __b2 > __a2")
     )
-    left = docs.withColumn("__text", F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).drop(text_col).alias("docs")
-    joined = left.join(
-        kept.alias("kept"), F.col(f"docs.`{id_col}`").cast("long").eqNullSafe(F.col("kept.__doc"))
-    ).drop(F.col("kept.__doc"))
-    cut = joined.mapInArrow(_cut, joined.schema)
-    return cut.withColumn(text_col, F.col("__text")).select(*[f"`{c}`" for c in docs.columns])
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    text = f"c{names.index(text_col)}"
+    joined = (
+        plain.withColumn("__text", F.coalesce(F.col(text), F.lit("")))
+        .join(kept, F.col(f"c{names.index(id_col)}").cast("long").eqNullSafe(F.col("__doc")))
+        .drop("__doc")
+    )
+    cut = joined.mapInArrow(_cut, joined.schema).withColumn(text, F.col("__text"))
+    return cut.select(*plain.columns).toDF(*names)

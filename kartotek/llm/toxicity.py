@@ -387,4 +387,6 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     """``docs`` without those that score 0.5 or more; all columns stay, and nothing is shuffled."""
     model = learn(common.id_and_text(docs, id_col, text_col), labels, **settings)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(_flagged(shared, text_col), docs.schema)
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    return plain.mapInArrow(_flagged(shared, f"c{names.index(text_col)}"), plain.schema).toDF(*names)
