@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,9 +22,9 @@ EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
     + " FROM events GROUP BY user_id"
 )
 def q_pivot_onehot(t: Tables) -> DataFrame:
-    """Events of each kind per user."""
+    """Events of each kind per user; the kinds are those found."""
     rows = t.events.select(F.col("user_id").alias("Index"), "event_type")
-    return onehot.pivot_onehot(rows, "event_type", values=EVENT_TYPES)
+    return onehot.pivot_onehot(rows, "event_type")
 
 
 @query(
@@ -74,8 +73,8 @@ def q_onehot_sparse(t: Tables) -> DataFrame:
         "o_orderkey", F.nullif("o_orderstatus", F.lit("P")).alias("status"), F.col("o_orderpriority").alias("priority")
     )
     vectors, _ = onehot.onehot_sparse(rows, "o_orderkey")
-    ones = vectors.select("o_orderkey", F.posexplode(vector_to_array("onehot")).alias("term_index", "x"))
-    return ones.filter("x = 1").select("o_orderkey", "term_index")
+    entries = vectors.select("o_orderkey", F.explode(vector_entries(F.col("onehot"))).alias("entry"))
+    return entries.select("o_orderkey", F.col("entry.index").alias("term_index"))
 
 
 @query(

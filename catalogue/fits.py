@@ -10,6 +10,7 @@ from catalogue.features import company_documents
 from catalogue.registry import Tables, query
 from kartotek.operators import clusters, regression, vectors
 from kartotek.operators.confusion import confusion_table
+from kartotek.operators.statistics import group_mean_vectors
 from kartotek.operators.sampling import stratified_split
 from kartotek.plans import clustering, company, outliers
 
@@ -61,7 +62,7 @@ def q_kmeans_grid(t: Tables) -> DataFrame:
 @query()
 def q_kmeans_cross_scores(t: Tables) -> DataFrame:
     """Mean held-out score of 2, 3 and 4 clusters."""
-    return clusters.kmeans_cross_scores(feature_vectors(t), "vec_id", folds=5)
+    return clusters.kmeans_cross_scores(feature_vectors(t), "vec_id")
 
 
 @query()
@@ -77,7 +78,7 @@ def q_cluster_companies(t: Tables) -> DataFrame:
 def q_one_pass(t: Tables) -> DataFrame:
     """One round of outlier removal with the logistic check."""
     rows = feature_vectors(t).withColumn("isOutlier", F.lit(0))
-    done = outliers.one_pass(rows, (2, 3), id_col="vec_id", folds=4, threshold=0.2)
+    done = outliers.one_pass(rows, (2, 3), id_col="vec_id", threshold=0.2)
     return done.select("vec_id", "label", "isOutlier", "predictionKmeans", "predictionLogReg")
 
 
@@ -128,7 +129,63 @@ def q_glm_summary(t: Tables) -> DataFrame:
 
 @query()
 def q_glm_residuals(t: Tables) -> DataFrame:
-    return regression.deviance_residuals(regression.fit_binomial(labelled_texts(t)))
+    rows = labelled_texts(t)
+    return regression.deviance_residuals(regression.fit_binomial(rows), rows, ["doc_id"])
+
+
+@query("SELECT count(*) AS n, true AS as_told, true AS null_as_told FROM documents JOIN labels USING (doc_id)")
+def q_glm_deviance(t: Tables) -> DataFrame:
+    """Squared residuals add up to the deviance, and the null deviance is that of the mean label."""
+    rows = labelled_texts(t)
+    model = regression.fit_binomial(rows)
+    summary = regression.binomial_summary(t.spark, model)
+    p = F.avg("label")
+    null = -2 * F.count("*") * (p * F.log(p) + (1 - p) * F.log(1 - p))
+    told = summary.select("deviance", "null_deviance").first()
+    squares = F.sum(F.col("devianceResiduals") * F.col("devianceResiduals"))
+    residuals = regression.deviance_residuals(model, rows, ["label"])
+    return residuals.agg(
+        F.count("*").alias("n"), (F.abs(squares / told["deviance"] - 1) < 1e-9).alias("as_told"),
+        (F.abs(null / told["null_deviance"] - 1) < 1e-9).alias("null_as_told"),
+    )
+
+
+@query("SELECT unnest([4, 8, 10, 12, 16]) AS k, true AS same_cost")
+def q_kmeans_grid_costs(t: Tables) -> DataFrame:
+    """The cost that each fit tells, once its centres stand still, equals that of the rows measured against them."""
+    rows = feature_vectors(t)
+    checked = []
+    for k in clusters.TRIED_CLUSTERS:
+        model = clusters.fit_kmeans(rows, k, "features", max_iterations=200)
+        near = clusters.nearest_centres(rows, clusters.centres_frame(t.spark, model), "features")
+        checked.append((k, abs(clusters.wssse(near).first()["wssse"] / model.summary.trainingCost - 1) < 1e-4))
+    return t.spark.createDataFrame(checked, "k int, same_cost boolean")
+
+
+@query("SELECT CAST(0 AS BIGINT) AS moved FROM embeddings LIMIT 1")
+def q_kmeans_converged(t: Tables) -> DataFrame:
+    """Centres of a fit run to its end that are not the mean of their rows: none."""
+    rows = feature_vectors(t)
+    model = clusters.fit_kmeans(rows, features="features", max_iterations=200)
+    assigned = clusters.assign_clusters(model, rows)
+    means = group_mean_vectors(assigned, "prediction", "features")
+    centres = clusters.centres_frame(t.spark, model)
+    both = means.join(centres, F.col("prediction") == F.col("cluster"))
+    gap = F.array_max(F.zip_with("mean", "coordinates", lambda a, b: F.abs(a - b)))
+    return both.agg(F.count_if(gap > 1e-3).alias("moved"))
+
+
+@query(
+    """
+SELECT count(*) AS n, CAST(count(*) AS BIGINT) AS flagged, count(DISTINCT vec_id) AS ids FROM embeddings
+"""
+)
+def q_one_pass_rows(t: Tables) -> DataFrame:
+    """A round keeps every row once, and every row has a flag."""
+    done = q_one_pass(t.spark, t.folder)
+    return done.agg(
+        F.count("*").alias("n"), F.count("isOutlier").alias("flagged"), F.count_distinct("vec_id").alias("ids")
+    )
 
 
 @query()

@@ -279,3 +279,20 @@ def q_sample_rows(t: Tables) -> DataFrame:
 @query()
 def q_sample_by(t: Tables) -> DataFrame:
     return sampling.sample_by(t.events, "event_type", {"purchase": 0.5, "view": 0.1})
+
+
+@query("SELECT event_id, value FROM events WHERE CAST(concat('0x', substr(md5(CAST(event_id AS VARCHAR)), 1, 15)) AS BIGINT) < 0.1 * 1152921504606846976")
+def q_sample_digest(t: Tables) -> DataFrame:
+    return sampling.sample_by_digest(t.events, "event_id", 0.1).select("event_id", "value")
+
+
+@query(
+    """
+SELECT event_id, event_type FROM events
+WHERE CAST(concat('0x', substr(md5(CAST(event_id AS VARCHAR)), 1, 15)) AS BIGINT)
+      < CASE event_type WHEN 'purchase' THEN 0.5 WHEN 'view' THEN 0.1 ELSE 0 END * 1152921504606846976
+"""
+)
+def q_sample_digest_by(t: Tables) -> DataFrame:
+    chosen = sampling.sample_by_digest(t.events, "event_id", by="event_type", fractions={"purchase": 0.5, "view": 0.1})
+    return chosen.select("event_id", "event_type")

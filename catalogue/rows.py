@@ -406,8 +406,8 @@ def q_array_lower(t: Tables) -> DataFrame:
 
 @query(
     """
-SELECT o_orderkey, CAST(concat('0x', substr(md5(o_orderpriority), 1, 7)) AS INTEGER) AS h1,
-       CAST(concat('0x', substr(md5(o_orderstatus), 1, 7)) AS INTEGER) AS h2
+SELECT o_orderkey, CAST(concat('0x', substr(md5(o_orderpriority), 1, 15)) AS BIGINT) AS h1,
+       CAST(concat('0x', substr(md5(o_orderstatus), 1, 15)) AS BIGINT) AS h2
 FROM orders
 """
 )

@@ -15,5 +15,6 @@ def closed_date(text: Column) -> Column:
 
 
 def whole_days(start: Column, end: Column) -> Column:
-    """Days between two dates in either order, at least one."""
-    return F.greatest(F.abs(F.datediff(closed_date(end), closed_date(start))), F.lit(1))
+    """Days between two dates in either order, at least one; null when either is malformed."""
+    days = F.abs(F.datediff(closed_date(end), closed_date(start)))
+    return F.when(days.isNotNull(), F.greatest(days, F.lit(1)))

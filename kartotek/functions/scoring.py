@@ -11,12 +11,6 @@ CONFUSION_CLASSES = ("TP", "TN", "FN", "FP", "Excluded")
 
 def confusion_class(label: Column, prediction: Column) -> Column:
     """``TP``, ``TN``, ``FN`` or ``FP``; ``Excluded`` when the prediction is null or not a number."""
-    gap = F.abs(label - prediction)
-    right, wrong = gap == 0, gap == 1
-    return (
-        F.when(right & (label == 0), "TN")
-        .when(right & (label == 1), "TP")
-        .when(wrong & (label == 0), "FP")
-        .when(wrong & (label == 1), "FN")
-        .otherwise("Excluded")
-    )
+    correct = F.when(prediction == label, "T").when(prediction == 1 - label, "F")
+    named = F.when(prediction == 1, "P").when(prediction == 0, "N")
+    return F.coalesce(F.concat(correct, named), F.lit("Excluded"))

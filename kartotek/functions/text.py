@@ -54,8 +54,8 @@ def lower_elements(texts: Column) -> Column:
 
 
 def hash_elements(texts: Column) -> Column:
-    """A stable 28-bit number for every element of an array, taken from its MD5 digest."""
-    return F.transform(texts, lambda t: F.conv(F.substring(F.md5(t), 1, 7), 16, 10).cast("int"))
+    """A stable 60-bit number for every element of an array, taken from its MD5 digest."""
+    return F.transform(texts, lambda t: F.conv(F.substring(F.md5(t), 1, 15), 16, 10).cast("long"))
 
 
 def words(text: Column) -> Column:

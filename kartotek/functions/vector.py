@@ -61,11 +61,35 @@ def sparse_vector(size: Column, indices: Column, values: Column) -> Column:
 
 def vector_entries(vector: Column) -> Column:
     """The non-zero entries of an ML vector as an array of ``index, value``; a sparse one is not widened."""
-    kind = "v struct<type:int,size:int,indices:array<int>,values:array<double>>"
-    parts = F.from_json(F.to_json(F.struct(vector.alias("v"))), kind).getField("v")
+    parts = F.unwrap_udt(vector)
     values = parts.getField("values")
     places = F.when(parts.getField("type") == 0, parts.getField("indices")).otherwise(
         F.when(F.size(values) > 0, F.sequence(F.lit(0), F.size(values) - 1)).otherwise(F.array().cast("array<int>"))
     )
     entries = F.arrays_zip(places.alias("index"), values.alias("value"))
     return F.filter(entries, lambda e: e["value"] != 0)
+
+
+def vector_distance(vector: Column, centre: Column) -> Column:
+    """Distance of an ML vector to an array of the same size; a sparse vector is not widened.
+
+    Of a sparse one, the centre's square is corrected at the stored positions.
+    """
+    parts = F.unwrap_udt(vector)
+    values, places, size = parts.getField("values"), parts.getField("indices"), parts.getField("size")
+    problem = F.format_string("vector sizes differ: %d and %d", size, F.size(centre))
+    stored = (
+        F.when(size == F.size(centre), F.arrays_zip(places.alias("at"), values.alias("x")))
+        .when(size.isNull() | centre.isNull(), None)
+        .otherwise(F.raise_error(problem))
+    )
+
+    def more(e):
+        c = F.get(centre, e["at"])
+        return (e["x"] - c) * (e["x"] - c) - c * c
+
+    square = F.aggregate(centre, F.lit(0.0), lambda total, c: total + c * c)
+    sparse = F.aggregate(stored, square, lambda total, e: total + more(e))
+    return F.when(parts.getField("type") == 1, norm(abs_difference(values, centre))).otherwise(
+        F.when(sparse.isNotNull(), F.sqrt(F.greatest(sparse, F.lit(0.0))))
+    )

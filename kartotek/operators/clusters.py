@@ -13,10 +13,10 @@ from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kartotek.functions.vector import abs_difference, norm
+from kartotek.functions.vector import abs_difference, norm, vector_distance
 from kartotek.operators.nested import quoted
 from kartotek.operators.statistics import as_array
-from kartotek.sizing import lookup_join, settle, settled_or_pinned
+from kartotek.sizing import SMALL_BYTES, lookup_join, settled_or_pinned
 
 # Fixed values
 CLUSTERS = 8
@@ -72,10 +72,38 @@ def center_distances(
     """
     lookup = centres.select(F.col("cluster").alias(prediction), F.col("coordinates").alias("__centre"))
     joined = lookup_join(frame, lookup, [prediction], "inner")
-    difference = abs_difference(as_array(frame, features), F.col("__centre"))
-    if contribution is None:
-        return joined.withColumn(distance, norm(difference)).drop("__centre")
-    return joined.withColumn(contribution, difference).withColumn(distance, norm(F.col(contribution))).drop("__centre")
+    if contribution is not None:
+        difference = abs_difference(as_array(frame, features), F.col("__centre"))
+        return joined.withColumn(contribution, difference).withColumn(distance, norm(F.col(contribution))).drop("__centre")
+    if isinstance(frame.schema[features].dataType, VectorUDT):
+        away = vector_distance(F.col(quoted(features)), F.col("__centre"))
+    else:
+        away = norm(abs_difference(as_array(frame, features), F.col("__centre")))
+    return joined.withColumn(distance, away).drop("__centre")
+
+
+def _entries_of(vectors):
+    """Row, position and value of every stored entry of a batch of unwrapped vectors, and their sizes."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    values = vectors.field("values")
+    row = pc.list_parent_indices(values).to_numpy().astype("int64")
+    value = pc.list_flatten(values).to_numpy(zero_copy_only=False)
+    stored = pc.list_value_length(values).to_numpy(zero_copy_only=False).astype("int64")
+    sparse = vectors.field("type").to_numpy(zero_copy_only=False) == 0
+    first = np.cumsum(stored) - stored
+    position = np.arange(len(row)) - first[row]
+    position[sparse[row]] = pc.list_flatten(vectors.field("indices").filter(pa.array(sparse))).to_numpy(zero_copy_only=False)
+    size = np.where(sparse, vectors.field("size").fill_null(0).to_numpy(zero_copy_only=False), stored)
+    return row, position, value, size
+
+
+def _blocks(rows: list[tuple[int, list[float]]], max_bytes: int) -> list[list[tuple[int, list[float]]]]:
+    """Centres in blocks of bounded size."""
+    width = max((len(point) for _, point in rows), default=1)
+    step = max(1, max_bytes // (8 * max(width, 1)))
+    return [rows[i : i + step] for i in range(0, len(rows), step)]
 
 
 def nearest_centres(
@@ -84,45 +112,68 @@ def nearest_centres(
     features: str = "scaledfeatures",
     prediction: str = "prediction",
     distance: str = "distance",
+    block_bytes: int = SMALL_BYTES,
 ) -> DataFrame:
     """Assign rows to given centres and measure the distance in one pass; ties go to the lower cluster.
 
-    Arrow hands each batch of vectors over as one matrix, so the k distances of a
-    row cost one matrix product instead of k interpreted array expressions. The
-    centres travel with the function; they must fit the limits of ``settle``.
+    Arrow hands each batch of vectors over as one matrix, so the distances of a row cost one matrix product
+    instead of interpreted array expressions; sparse vectors are used entry by entry and never widened. Centres
+    come from a fitted model and so fit the driver; they travel with the function in blocks of ``block_bytes``,
+    and the nearest of each block's nearest is a row's centre.
     """
-    small = settle(centres.select("cluster", "coordinates"))
-    if small is None:
-        raise ValueError("too many centres to send to every task")
-    rows = sorted((row["cluster"], row["coordinates"]) for row in small.collect())
-    numbers, points = [r[0] for r in rows], [r[1] for r in rows]
-
-    @F.arrow_udf("struct<cluster:int,distance:double>")
-    def nearest(vectors):
-        import numpy as np
-        import pyarrow as pa
-
-        centre = np.asarray(points, dtype=float)
-        names = np.asarray(numbers, dtype="int32")
-        valid = vectors.is_valid().to_numpy(zero_copy_only=False)
-        present = vectors.drop_null()
-        values = present.flatten().to_numpy(zero_copy_only=False)
-        if len(values) != len(present) * centre.shape[1]:
-            raise ValueError("vector sizes differ from those of the centres")
-        matrix = values.reshape(len(present), centre.shape[1])
-        squared = (centre**2).sum(axis=1) - 2 * matrix @ centre.T
-        best = squared.argmin(axis=1)
-        gaps = np.sqrt(((matrix - centre[best]) ** 2).sum(axis=1))
-        cluster, away = np.zeros(len(vectors), "int32"), np.zeros(len(vectors))
-        cluster[valid], away[valid] = names[best], gaps
-        return pa.StructArray.from_arrays(
-            [pa.array(cluster, mask=~valid), pa.array(away, mask=~valid)], names=["cluster", "distance"]
-        )
-
-    found = frame.withColumn("__nearest", nearest(as_array(frame, features)))
-    return found.withColumns(
+    rows = sorted((row["cluster"], row["coordinates"]) for row in centres.select("cluster", "coordinates").collect())
+    is_vector = isinstance(frame.schema[features].dataType, VectorUDT)
+
+    def nearest_of(block):
+        numbers, points = [r[0] for r in block], [r[1] for r in block]
+
+        @F.arrow_udf("struct<distance:double,cluster:int>")
+        def nearest(vectors):
+            import numpy as np
+            import pyarrow as pa
+
+            centre = np.asarray(points, dtype=float)
+            names = np.asarray(numbers, dtype="int32")
+            valid = vectors.is_valid().to_numpy(zero_copy_only=False)
+            present = vectors.drop_null()
+            if is_vector:
+                row, position, value, size = _entries_of(present)
+                if (size != centre.shape[1]).any():
+                    raise ValueError("vector sizes differ from those of the centres")
+                own = np.bincount(row, weights=value * value, minlength=len(present))
+                dots = np.stack([np.bincount(row, weights=value * c[position], minlength=len(present)) for c in centre], axis=1)
+                squared = own[:, None] - 2 * dots + (centre**2).sum(axis=1)
+                best = squared.argmin(axis=1)
+                chosen = value - centre[best[row], position]
+                gone = centre[best[row], position]
+                near = np.bincount(row, weights=chosen * chosen - gone * gone, minlength=len(present))
+                gaps = np.sqrt(np.maximum(near + (centre[best] ** 2).sum(axis=1), 0.0))
+            else:
+                values = present.flatten().to_numpy(zero_copy_only=False)
+                if len(values) != len(present) * centre.shape[1]:
+                    raise ValueError("vector sizes differ from those of the centres")
+                matrix = values.reshape(len(present), centre.shape[1])
+                squared = (centre**2).sum(axis=1) - 2 * matrix @ centre.T
+                best = squared.argmin(axis=1)
+                gaps = np.sqrt(((matrix - centre[best]) ** 2).sum(axis=1))
+            cluster, away = np.zeros(len(vectors), "int32"), np.zeros(len(vectors))
+            cluster[valid], away[valid] = names[best], gaps
+            return pa.StructArray.from_arrays(
+                [pa.array(away, mask=~valid), pa.array(cluster, mask=~valid)], names=["distance", "cluster"]
+            )
+
+        return nearest
+
+    vector = F.unwrap_udt(F.col(quoted(features))) if is_vector else as_array(frame, features)
+    found = frame
+    blocks = _blocks(rows, block_bytes)
+    for i, block in enumerate(blocks):
+        found = found.withColumn(f"__nearest{i}", nearest_of(block)(vector))
+    names = [f"__nearest{i}" for i in range(len(blocks))]
+    best = F.least(*names) if len(names) > 1 else F.col(names[0])
+    return found.withColumn("__nearest", best).withColumns(
         {prediction: F.col("__nearest.cluster"), distance: F.col("__nearest.distance")}
-    ).drop("__nearest")
+    ).drop("__nearest", *names)
 
 
 def wssse(frame: DataFrame, distance: str = "distance", name: str = "wssse") -> DataFrame:

@@ -16,30 +16,39 @@ LOG_LOW, LOG_HIGH, LOG_EDGES = 0, 8, 100
 
 
 def group_bounds(frame: DataFrame, value: str, by: list[str], weight: str | None = None) -> DataFrame:
-    """Per group ``total, mean, stddev, lo, hi`` of a number column; nulls are left out.
+    """Per group ``total, mean, stddev, lo, hi`` of a number column; nulls and NaN are left out.
 
-    ``weight`` names a column saying how many times each row counts.
+    ``weight`` names a column saying how many times each row counts. The spread is
+    then a second aggregate around the mean, so that large values do not cancel.
     """
     number = F.col(quoted(value)).cast("double")
+    keys = [F.col(quoted(c)) for c in by]
+    rows = frame.filter(_counts(number))
+    low, high = F.min(number).alias("lo"), F.max(number).alias("hi")
     if weight is None:
-        total, mean, stddev = F.count("*"), F.avg(number), F.stddev_samp(number)
-    else:
-        times = F.col(quoted(weight))
-        total, first, second = F.sum(times), F.sum(times * number), F.sum(times * number * number)
-        mean = first / total
-        variance = F.greatest(second - first * first / total, F.lit(0.0)) / (total - 1)
-        stddev = F.when(total > 1, F.sqrt(variance))
-    return (
-        frame.filter(number.isNotNull())
-        .groupBy(*[F.col(quoted(c)) for c in by])
-        .agg(
-            total.alias("total"),
-            mean.alias("mean"),
-            stddev.alias("stddev"),
-            F.min(number).alias("lo"),
-            F.max(number).alias("hi"),
+        return rows.groupBy(*keys).agg(
+            F.count("*").alias("total"), F.avg(number).alias("mean"), F.stddev_samp(number).alias("stddev"), low, high
         )
+    times = F.col(quoted(weight))
+    first = rows.groupBy(*keys).agg(
+        F.sum(times).alias("total"), (F.sum(times * number) / F.sum(times)).alias("mean"), low, high
     )
+    narrow = rows.select(*keys, number.alias("__x"), times.alias("__times"))
+    if by:
+        around = lookup_join(narrow, settled_or_pinned(first), by, "inner")
+    else:
+        around = narrow.withColumn("__m", first.select(F.struct("total", "mean", "lo", "hi")).scalar()).select(
+            "__x", "__times", "__m.*"
+        )
+    gap = F.col("__x") - F.col("mean")
+    spread = around.groupBy(*keys, "total", "mean", "lo", "hi").agg(F.sum(F.col("__times") * gap * gap).alias("__squares"))
+    stddev = F.when(F.col("total") > 1, F.sqrt(F.col("__squares") / (F.col("total") - 1)))
+    return spread.select(*keys, "total", "mean", stddev.alias("stddev"), "lo", "hi")
+
+
+def _counts(number):
+    """Whether a number has a place in a histogram."""
+    return number.isNotNull() & ~F.isnan(number)
 
 
 def histogram(
@@ -50,7 +59,7 @@ def histogram(
     bounds: DataFrame | None = None,
     weight: str | None = None,
 ) -> DataFrame:
-    """Equal bins between the least and greatest value of each group, empty bins included.
+    """Equal bins between the least and greatest value of each group, empty bins included; nulls and NaN are left out.
 
     One row per group and bin: ``bin, bin_lo, bin_hi, n, density``. The last bin is
     closed. A group with one single value has all rows in bin 0 and no density.
@@ -62,7 +71,7 @@ def histogram(
     times = F.lit(1).cast("long") if weight is None else F.col(quoted(weight))
     limits = settled_or_pinned(bounds if bounds is not None else group_bounds(frame, value, by, weight))
     limits = limits.select(*keys, "total", "lo", ((F.col("hi") - F.col("lo")) / bins).alias("width"))
-    rows = frame.filter(number.isNotNull()).select(*keys, number.alias("__x"), times.alias("__times"))
+    rows = frame.filter(_counts(number)).select(*keys, number.alias("__x"), times.alias("__times"))
     if by:
         rows = lookup_join(rows, limits, by, "inner")
     else:

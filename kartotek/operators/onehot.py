@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kartotek.functions.vector import sparse_vector
 from kartotek.operators.indexing import term_dictionary
 from kartotek.operators.nested import quoted
-from kartotek.sizing import lookup_join, settle, small_vocabulary
+from kartotek.operators.words import token_vectors
+from kartotek.sizing import lookup_join, settle
 
 Values = dict[str, list[str | None]]
 
@@ -97,20 +96,11 @@ def onehot_sparse(
 ) -> tuple[DataFrame, DataFrame]:
     """``index`` with one sparse 0/1 vector over all ``<column>:<value>`` terms, and the dictionary used.
 
-    Any number of distinct values will do. A small dictionary travels with the
-    plan and each row is done in place; a large one is joined and the at most
-    ``len(columns)`` hits of a row are put together again by index.
+    Any number of distinct values will do; each row has a vector of its own, also
+    when its index repeats.
     """
     columns = columns if columns is not None else [c for c in text_columns(frame) if c != index]
     parts = [F.concat(F.lit(f"{c}:"), F.coalesce(F.col(quoted(c)).cast("string"), F.lit("null"))) for c in columns]
     terms = frame.select(F.col(quoted(index)), F.array(*parts).alias("__terms"))
     dictionary = dictionary if dictionary is not None else term_dictionary(terms, "__terms")
-    vocabulary = small_vocabulary(dictionary)
-    if vocabulary is not None:
-        encoder = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="__terms", outputCol=output)
-        return encoder.transform(terms).drop("__terms"), dictionary
-    size = dictionary.agg(F.count("*")).scalar()
-    hits = lookup_join(terms.select(F.col(quoted(index)), F.explode("__terms").alias("term")), dictionary, ["term"])
-    grouped = hits.groupBy(F.col(quoted(index))).agg(F.array_compact(F.sort_array(F.collect_list("term_index"))).alias("__at"))
-    ones = F.transform("__at", lambda _: F.lit(1.0))
-    return grouped.withColumn("__size", size).select(F.col(quoted(index)), sparse_vector(F.col("__size"), F.col("__at"), ones).alias(output)), dictionary
+    return token_vectors(terms, [index], "__terms", dictionary, output, binary=True), dictionary

@@ -9,13 +9,19 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression, GeneralizedLinearRegressionModel
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Fixed values
 INVERSE_STRENGTHS = (0.1, 0.333, 0.666, 0.999)
 
 
 def fit_binomial(frame: DataFrame, label: str = "label", features: str = "features") -> GeneralizedLinearRegressionModel:
-    """Binomial GLM with logit link."""
+    """Binomial GLM with logit link.
+
+    It is fitted by iteratively reweighted least squares over a matrix of features by
+    features, which Spark limits to 4,096 features; wider tables are for
+    :func:`fit_elastic_net` or :func:`fit_logistic_grid`.
+    """
     return GeneralizedLinearRegression(
         family="binomial", link="logit", labelCol=label, featuresCol=features, predictionCol="predictions"
     ).fit(frame)
@@ -67,9 +73,15 @@ def binomial_summary(spark: SparkSession, model: GeneralizedLinearRegressionMode
     )
 
 
-def deviance_residuals(model: GeneralizedLinearRegressionModel) -> DataFrame:
-    """The deviance residual of every training row."""
-    return model.summary.residuals("deviance")
+def deviance_residuals(
+    model: GeneralizedLinearRegressionModel, frame: DataFrame, keep: list[str], label: str = "label"
+) -> DataFrame:
+    """The deviance residual of every row, next to the columns ``keep``."""
+    scored = model.transform(frame.drop(model.getPredictionCol()))
+    y, mu = F.col(label).cast("double"), F.col("predictions")
+    loss = -2 * F.when(y > 0, F.log(mu)).otherwise(F.log1p(-mu))
+    residual = F.signum(y - mu) * F.sqrt(loss)
+    return scored.select(*keep, residual.alias("devianceResiduals"))
 
 
 def fit_logistic_grid(

@@ -26,6 +26,23 @@ def sample_by(frame: DataFrame, column: str, fractions: dict[Any, float], seed:
     return frame.sampleBy(column, fractions, seed)
 
 
+def sample_by_digest(
+    frame: DataFrame, id_col: str, fraction: float = SAMPLE_FRACTION, seed: str = "", by: str | None = None,
+    fractions: dict[Any, float] | None = None,
+) -> DataFrame:
+    """About ``fraction`` of all rows, or the given fraction of each value of ``by``, chosen by the MD5 of seed and id.
+
+    The same rows are chosen in every run and by every engine, however the table is split.
+    """
+    place = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.col(quoted(id_col)).cast("string"))), 1, 15), 16, 10)
+    share = F.lit(fraction)
+    if by is not None:
+        share = F.lit(0.0)
+        for value, part in (fractions or {}).items():
+            share = F.when(F.col(quoted(by)).eqNullSafe(F.lit(value)), F.lit(part)).otherwise(share)
+    return frame.filter(place.cast("long") < share * float(1 << 60))
+
+
 def stratified_split(
     frame: DataFrame,
     label: str,

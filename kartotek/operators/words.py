@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,7 +9,7 @@ from pyspark.sql import types as T
 from kartotek.functions.text import words
 from kartotek.functions.vector import sparse_vector
 from kartotek.operators.nested import elements, quoted
-from kartotek.sizing import lookup_join, small_vocabulary
+from kartotek.sizing import lookup_join, pinned
 
 
 def word_count(frame: DataFrame, text_col: str) -> DataFrame:
@@ -68,24 +67,54 @@ def bag_of_words(
     return found.select(F.col(quoted(id_col)), at.alias("term_index"), "n")
 
 
+def numbered_size(dictionary: DataFrame) -> int:
+    """How many terms a dictionary has; an error unless they are numbered 0, 1, 2, ... without gap or repeat."""
+    index = F.col("term_index")
+    n, low, high, distinct = dictionary.agg(
+        F.count("*"), F.min(index), F.max(index), F.count_distinct(index)
+    ).first()
+    if n and (low, high, distinct) != (0, n - 1, n):
+        raise ValueError(f"{n} terms numbered {low} to {high} with {distinct} different numbers")
+    return n
+
+
+def token_vectors(
+    frame: DataFrame, keep: list[str], tokens_col: str, dictionary: DataFrame, output: str, binary: bool = False
+) -> DataFrame:
+    """The columns ``keep`` of every row with a sparse vector of its dictionary terms, however many terms there are.
+
+    Each row is a row of its own, also when its other columns repeat; a null array
+    gives an empty vector, and tokens the dictionary lacks are dropped. Rows get a
+    number when they are written, their counted terms meet the dictionary by join,
+    and come together again by that number.
+    """
+    size = numbered_size(dictionary)
+    columns = [F.col(quoted(c)).alias(f"__k{i}") for i, c in enumerate(keep)]
+    rows = pinned(
+        frame.select(*columns, F.col(quoted(tokens_col)).alias("__tokens")).withColumn(
+            "__row", F.monotonically_increasing_id()
+        )
+    )
+    held = [f"__k{i}" for i in range(len(keep))]
+    counts = lookup_join(
+        token_counts(rows, "__row", "__tokens"), dictionary.select("term", "term_index"), ["term"], "inner"
+    )
+    value = F.lit(1.0) if binary else F.col("n").cast("double")
+    entry = F.struct(F.col("term_index").cast("long").alias("at"), value.alias("value"))
+    none = F.lit(None).cast("struct<at:bigint,value:double>")
+    found = counts.select("__row", *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in held], entry.alias("__e"))
+    every = rows.select("__row", *held, none.alias("__e")).unionByName(found)
+    firsts = [F.first(c, ignorenulls=True).alias(c) for c in held]
+    together = every.groupBy("__row").agg(*firsts, F.sort_array(F.collect_list("__e")).alias("__entries"))
+    vector = sparse_vector(F.lit(size), F.col("__entries.at"), F.col("__entries.value"))
+    return together.select(*[F.col(h).alias(c) for h, c in zip(held, keep)], vector.alias(output))
+
+
 def bag_of_words_vectors(
     frame: DataFrame, id_col: str, tokens_col: str, dictionary: DataFrame, output: str = "features"
 ) -> DataFrame:
-    """``<id>`` with a sparse count vector as long as the dictionary; unknown tokens are dropped.
+    """``<id>`` with a sparse count vector as long as the dictionary, one per row; unknown tokens are dropped.
 
     The dictionary must be numbered 0, 1, 2, ... as :func:`term_dictionary` does.
     """
-    vocabulary = small_vocabulary(dictionary)
-    rows = frame.select(F.col(quoted(id_col)), F.col(quoted(tokens_col)).alias("__tokens"))
-    if vocabulary is not None:
-        encoder = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="__tokens", outputCol=output)
-        return encoder.transform(rows).drop("__tokens")
-    size = dictionary.agg(F.count("*")).scalar()
-    hits = bag_of_words(rows, id_col, "__tokens", dictionary)
-    grouped = hits.groupBy(F.col(quoted(id_col))).agg(F.sort_array(F.collect_list(F.struct("term_index", "n"))).alias("__hits"))
-    every = rows.select(F.col(quoted(id_col))).join(grouped, id_col, "left").withColumn("__size", size)
-    hits_or_none = F.coalesce("__hits", F.array().cast("array<struct<term_index:bigint,n:bigint>>"))
-    return every.select(
-        F.col(quoted(id_col)),
-        sparse_vector(F.col("__size"), hits_or_none["term_index"], hits_or_none["n"]).alias(output),
-    )
+    return token_vectors(frame, [id_col], tokens_col, dictionary, output)

@@ -50,19 +50,19 @@ def cluster_table(
     index: str = "Index",
     imputed: tuple[str, ...] = IMPUTED,
     values: Values | None = None,
-    wide: bool = True,
+    wide: bool = False,
     seed: int = 42,
 ) -> Clustering:
     """One-hot, impute, assemble, scale and fit.
 
-    With ``wide=False`` the text columns go straight into one sparse vector, so
-    codes with very many values need no column each.
+    The text columns go straight into one sparse vector, so codes may have any
+    number of values; with ``wide`` each value has a column of its own.
     """
     if wide:
         features, names = numeric_features(table, imputed, values=values, index=index)
     else:
         texts, _ = onehot_sparse(table.drop("stiftelsesDato"), index)
-        numbers = [c for c, kind in table.dtypes if kind != "string" and c not in NOT_FEATURES]
+        numbers = [c for c, kind in table.dtypes if kind != "string" and c not in (*NOT_FEATURES, index)]
         filled = impute_mean(table.select(index, *numbers), [c for c in imputed if c in numbers])
         features, names = filled.join(texts, index), [*numbers, "onehot"]
     vectors = assemble(features, names).select(index, "features").persist()

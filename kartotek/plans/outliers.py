@@ -32,14 +32,15 @@ def one_pass(
 ) -> DataFrame:
     """Cluster the rows not yet outliers, mark small clusters, and predict the label on held-out rows.
 
-    Rows with ``isOutlier > 0`` sit the round out and keep what they have. Of the
+    Rows with ``isOutlier > 0`` sit the round out and keep what they have; a null
+    counts as 0. Of the
     others, rows in clusters with at most ``threshold`` of the rows get
     ``isOutlier = iteration``; a stratified fifth of the rest gets a logistic
     prediction. All other rows of the round have ``predictionLogReg`` NaN.
     """
     if "isOutlier" not in frame.columns:
         raise ValueError(f"isOutlier is not in the frame: {frame.columns}")
-    open_rows, earlier = split_by_flag(frame, "isOutlier")
+    open_rows, earlier = split_by_flag(frame.withColumn("isOutlier", F.coalesce("isOutlier", F.lit(0))), "isOutlier")
     open_rows = open_rows.drop("predictionKmeans", "predictionLogReg").persist()
     k = choose_k(kmeans_cross_scores(open_rows, id_col, ks, features, folds, seed=seed))
     model = fit_kmeans(open_rows, k, features, seed=seed, prediction="predictionKmeans")

@@ -2,7 +2,7 @@
 
 Nothing in the library broadcasts a side on trust. A side that is expected to be
 small (group statistics, centres, dictionaries) goes through :func:`settle`,
-which runs it once under a row and byte limit. Above the limit the join is an
+which runs it once and measures it under a row and byte limit. Above the limit the join is an
 ordinary shuffle join with the lookup replicated over a few salts, so one hot key
 is spread over several tasks.
 """
@@ -14,47 +14,77 @@ import uuid
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import ArrayType, DataType, MapType, StructType, UserDefinedType
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType, UserDefinedType
 
 SMALL_ROWS = 100_000
 SMALL_NESTED_ROWS = 10_000
-SMALL_VOCABULARY = 2_000
 SMALL_BYTES = 64 << 20
 SALTS = 16
 
+_MADE: list[str] = []
+
 
 def _only_as_rows(kind: DataType) -> bool:
     """Types that do not go through Arrow unchanged from Python values."""
     return isinstance(kind, UserDefinedType) or "timestamp" in kind.simpleString()
 
 
+def _nested(kind: DataType) -> bool:
+    return isinstance(kind, (ArrayType, MapType, StructType, UserDefinedType))
+
+
+def value_bytes(value: Column, kind: DataType) -> Column:
+    """About how many bytes a value takes, worked out where the row is."""
+    if isinstance(kind, UserDefinedType):
+        value, kind = F.unwrap_udt(value), kind.sqlType()
+    if isinstance(kind, (StringType, BinaryType)):
+        size = F.octet_length(value) + 8
+    elif isinstance(kind, ArrayType):
+        inner = kind.elementType
+        if _nested(inner) or isinstance(inner, (StringType, BinaryType)):
+            each = F.transform(value, lambda x: value_bytes(x, inner))
+            size = F.aggregate(each, F.lit(8).cast("long"), lambda total, n: total + n)
+        else:
+            size = F.size(value) * 8 + 8
+    elif isinstance(kind, MapType):
+        keys = value_bytes(F.map_keys(value), ArrayType(kind.keyType))
+        size = keys + value_bytes(F.map_values(value), ArrayType(kind.valueType))
+    elif isinstance(kind, StructType):
+        size = reduce(
+            lambda x, y: x + y, [value_bytes(value.getField(f.name), f.dataType) for f in kind.fields], F.lit(8)
+        )
+    else:
+        size = F.lit(8)
+    return F.coalesce(size.cast("long"), F.lit(8).cast("long"))
+
+
 def settle(frame: DataFrame, max_rows: int | None = None, max_bytes: int = SMALL_BYTES) -> DataFrame | None:
     """``frame`` as a local table of known size, or None when it is not small.
 
-    At most ``max_rows + 1`` rows reach the driver, and Spark stops computing result
-    partitions once it has them; frames with arrays or structs, whose rows may be
-    wide, have a lower limit than flat ones.
+    Rows and their bytes are counted where they are, over at most ``max_rows + 1`` rows, and only a table within
+    both limits is collected; frames with arrays, structs or vectors have a lower limit of rows than flat ones.
     """
+    schema = frame.schema
     if max_rows is None:
-        nested = any(isinstance(f.dataType, (ArrayType, MapType, StructType)) for f in frame.schema.fields)
-        max_rows = SMALL_NESTED_ROWS if nested else SMALL_ROWS
-    rows = frame.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return None
-    session, schema = frame.sparkSession, frame.schema
+        max_rows = SMALL_NESTED_ROWS if any(_nested(f.dataType) for f in schema.fields) else SMALL_ROWS
+    few = frame.limit(max_rows + 1).persist()
+    try:
+        sizes = [value_bytes(F.col(f"`{f.name}`"), f.dataType) for f in schema.fields]
+        width = reduce(lambda x, y: x + y, sizes, F.lit(0).cast("long"))
+        rows_in, bytes_in = few.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+        if rows_in > max_rows or bytes_in > max_bytes:
+            return None
+        rows = few.collect()
+    finally:
+        few.unpersist()
+    session = frame.sparkSession
     if not rows or any(_only_as_rows(field.dataType) for field in schema.fields):
         return session.createDataFrame(rows, schema)
     table = pa.Table.from_pylist([row.asDict(recursive=True) for row in rows], schema=to_arrow_schema(schema))
-    return session.createDataFrame(table, schema) if table.nbytes <= max_bytes else None
-
-
-def small_vocabulary(dictionary: DataFrame) -> list[str] | None:
-    """The terms in order of their index when there are few enough to hand to a model, else None."""
-    small = settle(dictionary.select("term", "term_index"), SMALL_VOCABULARY)
-    return None if small is None else [row["term"] for row in small.orderBy("term_index").collect()]
+    return session.createDataFrame(table, schema)
 
 
 def lookup_join(
@@ -68,21 +98,23 @@ def lookup_join(
     """Join ``facts`` to ``lookup``, whose key ``on`` is unique; a null key matches a null key.
 
     The lookup is broadcast only when :func:`settle` proves it small. Otherwise
-    each fact row gets a salt made from its own values and the lookup is repeated
-    once per salt, so no key is handled by a single task.
+    each fact row gets a salt and the lookup is repeated once per salt, so no key
+    is handled by a single task. The salt comes from the row's partition and values:
+    equal rows of different partitions differ in it, and a task that runs again
+    gives the same. Adaptive execution splits what is still too large.
     """
     renamed = lookup.withColumnsRenamed({k: f"__{k}" for k in on})
-    matches = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in on])
-    extra = [f"__{k}" for k in on]
+    matches = reduce(lambda a, b: a & b, [F.col(f"`{k}`").eqNullSafe(F.col(f"`__{k}`")) for k in on])
+    extra = [F.col(f"`__{k}`") for k in on]
     small = settle(renamed, max_rows)
     if small is not None:
         return facts.join(F.broadcast(small), matches, how).drop(*extra)
     hashed = [F.col(f"`{c}`") for c, kind in facts.dtypes if "map<" not in kind]
-    salted = facts.withColumn("__salt", F.pmod(F.xxhash64(*hashed), F.lit(salts)))
+    salted = facts.withColumn("__salt", F.pmod(F.spark_partition_id() + F.xxhash64(*hashed), F.lit(salts)))
     repeated = renamed.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn(
         "__copy", F.col("__copy").cast("long")
     )
-    return salted.join(repeated, matches & (F.col("__salt") == F.col("__copy")), how).drop(*extra, "__salt", "__copy")
+    return salted.join(repeated, matches & (F.col("__salt") == F.col("__copy")), how).drop(*extra).drop("__salt", "__copy")
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -110,8 +142,25 @@ def pinned(frame: DataFrame) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path below the shared folder; :func:`clean_up` removes it."""
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def clean_up(spark: SparkSession, since: int = 0) -> None:
+    """Remove the intermediate tables of this process from the shared folder, or those made since ``made_so_far()``."""
+    context = spark.sparkContext
+    path_of = context._jvm.org.apache.hadoop.fs.Path
+    for path in _MADE[since:]:
+        place = path_of(path)
+        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+    del _MADE[since:]
+
+
+def made_so_far() -> int:
+    """A mark for :func:`clean_up`."""
+    return len(_MADE)
 
 
 def settled_or_pinned(frame: DataFrame, max_rows: int | None = None) -> DataFrame:

@@ -20,7 +20,6 @@ def size(request, monkeypatch):
     if request.param == "large":
         monkeypatch.setattr(sizing, "SMALL_ROWS", 1)
         monkeypatch.setattr(sizing, "SMALL_NESTED_ROWS", 1)
-        monkeypatch.setattr(sizing, "SMALL_VOCABULARY", 1)
     return request.param
 
 
@@ -32,6 +31,45 @@ def test_settle_limits(spark):
     assert rows(sizing.settle(frame.filter("id < 0"))) == []
     stamps = spark.range(1).withColumn("t", F.timestamp_seconds("id"))
     assert rows(sizing.settle(stamps)) == rows(stamps)
+    wide = spark.createDataFrame([(i, Vectors.dense([1.0] * 1000)) for i in range(20)], ["k", "v"])
+    assert sizing.settle(wide, max_bytes=100_000) is None and sizing.settle(wide, max_bytes=200_000) is not None
+
+
+def test_bytes_of_values(spark):
+    row = spark.createDataFrame(
+        [("abc", [1, 2], ["ab", None], {"k": "vvv"}, (1, "xy"), None)],
+        "s string, n array<int>, t array<string>, m map<string,string>, r struct<a:int,b:string>, e string",
+    )
+    got = [row.select(sizing.value_bytes(F.col(f.name), f.dataType)).first()[0] for f in row.schema.fields]
+    assert got == [11, 24, 8 + 10 + 8, 17 + 19, 8 + 8 + 10, 8]
+
+
+def test_equal_rows_spread_over_all_salts(spark, monkeypatch):
+    monkeypatch.setattr(sizing, "SMALL_ROWS", 1)
+    facts = spark.range(2_000).select(F.lit(7).alias("a.k")).repartition(64)
+    lookup = spark.createDataFrame([(7, 1), (8, 2)], "`a.k` int, v int")
+    joined = sizing.lookup_join(facts, lookup, ["a.k"])
+    assert joined.columns == ["a.k", "v"] and joined.agg(F.sum("v")).first()[0] == 2_000
+    salts = facts.select(F.pmod(F.spark_partition_id() + F.xxhash64("`a.k`"), F.lit(sizing.SALTS)))
+    assert salts.distinct().count() == sizing.SALTS
+
+
+def test_large_vector_lookups_are_not_broadcast(spark, monkeypatch):
+    lookup = spark.createDataFrame([(i, Vectors.dense([1.0] * 500)) for i in range(50)], ["k", "v"])
+    facts = spark.range(50).select(F.col("id").alias("k"))
+    monkeypatch.setattr(sizing.settle, "__defaults__", (None, 100_000))
+    plan = sizing.lookup_join(facts, lookup, ["k"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "__salt" in plan and "broadcast" not in plan
+
+
+def test_clean_up(spark):
+    mark = sizing.made_so_far()
+    frame = sizing.pinned(spark.range(3))
+    assert frame.count() == 3 and sizing.made_so_far() == mark + 1
+    sizing.clean_up(spark, mark)
+    assert sizing.made_so_far() == mark
+    with pytest.raises(Exception):
+        spark.read.parquet(frame.inputFiles()[0]).count()
 
 
 def test_settled_vectors_and_maps(spark, size):
@@ -153,6 +191,29 @@ def dictionary(spark):
     return spark.createDataFrame([("hej", 0), ("med", 1), ("dig", 2)], "term string, term_index long")
 
 
+@pytest.mark.parametrize("terms", [1, 2_000, 2_001])
+def test_vectors_of_odd_rows_at_any_vocabulary(spark, terms):
+    """Repeated ids, null and empty arrays and unknown tokens answer the same at every number of terms."""
+    dictionary = spark.range(terms).select(F.concat(F.lit("t"), F.col("id")).alias("term"), F.col("id").alias("term_index"))
+    last = f"t{terms - 1}"
+    data = [(1, [last, "x", last]), (1, ["t0"]), (2, None), (2, []), (None, [None, "t0"])]
+    frame = spark.createDataFrame(data, "id int, tokens array<string>")
+    got = bags.bag_of_words_vectors(frame, "id", "tokens", dictionary).collect()
+    held = sorted((r["id"] or 0, r["features"].size, tuple(r["features"].indices), tuple(r["features"].values)) for r in got)
+    assert held == sorted(
+        [(1, terms, (terms - 1,), (2.0,)), (1, terms, (0,), (1.0,)), (2, terms, (), ()), (2, terms, (), ()), (0, terms, (0,), (1.0,))]
+    )
+    with pytest.raises(ValueError, match="terms numbered"):
+        bags.bag_of_words_vectors(frame, "id", "tokens", dictionary.withColumn("term_index", F.col("term_index") * 2 + 1))
+
+
+def test_onehot_sparse_of_a_repeated_index(spark):
+    frame = spark.createDataFrame([(1, "a"), (1, "b"), (1, "a"), (2, None)], "Index int, k string")
+    vectors, _ = onehot.onehot_sparse(frame)
+    got = sorted((r["Index"], tuple(r["onehot"].toArray())) for r in vectors.collect())
+    assert got == [(1, (0, 1, 0)), (1, (1, 0, 0)), (1, (1, 0, 0)), (2, (0, 0, 1))]
+
+
 def test_bag_of_words(turns, dictionary, size):
     got = sorted(rows(bags.bag_of_words(turns, "id", "tokens", dictionary)))
     assert got == [(1, 0, 3), (1, 1, 1), (1, 2, 1), (2, 2, 1)]

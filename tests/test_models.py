@@ -66,6 +66,26 @@ def test_nearest_centres_edges(spark):
         clusters.nearest_centres(spark.createDataFrame([([1.0],)], "v array<double>"), centres, "v").collect()
 
 
+def test_many_centres_in_blocks(spark, blobs, fitted):
+    centres = clusters.centres_frame(spark, fitted)
+    whole, parts = (clusters.nearest_centres(blobs, centres, "features", block_bytes=b) for b in (1 << 20, 1))
+    columns = ["cvrNummer", "prediction", "distance"]
+    assert sorted(rows(whole.select(*columns))) == sorted(rows(parts.select(*columns)))
+
+
+def test_sparse_vectors_are_not_widened(spark):
+    wide = 1_000_000
+    data = [(0, Vectors.sparse(wide, {0: 3.0, 999_999: 4.0})), (1, Vectors.sparse(wide, {})), (0, None)]
+    frame = spark.createDataFrame([(i, k, v) for i, (k, v) in enumerate(data)], ["id", "prediction", "v"])
+    centres = spark.createDataFrame(
+        [(0, [0.0] * wide), (1, [2.0] + [0.0] * (wide - 1))], "cluster int, coordinates array<double>"
+    )
+    got = {r["id"]: r["distance"] for r in clusters.center_distances(frame, centres, "v").collect()}
+    assert got == {0: pytest.approx(5.0), 1: pytest.approx(2.0), 2: None}
+    near = {r["id"]: (r["prediction"], r["distance"]) for r in clusters.nearest_centres(frame, centres, "v").collect()}
+    assert near[0] == (1, pytest.approx(math.sqrt(17))) and near[1] == (0, 0.0) and near[2] == (None, None)
+
+
 def test_cost_falls_with_iterations_and_clusters(blobs):
     costs = [clusters.fit_kmeans(blobs, 3, "features", n, seed=2).summary.trainingCost for n in (1, 3, 10)]
     assert costs[1] <= costs[0] * (1 + 1e-9) and costs[2] <= costs[1] * (1 + 1e-9)
@@ -152,7 +172,7 @@ def test_binomial(spark, logistic):
     for r in table.values():
         assert r["t_value"] == pytest.approx(r["estimate"] / r["standard_error"])
     summary = regression.binomial_summary(spark, model).first()
-    residuals = regression.deviance_residuals(model)
+    residuals = regression.deviance_residuals(model, model.summary.predictions, ["label"])
     assert residuals.count() == 400
     total = residuals.agg(F.sum(F.pow("devianceResiduals", F.lit(2)))).first()[0]
     assert total == pytest.approx(summary["deviance"]) and summary["null_deviance"] > summary["deviance"]

@@ -140,8 +140,21 @@ def test_column_cosines(spark, table, points):
     assert all(c == pytest.approx((unit[:, i] * unit[:, j]).sum()) for (i, j), c in got.items())
     flat = spark.createDataFrame([([0.0, 1.0],), ([0.0, 2.0],), (None,)], "v array<double>")
     assert rows(similarity.column_cosines(flat, "v")) == [(0, 1, None)]
-    with pytest.raises(Exception, match="the limit is 1"):
-        similarity.column_cosines(flat, "v", max_width=1).collect()
+    for block in (1, 3):
+        again = {r[:2]: r[2] for r in rows(similarity.column_cosines(table.repartition(5), "v", block=block))}
+        assert again == pytest.approx(got)
+
+
+def test_histogram_leaves_nan_out_and_weights_large_values(spark):
+    data = [(x, n) for x, n in ((1e9, 1), (1e9 + 1, 1), (1e9 + 2, 1), (float("nan"), 5), (None, 2))]
+    frame = spark.createDataFrame(data, "x double, n long")
+    for weight in (None, "n"):
+        bounds = rows(histograms.group_bounds(frame, "x", [], weight))
+        assert bounds == [(3, 1e9 + 1, 1.0, 1e9, 1e9 + 2)]
+        counts = [r[3] for r in sorted(rows(histograms.histogram(frame, "x", bins=2, weight=weight)))]
+        assert counts == [1, 2]
+    grouped = frame.withColumn("g", F.lit("a"))
+    assert rows(histograms.group_bounds(grouped, "x", ["g"], "n")) == [("a", 3, 1e9 + 1, 1.0, 1e9, 1e9 + 2)]
 
 
 def test_ranking(spark):
