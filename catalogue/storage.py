@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 from catalogue.registry import Tables, query
 from catalogue.vectors import LONG, TO_OWN_CENTRE, own_distances, spread
 from kartotek.functions.vector import sparse_vector
-from kartotek.operators import vectors
+from kartotek.operators import clusters, vectors
+from kartotek.plans import clustering, company
 from kartotek.sizing import scratch_path
 from kartotek.sources import json_lines, models, tables, xml
 
@@ -178,3 +179,47 @@ def q_xbrl_facts(t: Tables) -> DataFrame:
         "value",
         "number",
     )
+
+
+@query("SELECT count(*) AS n, CAST(0 AS BIGINT) AS differ FROM embeddings")
+def q_saved_clustering(t: Tables) -> DataFrame:
+    """Vectors stored, models saved, and all of it read again: rows whose cluster or distance is another then are none."""
+    rows = t.embeddings.select(F.col("vec_id").alias("Index"), array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    scaled, scaler = vectors.scale(rows)
+    model = clusters.fit_kmeans(scaled)
+    paths = [scratch_path(t.spark, name) for name in ("scaler", "kmeans", "vectors")]
+    models.save_model(scaler, paths[0])
+    models.save_model(model, paths[1])
+    tables.write_store(rows, paths[2])
+    stored = clustering.saved_distances(paths[0], paths[1], tables.read_store(t.spark, paths[2]))
+    own = clustering.distances(scaled, model).toDF("Index", "own", "away")
+    differs = (F.col("own") != F.col("prediction")) | (F.abs(F.col("away") - F.col("distance")) > 1e-9)
+    return stored.join(own, "Index").agg(F.count("*").alias("n"), F.count_if(differs).alias("differ"))
+
+
+@query(
+    """
+SELECT 'virksomhed' AS kind, count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS keys FROM customer WHERE c_custkey % 3 = 0
+UNION ALL SELECT 'deltager', count(*), CAST(sum(c_custkey) AS BIGINT) FROM customer WHERE c_custkey % 3 = 1
+UNION ALL SELECT 'produktionsenhed', count(*), CAST(sum(c_custkey) AS BIGINT) FROM customer WHERE c_custkey % 3 = 2
+"""
+)
+def q_register_store(t: Tables) -> DataFrame:
+    """A register dump of all three types stored by type and read type by type."""
+    key = F.col("c_custkey")
+    source = F.struct(
+        F.when(key % 3 == 0, F.struct(key.alias("cvrNummer"))).alias("Vrvirksomhed"),
+        F.when(key % 3 == 1, F.struct(key.alias("enhedsNummer"))).alias("Vrdeltagerperson"),
+        F.when(key % 3 == 2, F.struct(key.alias("pNummer"))).alias("VrproduktionsEnhed"),
+    )
+    kind = F.element_at(F.array(*[F.lit(k) for k in company.PAYLOADS]), (key % 3 + 1).cast("int"))
+    path = scratch_path(t.spark, "register")
+    company.store_register(t.customer.select(key.cast("string").alias("_id"), kind.alias("_type"), source.alias("_source")), path)
+    fields = {"virksomhed": "cvrNummer", "deltager": "enhedsNummer", "produktionsenhed": "pNummer"}
+    parts = [
+        company.stored_type(t.spark, path, kind).agg(
+            F.lit(kind).alias("kind"), F.count("*").alias("n"), F.sum(f"{company.PAYLOADS[kind][1]}.{field}").alias("keys")
+        )
+        for kind, field in fields.items()
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

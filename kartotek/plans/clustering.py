@@ -14,6 +14,7 @@ from kartotek.operators.clusters import CLUSTERS, assign_clusters, center_distan
 from kartotek.operators.cleaning import drop_missing, impute_mean, keep_values, with_offset_year, without
 from kartotek.operators.onehot import Values, onehot_all, onehot_sparse
 from kartotek.operators.vectors import assemble, scale
+from kartotek.sources.models import load_model
 
 # Fixed values
 IMPUTED = ("nPenheder", "antalAnsatte", "stiftelsesAar")
@@ -102,3 +103,13 @@ def status_training_rows(
     dated = without(with_offset_year(features), ["stiftelsesAar", *left_out])
     names = [c for c in dated.columns if c not in ("Index", "cvrnummer", "label")]
     return assemble(drop_missing(dated), names).select("Index", "label", "features"), names
+
+
+def saved_distances(scaler_path: str, model_path: str, vectors: DataFrame, index: str = "Index") -> DataFrame:
+    """Stored feature vectors, scaled and assigned by models saved before: ``Index, prediction, distance``.
+
+    ``vectors`` has the column ``features`` of the scaler; nothing is fitted again.
+    """
+    scaler = load_model(StandardScalerModel, scaler_path)
+    model = load_model(KMeansModel, model_path)
+    return distances(scaler.transform(vectors).select(index, "scaledfeatures"), model, index)

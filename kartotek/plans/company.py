@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kartotek.functions.text import as_text, first_number, last_status, leading_year, squeezed_lower
 from kartotek.operators.cleaning import fill_text, where_all_null, without
 from kartotek.operators.indexing import row_index, string_index
 from kartotek.operators.nested import explode_rows, optional_path, project_paths, split_by_type
+from kartotek.sources.tables import read_store, write_store
 
 # Document types, their payload fields, and the columns they become.
 PAYLOADS = {
@@ -179,3 +181,19 @@ def typed_companies(company_docs: DataFrame) -> DataFrame:
 def feature_table(company_docs: DataFrame) -> DataFrame:
     """The typed rows numbered by company number."""
     return row_index(typed_companies(company_docs), ["cvrnummer"], "Index")
+
+
+def store_register(dump: DataFrame, path: str) -> None:
+    """The dump's documents stored by type, in one pass, so that each type can be read on its own.
+
+    Only the payload of a document's own type is not null in its row; types that are not known are left out.
+    """
+    known = dump.filter(F.col("_type").isin(*PAYLOADS))
+    payloads = [F.col(f"_source.{field}").alias(name) for field, name in PAYLOADS.values()]
+    write_store(known.select("_id", "_type", *payloads), path, partition_by=["_type"])
+
+
+def stored_type(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """The payloads of one type from :func:`store_register`; other types' files are not read."""
+    name = PAYLOADS[kind][1]
+    return read_store(spark, path).filter(F.col("_type") == kind).select("_id", name)

@@ -58,11 +58,13 @@ def _as_array(frame: DataFrame, name: str):
 
 
 def _part(struct_type: T.StructType, value, *path: str):
-    """A nested text field, or null when the inferred schema has no such field."""
+    """A nested text field, whatever prefix its elements have, or null when the schema has no such field."""
     for name in path:
-        if not isinstance(struct_type, T.StructType) or name not in struct_type.names:
+        held = struct_type.names if isinstance(struct_type, T.StructType) else []
+        found = next((n for n in held if n.split(":")[-1] == name), None)
+        if found is None:
             return F.lit(None).cast("string")
-        value, struct_type = value.getField(name), struct_type[name].dataType
+        value, struct_type = value.getField(found), struct_type[found].dataType
     return value.cast("string")
 
 
@@ -75,6 +77,7 @@ def _fact_rows(name: str, kind: T.StructType, values):
             _part(kind, value, "_contextRef").alias("contextRef"),
             _part(kind, value, "_unitRef").alias("unitRef"),
             _part(kind, value, "_precision").alias("precision"),
+            _part(kind, value, "_decimals").alias("decimals"),
             _part(kind, value, "_VALUE").alias("value"),
         )
 
@@ -140,6 +143,7 @@ def xbrl_facts(reports: DataFrame, keep: list[str] | None = None) -> DataFrame:
         F.col("__fact.unitRef").alias("unit_ref"),
         measure.alias("measure"),
         F.col("__fact.precision").alias("precision"),
+        F.col("__fact.decimals").alias("decimals"),
         F.col("__fact.value").alias("value"),
         F.when(F.col("__fact.unitRef").isNotNull(), F.col("__fact.value").try_cast("double")).alias("number"),
     )

@@ -98,12 +98,12 @@ def expected(n):
     day = datetime.date
     period = (str(n), day(2014, 1, 1), day(2014, 12, 31), None)
     moment = (str(n), None, None, day(2014, 12, 31))
-    money = ("kr", "iso4217:DKK", "INF")
+    money = ("kr", "iso4217:DKK", "INF", None)
     return [
         ("f:Assets", "I", *moment, *money, "100", 100.0),
         ("f:Profit", "D", *period, *money, "-5", -5.0),
         ("f:Profit", "I", *moment, *money, "7", 7.0),
-        ("g:Meeting", "D", *period, None, None, None, "2015-04-17", None),
+        ("g:Meeting", "D", *period, None, None, None, None, "2015-04-17", None),
     ]
 
 
@@ -114,6 +114,16 @@ def test_xbrl_inferred(spark, tmp_path):
     assert sorted(got, key=str) == sorted(expected(1) + expected(2), key=str)
 
 
+def test_xbrl_with_prefixes_at_every_level(spark, tmp_path):
+    text = REPORT.format(n=1).replace('xmlns="urn:x"', 'xmlns="urn:y" xmlns:x="urn:x"')
+    for tag in ("context", "entity", "identifier", "period", "startDate", "endDate", "instant", "unit", "measure"):
+        text = text.replace(f"<{tag}", f"<x:{tag}").replace(f"</{tag}>", f"</x:{tag}>")
+    (tmp_path / "1.xml").write_text(text.replace('precision="INF"', 'decimals="0"'))
+    got = rows(xml.xbrl_facts(xml.read_xbrl(spark, str(tmp_path))))
+    swapped = [(*r[:8], None, "0" if r[8] else None, *r[10:]) for r in expected(1)]
+    assert sorted(got, key=str) == sorted(swapped, key=str)
+
+
 def test_xbrl_one_per_line(spark, tmp_path):
     lines = [REPORT.format(n=n).split("?>")[1].replace("\n", " ").strip() for n in (1, 2, 3)]
     (tmp_path / "all.xml").write_text("\n".join(lines))
