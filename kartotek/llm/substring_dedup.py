@@ -9,8 +9,10 @@ the window, so equal windows have equal prefixes, and only prefixes that end in
 * Suffixes meet by their anchor's gram, in groups that fit in memory. There the tree is built level by level, ranks of
   longer prefixes from ranks of shorter ones, down to the depth of a window: a node with two suffixes or more is a
   repeat, and all but its earliest start are marked.
-* A gram held by more than ``group_limit`` anchors is too large a group. Its prefixes are made longer, up to the whole
-  window, where a node needs no tree any more: an aggregate finds its earliest start and a join marks the others.
+* A gram held by more than ``group_limit`` anchors is too large a group. Its equal pieces of text are brought down to the
+  earliest first, by an aggregate; all windows of the others are marked. Should the pieces that differ still be too
+  many, prefixes are made longer, up to the whole window, where a node needs no tree any more: an aggregate finds its
+  earliest start and a join marks the others.
 
 Marked words are then taken out of the documents, which are shuffled once for it.
 """
@@ -32,7 +34,7 @@ from kartotek.sizing import pinned
 
 WIDTH = 20
 GRAM = 6
-GROUP_LIMIT = 8_192
+GROUP_LIMIT = 32_768
 GROUP_ROWS = 30_000
 
 _NO_ID = -(1 << 63)
@@ -40,6 +42,7 @@ _GRAMS = pa.schema([("gram", pa.int64())])
 _SUFFIXES = pa.schema(
     [("gram", pa.int64()), ("doc", pa.int64()), ("crc", pa.int64()), ("start", pa.int32()), ("words", pa.binary())]
 )
+_PIECES = pa.schema([("s1", pa.int64()), ("s2", pa.int64()), ("stop", pa.int32()), *_SUFFIXES])
 _WINDOWS = pa.schema(
     [("w1", pa.int64()), ("w2", pa.int64()), ("doc", pa.int64()), ("crc", pa.int64()), ("start", pa.int32())]
 )
@@ -130,27 +133,45 @@ def _suffix_rows(width: int, repeated, hot):
     return run
 
 
-def _window_rows(width: int, hot):
-    """A hash of each window whose anchor's gram is hot."""
+def _piece_rows(width: int, hot):
+    """The words of all windows of each anchor whose gram is hot, with a hash of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows = []
             for doc, text in zip(_ids(batch), common.texts(batch)):
                 if (found := _anchored(text, width)) is None:
                     continue
-                _, hashes, first, last, grams = found
+                words, _, first, last, grams = found
                 send = bloom.contains(hot.value, grams)
-                if not send.any():
-                    continue
-                starts = np.concatenate([np.arange(a, b + 1) for a, b in zip(first[send], last[send])])
-                w1 = _scramble(rolled(hashes, width, 0xC2B2AE3D27D4EB4F))[starts]
-                w2 = _scramble(rolled(_scramble(hashes), width, 0x165667B19E3779F9))[starts]
+                crc = zlib.crc32(text) if send.any() else 0
+                for gram, a, b in zip(
+                    grams[send].view(np.int64).tolist(), first[send].tolist(), last[send].tolist()
+                ):
+                    piece = b" ".join(words[a : b + width])
+                    s1, s2 = np.frombuffer(xxhash.xxh3_128_digest(piece), dtype=np.int64).tolist()
+                    rows.append((s1, s2, b + width, gram, doc, crc, a, piece))
+            if rows:
+                yield common.batch_of(_PIECES, zip(*rows))
+
+    return run
+
+
+def _window_rows(width: int):
+    """A hash of each window of the pieces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("doc", "crc", "start", "words")]
+            for doc, crc, start, piece in zip(*columns):
+                hashes = word_hashes(piece.split())
+                w1 = _scramble(rolled(hashes, width, 0xC2B2AE3D27D4EB4F))
+                w2 = _scramble(rolled(_scramble(hashes), width, 0x165667B19E3779F9))
                 yield common.batch_of(
                     _WINDOWS,
                     (
-                        pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)),
-                        pa.array(np.full(len(starts), doc)), pa.array(np.full(len(starts), zlib.crc32(text))),
-                        pa.array(starts.astype(np.int32)),
+                        pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(np.full(len(w1), doc)),
+                        pa.array(np.full(len(w1), crc)), pa.array((start + np.arange(len(w1))).astype(np.int32)),
                     ),
                 )
 
@@ -227,6 +248,7 @@ def _mark_batches(doc: np.ndarray, crc: np.ndarray, place: np.ndarray, width: in
 
 
 _MARKS_SQL = "doc long, crc long, low int, high int"
+_SUFFIXES_SQL = "gram long, doc long, crc long, start int, words binary"
 
 
 def marks(rows: DataFrame, width: int, group_limit: int, max_bits: int) -> DataFrame:
@@ -241,27 +263,45 @@ def marks(rows: DataFrame, width: int, group_limit: int, max_bits: int) -> DataF
         context.broadcast(bloom.build(keys.select("gram"), bloom.filter_bits(keys.count(), max_bits)))
         for keys in (counted, large)
     )
-    suffixes = rows.mapInArrow(
-        _suffix_rows(width, repeated, hot), "gram long, doc long, crc long, start int, words binary"
-    )
-    found = suffixes.repartition("gram").sortWithinPartitions("gram").mapInArrow(
-        _tree_marks(width, GROUP_ROWS), _MARKS_SQL
-    )
+    suffixes = rows.mapInArrow(_suffix_rows(width, repeated, hot), _SUFFIXES_SQL)
     if large.isEmpty():
+        return _trees(suffixes, width)
+    pieces = rows.mapInArrow(_piece_rows(width, hot), f"s1 long, s2 long, stop int, {_SUFFIXES_SQL}")
+    place = F.struct("doc", "crc", "start")
+    firsts = pinned(pieces.groupBy(F.col("s1").alias("p1"), F.col("s2").alias("p2")).agg(F.min(place).alias("first")))
+    placed = pinned(
+        pieces.join(firsts, (F.col("s1") == F.col("p1")) & (F.col("s2") == F.col("p2"))).select(
+            "s1", "s2", "stop", "gram", "doc", "crc", "start", (place == F.col("first")).alias("is_first"), "words"
+        )
+    )
+    copies = placed.filter(~F.col("is_first")).select("doc", "crc", F.col("start").alias("low"), F.col("stop").alias("high"))
+    single = placed.filter("is_first").dropDuplicates(["s1", "s2"]).select("gram", "doc", "crc", "start", "words")
+    still = pinned(single.groupBy(F.col("gram").alias("g")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > group_limit))
+    is_still = F.col("gram") == F.col("g")
+    found = _trees(suffixes.unionByName(single.join(still, is_still, "left_anti")), width).unionByName(copies)
+    if still.isEmpty():
         return found
-    windows = rows.mapInArrow(_window_rows(width, hot), "w1 long, w2 long, doc long, crc long, start int")
+    windows = single.join(still, is_still, "left_semi").mapInArrow(
+        _window_rows(width), "w1 long, w2 long, doc long, crc long, start int"
+    )
     nodes = pinned(
         windows.groupBy(F.col("w1").alias("n1"), F.col("w2").alias("n2"))
-        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "crc", "start")).alias("first")).filter("n > 1")
+        .agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1")
     )
     later = windows.join(nodes, (F.col("w1") == F.col("n1")) & (F.col("w2") == F.col("n2"))).filter(
-        F.struct("doc", "crc", "start") != F.col("first")
+        place != F.col("first")
     )
     return found.unionByName(
         later.select("doc", "crc", F.col("start").alias("low"), (F.col("start") + width).alias("high"))
     )
 
 
+def _trees(suffixes: DataFrame, width: int) -> DataFrame:
+    return suffixes.repartition("gram").sortWithinPartitions("gram").mapInArrow(
+        _tree_marks(width, GROUP_ROWS), _MARKS_SQL
+    )
+
+
 def _without(as_text: bool):
     schema = pa.schema(
         [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())]
