@@ -42,7 +42,7 @@ LETTERS = 64
 PREFIXES = range(4, 9)
 MIN_EVIDENCE = 30.0
 MIN_ODDS = 2.0
-WORD_CACHE = 200_000
+WORD_CACHE = 100_000
 START, END = "^", "$"
 
 _ENDS = ".,;:!?\"'()[]{}<>#%&*/\\-_=~`"
@@ -213,8 +213,18 @@ class Model:
     def word_weight(self, word: str) -> float:
         return max((self.weights.get(f, 0.0) for f in features(word)), default=0.0)
 
-    def summary(self, words: set[str], weight_of: dict[str, float]) -> tuple[float, ...]:
-        found = [w for w in map(weight_of.__getitem__, words) if w]
+    def telling_words(self) -> common.Memo:
+        """The restored form of words that have a weight, by the words as written; others give an empty text."""
+
+        def telling(word: str) -> str:
+            plain = plain_word(word, self.language)
+            return plain if self.word_weight(plain) else ""
+
+        return common.Memo(telling, WORD_CACHE)
+
+    def summary(self, text: str, telling: common.Memo) -> tuple[float, ...]:
+        words = restored_words(text, self.language, telling)
+        found = [w for w in map(self.word_weight, words) if w]
         return (max(found, default=0.0), log(1.0 + sum(found)), log(1.0 + len(found)))
 
     def score(self, summary: tuple[float, ...]) -> float:
@@ -247,12 +257,9 @@ def _summaries(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
-        known = common.Memo(lambda w: plain_word(w, model.language), WORD_CACHE)
-        weight_of = common.Memo(model.word_weight, WORD_CACHE)
+        telling = model.telling_words()
         for batch in batches:
-            rows = [
-                model.summary(restored_words(t.decode(), model.language, known), weight_of) for t in common.texts(batch)
-            ]
+            rows = [model.summary(t.decode(), telling) for t in common.texts(batch)]
             yield batch.drop_columns(["text"]).append_column("x", pa.array(rows, pa.list_(pa.float64())))
 
     return run
@@ -263,13 +270,9 @@ def _scores(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
-        known = common.Memo(lambda w: plain_word(w, model.language), WORD_CACHE)
-        weight_of = common.Memo(model.word_weight, WORD_CACHE)
+        telling = model.telling_words()
         for batch in batches:
-            rows = [
-                model.score(model.summary(restored_words(t.decode(), model.language, known), weight_of))
-                for t in common.texts(batch)
-            ]
+            rows = [model.score(model.summary(t.decode(), telling)) for t in common.texts(batch)]
             yield common.batch_of(schema, (batch.column("doc_id"), rows))
 
     return run
