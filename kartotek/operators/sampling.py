@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from math import ceil, log
 from typing import Any
 
 from pyspark.sql import DataFrame, Window
@@ -50,20 +51,22 @@ def stratified_split(
     fraction: float = 0.2,
     seed: str = "",
     flag: str = "is_test",
-    bucket_digits: int = 4,
+    bucket_rows: int = 10_000,
 ) -> DataFrame:
     """Mark exactly the rounded ``fraction`` of every label's rows as test rows; ids are unique.
 
     Rows rank by the MD5 of ``seed`` and id, so the split is repeatable. No label is
     ever sorted as a whole: rows are counted by label and leading digits of the
     digest, the running count finds the one bucket in which a label's cut lies,
-    and only the rows of that bucket are ranked to find the last test row. The
-    result itself is a projection that compares each row with its label's cut.
+    and only the rows of that bucket, some ``bucket_rows`` at any number of rows, are
+    ranked to find the last test row. The result itself is a projection that compares
+    each row with its label's cut.
     """
+    digits = max(1, ceil(log(max(frame.count() / bucket_rows, 1), 16)))
     label_key = F.col(quoted(label))
     digest = F.md5(F.concat(F.lit(seed), F.col(quoted(id_col)).cast("string")))
     ranks = frame.select(label_key, digest.alias("__digest"), F.col(quoted(id_col)).alias("__id"))
-    bucket = F.substring("__digest", 1, bucket_digits).alias("__bucket")
+    bucket = F.substring("__digest", 1, digits).alias("__bucket")
     counts = ranks.groupBy(label_key, bucket).agg(F.count("*").alias("__n"))
     running = Window.partitionBy(label_key).orderBy("__bucket")
     through = F.sum("__n").over(running.rowsBetween(Window.unboundedPreceding, Window.currentRow))

@@ -179,8 +179,8 @@ def typed_companies(company_docs: DataFrame) -> DataFrame:
 
 
 def feature_table(company_docs: DataFrame) -> DataFrame:
-    """The typed rows numbered by company number."""
-    return row_index(typed_companies(company_docs), ["cvrnummer"], "Index")
+    """The typed rows numbered by company number; a hash of the row orders those without one or with the same."""
+    return row_index(typed_companies(company_docs), ["cvrnummer", F.xxhash64(*FEATURE_COLUMNS)], "Index")
 
 
 def store_register(dump: DataFrame, path: str) -> None:

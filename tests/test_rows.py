@@ -145,16 +145,16 @@ def test_stratified_split(spark):
     frame = spark.range(1003).select(
         F.col("id"), F.when(F.col("id") < 3, None).when(F.col("id") % 3 == 0, 1).otherwise(0).alias("label")
     )
-    for digits in (1, 5):
-        split = sampling.stratified_split(frame, "label", "id", bucket_digits=digits)
+    for size in (10_000, 1):
+        split = sampling.stratified_split(frame, "label", "id", bucket_rows=size)
         got = {tuple(r) for r in split.groupBy("label", "is_test").count().collect()}
         n1 = frame.filter("label = 1").count()
         n0 = frame.filter("label = 0").count()
         t1, t0 = int(n1 * 0.2 + 0.5), int(n0 * 0.2 + 0.5)
         assert got == {(1, True, t1), (1, False, n1 - t1), (0, True, t0), (0, False, n0 - t0), (None, True, 1), (None, False, 2)}
         assert split.select("id").distinct().count() == 1003
-    one = set(rows(sampling.stratified_split(frame, "label", "id", bucket_digits=1)))
-    five = set(rows(sampling.stratified_split(frame, "label", "id", bucket_digits=5)))
+    one = set(rows(sampling.stratified_split(frame, "label", "id", bucket_rows=10_000)))
+    five = set(rows(sampling.stratified_split(frame, "label", "id", bucket_rows=1)))
     assert one == five
     assert five != set(rows(sampling.stratified_split(frame, "label", "id", seed="other")))
     tiny = spark.createDataFrame([(1, 0), (2, 0)], "id int, label int")
