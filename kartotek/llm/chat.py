@@ -6,8 +6,10 @@ once. Sorting nodes by the path of their names gives that order, so a tree is ne
 
 Each segment (node) carries its place in the stream, the position id of its first token (the number of tokens of its
 ancestors), the range of tokens that count for the loss, and the intervals of its ancestors in the stream: a token
-attends to these and to the tokens of its own segment up to itself. A table of leaves tells where each conversation
-ends; the leaf's intervals and its own are the conversation.
+attends to these and to the tokens of its own segment up to itself. Ancestors that follow each other are one interval,
+so a long conversation costs no more than its turns. A pass over each partition of the ordered stream finds them; it
+starts with the ancestors of the partition's first node, which are all that is looked up across partitions. A table
+of paths tells which segments make up each conversation.
 
 A turn is written ``<turn:ROLE>``, a line feed, the text, ``</turn>`` and a line feed. Inside roles and texts a
 backslash stands before what could be taken for these, and before backslashes.
@@ -134,14 +136,64 @@ def _encode(path: str, loss_role: str):
     return run
 
 
+_PLACED = pa.schema(
+    [
+        ("node", pa.binary()), ("start", pa.int64()), ("end", pa.int64()), ("depth", pa.int32()), ("position", pa.int64()),
+        ("attends", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("role", pa.string()),
+        ("loss_from", pa.int32()), ("loss_to", pa.int32()), ("tokens", pa.list_(pa.int32())),
+    ]
+)
+_PLACED_SQL = (
+    "node binary, start long, end long, depth int, position long, attends array<struct<start: long, end: long>>, "
+    "role string, loss_from int, loss_to int, tokens array<int>"
+)
+
+Intervals = tuple[tuple[int, int], ...]
+
+
+def _with_interval(held: Intervals, start: int, end: int) -> Intervals:
+    """Intervals with one more behind them, joined to the last where they touch."""
+    if held and held[-1][1] == start:
+        return (*held[:-1], (held[-1][0], end))
+    return (*held, (start, end))
+
+
+def _attend(bases: dict[int, int], above: dict[int, list[tuple[int, int]]]):
+    """Places, positions and ancestors' intervals of nodes ordered by partition and place within it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, levels = None, []
+        for batch in batches:
+            rows = []
+            named = zip(*(batch.column(n).to_pylist() for n in ("part", "local", "n_tokens", "path")))
+            for own, local, tokens, path in named:
+                if own != part:
+                    part, levels = own, [((), 0)]
+                    for start, end in above.get(own, ()):
+                        held, position = levels[-1]
+                        levels.append((_with_interval(held, start, end), position + end - start))
+                depth = len(path) // NAME_BYTES
+                del levels[depth:]
+                held, position = levels[-1]
+                start = bases[own] + local
+                levels.append((_with_interval(held, start, start + tokens), position + tokens))
+                rows.append((start, start + tokens, depth, position, [{"start": a, "end": b} for a, b in held]))
+            if rows:
+                same = [batch.column(n) for n in ("role", "loss_from", "loss_to", "tokens")]
+                yield common.batch_of(_PLACED, (batch.column("node"), *zip(*rows), *same))
+
+    return run
+
+
 def pack(
     conversations: DataFrame, tokenizer: str, loss_role: str = LOSS_ROLE, conv_col: str = "conv_id",
     turn_col: str = "turn", role_col: str = "role", text_col: str = "text",
 ) -> tuple[DataFrame, DataFrame]:
-    """The segments of the stream, and the leaf of each conversation.
+    """The segments of the stream, and the path of each conversation.
 
-    Segments: start, end (exclusive), depth, position, attends (ancestors' intervals from the root on), role,
-    loss_from and loss_to (within the segment), tokens. Leaves: conv_id, leaf_start.
+    Segments: node, start, end (exclusive), depth, position, attends (ancestors' intervals from the root on), role,
+    loss_from and loss_to (within the segment), tokens. Paths: conv_id, path (the names of its nodes, one after the
+    other).
 
     Turns are ordered by turn, then role and text; null turns come first, null roles and texts are empty. Rows with a
     null conv_id are one conversation. A conversation is handled as one row; trees are not. No rows give no segments.
@@ -159,32 +211,33 @@ def pack(
     ordered = nodes.repartitionByRange("path").sortWithinPartitions("path")
     encoded = pinned(ordered.mapInArrow(_encode(tokenizer, loss_role), _SEGMENTS_SQL))
     parts = encoded.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()
-    bases = [0, *accumulate(p["n"] for p in parts)]
-    placed_by = conversations.sparkSession.createDataFrame(
-        [(p["part"], b) for p, b in zip(parts, bases)], "of int, base long"
-    )
-    placed = encoded.join(placed_by, F.col("part") == F.col("of")).withColumn("start", F.col("base") + F.col("local"))
-    places = pinned(placed.select("node", "path", "start", (F.col("start") + F.col("n_tokens")).alias("end")))
-    levels = (F.length("path") / NAME_BYTES).cast("int")
-    name = F.expr(f"substring(path, {NAME_BYTES} * level - {NAME_BYTES - 1}, {NAME_BYTES})")
-    above = (
-        places.filter(levels > 1).select("node", "path", F.explode(F.sequence(F.lit(1), levels - 1)).alias("level"))
-        .select(F.col("node").alias("below"), name.alias("at"))
+    bases = dict(zip([p["part"] for p in parts], [0, *accumulate(p["n"] for p in parts)]))
+    firsts = encoded.filter("local = 0").select(F.col("part").alias("of"), "path")
+    above: dict[int, list[tuple[int, int]]] = {}
+    for row in _ancestors(firsts, encoded).collect():
+        start = bases[row["part"]] + row["local"]
+        above.setdefault(row["of"], []).append((start, start + row["n_tokens"]))
+    segments = (
+        encoded.repartition("part").sortWithinPartitions("part", "local", "path")
+        .mapInArrow(_attend(bases, {of: sorted(set(held)) for of, held in above.items()}), _PLACED_SQL)
     )
-    ancestors = (
-        above.join(places.select(F.col("node").alias("at"), "start", "end"), "at")
-        .groupBy("below").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("attends"))
-    )
-    none = F.expr("cast(array() AS array<struct<start: bigint, end: bigint>>)")
-    segments = placed.join(ancestors, F.col("node") == F.col("below"), "left").select(
-        "start", (F.col("start") + F.col("n_tokens")).alias("end"), levels.alias("depth"),
-        F.expr("aggregate(attends, 0L, (n, a) -> n + a.end - a.start)").alias("position"),
-        F.coalesce("attends", none).alias("attends"), "role", "loss_from", "loss_to", "tokens",
-    ).withColumn("position", F.coalesce("position", F.lit(0).cast("long")))
-    leaves = turns.filter("last").select("conv_id", F.col("node").alias("leaf")).join(
-        places.select("node", F.col("start").alias("leaf_start")), F.col("leaf") == F.col("node")
-    ).select("conv_id", "leaf_start")
-    return segments, leaves
+    return segments, turns.filter("last").select("conv_id", "path")
+
+
+def _ancestors(firsts: DataFrame, encoded: DataFrame) -> DataFrame:
+    """Where the ancestors of the first node of each partition are."""
+    return firsts.select("of", _names(-1)).join(
+        encoded.select("node", "part", "local", "n_tokens"), F.col("name") == F.col("node")
+    ).select("of", "part", "local", "n_tokens")
+
+
+def _names(rest: int = 0):
+    """The names of a path, each in a row of its own; with ``rest`` -1 without the last."""
+    last = (F.length("path") / NAME_BYTES).cast("int") + rest
+    places = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+    return F.explode(
+        F.transform(places, lambda n: F.substring(F.col("path"), (n - 1) * NAME_BYTES + 1, F.lit(NAME_BYTES)))
+    ).alias("name")
 
 
 _READ = pa.schema(
@@ -220,19 +273,15 @@ def _read(path: str):
     return run
 
 
-def read_back(segments: DataFrame, leaves: DataFrame, tokenizer: str) -> DataFrame:
-    """Digests of each conversation as its segments hold it, found through the leaf's attention intervals."""
-    own = leaves.join(segments.select(F.col("start").alias("at"), "attends"), F.col("leaf_start") == F.col("at"))
-    every = own.select(
-        "conv_id", "leaf_start", F.explode(F.concat("attends.start", F.array("leaf_start"))).alias("from")
-    )
-    held = segments.select("start", "loss_from", "loss_to", "tokens")
+def read_back(segments: DataFrame, paths: DataFrame, tokenizer: str) -> DataFrame:
+    """Digests of each conversation as its segments hold it."""
+    held = segments.select("node", "start", "loss_from", "loss_to", "tokens")
     conversations = (
-        every.join(held, F.col("from") == F.col("start"))
-        .groupBy("conv_id", "leaf_start")
+        paths.select("conv_id", _names()).join(held, F.col("name") == F.col("node"))
+        .groupBy("conv_id")
         .agg(F.sort_array(F.collect_list(F.struct("start", "loss_from", "loss_to", "tokens"))).alias("parts"))
     )
-    return conversations.select("conv_id", "parts").mapInArrow(
+    return conversations.mapInArrow(
         _read(tokenizer),
         "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, "
         "n_tokens long",

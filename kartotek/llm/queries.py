@@ -173,5 +173,5 @@ def op1_chat(spark: SparkSession, folder: str) -> DataFrame:
     )
     rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
     path = tokenizer_path(BYTE_TOKENIZER)
-    segments, leaves = chat.pack(rows, path)
-    return chat.read_back(pinned(segments), leaves, path)
+    segments, paths = chat.pack(rows, path)
+    return chat.read_back(pinned(segments), paths, path)
