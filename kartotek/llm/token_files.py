@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from kartotek.llm import common
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 NULL_ID = -(1 << 63)
 
 

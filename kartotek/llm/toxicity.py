@@ -43,6 +43,7 @@ PREFIXES = range(4, 9)
 MIN_EVIDENCE = 30.0
 MIN_ODDS = 2.0
 WORD_CACHE = 100_000
+COUNTED_ROWS = 400
 START, END = "^", "$"
 
 _ENDS = ".,;:!?\"'()[]{}<>#%&*/\\-_=~`"
@@ -237,17 +238,21 @@ def _feature_counts(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         language = shared.value
-        known = common.Memo(lambda w: plain_word(w, language), WORD_CACHE)
-        made = common.Memo(features, WORD_CACHE)
+        known = common.Memo(lambda w: plain_word(w, language), WORD_CACHE // 4)
         for batch in batches:
-            counts = Counter(), Counter()
-            for text, toxic in zip(common.texts(batch), batch.column("toxic").to_pylist()):
-                words = restored_words(text.decode(), language, known)
-                counts[not toxic].update({f for w in words for f in made[w]})
-            found = list(counts[0] | counts[1])
-            yield common.batch_of(
-                schema, (found, [counts[0].get(f, 0) for f in found], [counts[1].get(f, 0) for f in found])
-            )
+            for start in range(0, batch.num_rows, COUNTED_ROWS):
+                part = batch.slice(start, COUNTED_ROWS)
+                counts: dict[int, int] = {}
+                for text, toxic in zip(common.texts(part), part.column("toxic").to_pylist()):
+                    words = restored_words(text.decode(), language, known)
+                    one = 1 if toxic else 1 << 32
+                    for feature in {f for w in words for f in features(w)}:
+                        counts[feature] = counts.get(feature, 0) + one
+                found = np.fromiter(counts.keys(), dtype=np.int64, count=len(counts))
+                both = np.fromiter(counts.values(), dtype=np.int64, count=len(counts))
+                yield common.batch_of(
+                    schema, (pa.array(found), pa.array(both & 0xFFFFFFFF), pa.array(both >> 32))
+                )
 
     return run
 
