@@ -26,8 +26,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item is found."""
-    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    """Documents in which no benchmark item is found in any form."""
+    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"), all_forms=True)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

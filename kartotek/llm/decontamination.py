@@ -11,6 +11,9 @@ whole corpus, so a phrase that many items share brings no pairs. The pairs found
 On the diagonal (place in the document less place in the item) with the most windows the slots are compared: each
 value of the item must stand for one value of the document and the other way round. Slots that differ but are
 consistent tell a re-parameterised question; slots that contradict each other tell another text.
+
+That is the rule of the SQL. With ``all_forms`` more is found, and never less: texts are read in several ways, and a
+window is found in any of them. In the second reading names are words like others, so case does not matter.
 """
 
 from __future__ import annotations
@@ -34,6 +37,7 @@ UNITS = (
 
 WORDS = 5
 CONTENT = 3
+LEAST_CONTENT = 2
 SHARE_PERCENT = 80
 
 _NO_ID = -(1 << 63)
@@ -44,12 +48,15 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _templates(rows: DataFrame) -> DataFrame:
-    """``rows`` with the arrays ``cores`` (words without marks at their ends, in lower case) and ``template``."""
+def _templates(rows: DataFrame, all_forms: bool = False) -> DataFrame:
+    """``rows`` with the arrays ``cores`` (words without marks at their ends, in lower case) and ``template``.
+
+    With ``all_forms`` there is ``forms`` too, the array of all readings of a text, of which the template is the first.
+    """
     units = ", ".join(map(_quoted, UNITS))
     words = rows.withColumn("words", F.expr(f"array_remove(split(text, '{_SPACE}'), '')")).drop("text")
     bare = words.withColumn("bare", F.expr(f"transform(words, w -> btrim(w, {_quoted(MARKS)}))"))
-    return bare.withColumn("cores", F.expr("transform(bare, w -> lower(w))")).withColumn(
+    read = bare.withColumn("cores", F.expr("transform(bare, w -> lower(w))")).withColumn(
         "template",
         F.expr(
             f"""transform(cores, (w, i) -> CASE
@@ -60,12 +67,24 @@ def _templates(rows: DataFrame) -> DataFrame:
                      AND instr({_quoted(SENTENCE_ENDS)}, right(get(words, i - 1), 1)) = 0 THEN '<name>'
                 ELSE w END)"""
         ),
-    ).drop("words", "bare")
+    )
+    if all_forms:
+        read = read.withColumn(
+            "folded",
+            F.expr(
+                f"""transform(cores, (w, i) -> CASE
+                    WHEN w >= '0' AND w < ':' THEN '<num>'
+                    WHEN i > 0 AND get(cores, i - 1) >= '0' AND get(cores, i - 1) < ':' AND w IN ({units}) THEN '<unit>'
+                    ELSE w END)"""
+            ),
+        ).withColumn("forms", F.array("template", "folded")).drop("folded")
+    return read.drop("words", "bare")
 
 
-_HASHES = f"""CASE WHEN size(template) >= {WORDS}
-    THEN transform(sequence(1, size(template) - {WORDS - 1}), i -> xxhash64(slice(template, i, {WORDS})))
-    ELSE cast(array() AS array<bigint>) END"""
+def _hashes_of(template: str) -> str:
+    return f"""CASE WHEN size({template}) >= {WORDS}
+        THEN transform(sequence(1, size({template}) - {WORDS - 1}), i -> xxhash64(slice({template}, i, {WORDS})))
+        ELSE cast(array() AS array<bigint>) END"""
 
 
 def _windows(templates: DataFrame, keys: list[str]) -> DataFrame:
@@ -74,32 +93,72 @@ def _windows(templates: DataFrame, keys: list[str]) -> DataFrame:
     The outer form keeps the optimizer from testing the arrays before they are made, which would work them out anew
     for each word.
     """
-    hashed = templates.withColumn("hashes", F.expr(_HASHES))
+    hashed = templates.withColumn("hashes", F.expr(_hashes_of("template")))
     return hashed.select(*keys, "cores", "template", F.posexplode_outer("hashes").alias("place", "hash")).select(
         *keys, "place", "hash", F.expr(f"slice(template, place + 1, {WORDS})").alias("shape"),
         F.expr(f"slice(cores, place + 1, {WORDS})").alias("values"),
     )
 
 
-def item_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """The windows that count of every item, their number, and whether they are probes."""
-    rows = id_and_text(benchmark, item_col, text_col).select(
+def _form_windows(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The windows of all readings, with the number of the ``reading``."""
+    read = _templates(rows, True).select(*keys, "cores", F.posexplode_outer("forms").alias("reading", "template"))
+    return _windows(read, [*keys, "reading"])
+
+
+_CONTENT = "size(filter(shape, w -> w <> '' AND NOT startswith(w, '<')))"
+
+
+def item_forms(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """As :func:`item_windows`, with a row for each hash that a window has in some reading.
+
+    The same windows count; of an item without any, those that count in the second reading do. A reading that leaves
+    a window fewer than two words is not searched.
+    """
+    rows = _items(benchmark, item_col, text_col)
+    own, at = Window.partitionBy("item_id", "item"), Window.partitionBy("item_id", "item", "place")
+    full = F.col("content") >= CONTENT
+    counted = (
+        _form_windows(rows, ["item_id", "item"]).withColumn("content", F.expr(_CONTENT))
+        .withColumn("basis", F.when(F.max(full & (F.col("reading") == 0)).over(own), 0).otherwise(1))
+        .withColumn("counts", F.max(full & (F.col("reading") == F.col("basis"))).over(at))
+        .filter(F.col("counts") & (F.col("content") >= LEAST_CONTENT))
+        .select("item_id", "item", "place", "hash", "shape", "values").dropDuplicates(["item_id", "item", "place", "hash"])
+    )
+    held = counted.groupBy("hash").agg(F.count_distinct("item").alias("items"))
+    ranked = (
+        counted.join(held, "hash").withColumn("most", F.max("items").over(at))
+        .withColumn("rank", F.dense_rank().over(own.orderBy("most", "place")))
+        .withColumn("windows", F.max("rank").over(own).cast("long"))
+    )
+    return pinned(ranked.withColumn("probe", _is_probe()).drop("rank", "items", "most"))
+
+
+def _is_probe():
+    return F.col("rank") <= F.col("windows") - F.ceil(F.col("windows") * SHARE_PERCENT / 100) + 1
+
+
+def _items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    return id_and_text(benchmark, item_col, text_col).select(
         F.coalesce("doc_id", F.lit(_NO_ID)).alias("item_id"), F.xxhash64("text").alias("item"), "text"
     ).distinct()
-    content = F.expr("size(filter(shape, w -> w <> '' AND NOT startswith(w, '<')))")
-    counted = _windows(_templates(rows), ["item_id", "item"]).filter(content >= CONTENT)
+
+
+def item_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """The windows that count of every item, their number, and whether they are probes."""
+    rows = _items(benchmark, item_col, text_col)
+    counted = _windows(_templates(rows), ["item_id", "item"]).filter(F.expr(_CONTENT) >= CONTENT)
     own = Window.partitionBy("item_id", "item")
     held = counted.groupBy("hash").agg(F.count_distinct("item").alias("items"))
     ranked = counted.join(held, "hash").withColumn("windows", F.count(F.lit(1)).over(own)).withColumn(
         "rank", F.row_number().over(own.orderBy("items", "place"))
     )
-    needed = F.ceil(F.col("windows") * SHARE_PERCENT / 100)
-    return pinned(ranked.withColumn("probe", F.col("rank") <= F.col("windows") - needed + 1).drop("rank", "items"))
+    return pinned(ranked.withColumn("probe", _is_probe()).drop("rank", "items"))
 
 
 def matches(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-    item_text_col: str = "text",
+    item_text_col: str = "text", all_forms: bool = False,
 ) -> DataFrame:
     """Pairs doc_id, item_id of documents and the items found in them, with windows, found, coverage and kind.
 
@@ -108,12 +167,15 @@ def matches(
     like others, rows that repeat an id are searched one by one and their pair is told once, with the best coverage.
     Empty tables give no rows.
     """
-    items = item_windows(benchmark, item_col, item_text_col)
+    items = (item_forms if all_forms else item_windows)(benchmark, item_col, item_text_col)
     rows = id_and_text(docs, id_col, text_col).select(
         F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc"), F.xxhash64("text").alias("row"), "text"
     )
     probes = pinned(items.filter("probe").select("item_id", "item", F.col("hash").alias("probe_hash")))
-    searched = _templates(rows).drop("cores").withColumn("hashes", F.expr(_HASHES)).select(
+    hashes = _hashes_of("template")
+    if all_forms:
+        hashes = f"array_distinct(flatten(transform(forms, f -> {_hashes_of('f')})))"
+    searched = _templates(rows, all_forms).drop("cores").withColumn("hashes", F.expr(hashes)).select(
         "doc", "row", F.explode_outer("hashes").alias("hash")
     )
     pairs = pinned(
@@ -121,7 +183,8 @@ def matches(
     )
     wanted = pinned(pairs.select(F.col("doc").alias("d"), F.col("row").alias("r")).distinct())
     again = rows.join(wanted, (F.col("doc") == F.col("d")) & (F.col("row") == F.col("r")), "left_semi").distinct()
-    candidates = _windows(_templates(again), ["doc", "row"]).join(pairs, ["doc", "row"])
+    split = _form_windows(again, ["doc", "row"]) if all_forms else _windows(_templates(again), ["doc", "row"])
+    candidates = split.join(pairs, ["doc", "row"])
     sides = items.select(
         F.col("item_id").alias("i_id"), F.col("item").alias("i"), F.col("hash").alias("i_hash"),
         F.col("place").alias("i_place"), F.col("values").alias("i_values"), "windows",

@@ -386,3 +386,17 @@ def test_questions_with_other_slots(spark, make, odd, nothing):
     assert kept.columns == make(rows).columns
     assert decontamination.matches(nothing, bench).collect() == []
     assert decontamination.matches(odd, bench.limit(0)).collect() == []
+
+
+def found_in_any_form(spark, make, docs, items):
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = decontamination.matches(make(docs), bench, all_forms=True).collect()
+    return {(r["doc_id"], r["item_id"]): r for r in rows}
+
+
+def test_copies_in_any_case_are_found(spark, make):
+    docs = [(1, ITEM.upper()), (2, ITEM.lower()), (3, f"ALL OF IT: {ITEM.upper().replace('12', '31')}"), (4, "Nothing at all of it")]
+    got = found_in_any_form(spark, make, docs, [(1, ITEM)])
+    assert {k: (r["kind"], r["coverage"]) for k, r in got.items()} == {
+        (1, 1): ("exact", 1.0), (2, 1): ("exact", 1.0), (3, 1): ("reparameterised", 1.0),
+    }
