@@ -13,7 +13,9 @@ value of the item must stand for one value of the document and the other way rou
 consistent tell a re-parameterised question; slots that contradict each other tell another text.
 
 That is the rule of the SQL. With ``all_forms`` more is found, and never less: texts are read in several ways, and a
-window is found in any of them. In the second reading names are words like others, so case does not matter.
+window is found in any of them. In the second reading names are words like others, so case does not matter. In the
+third every capitalised word is a name, also at the start of a text or sentence, unless all letters around it are
+capitals.
 """
 
 from __future__ import annotations
@@ -77,7 +79,17 @@ def _templates(rows: DataFrame, all_forms: bool = False) -> DataFrame:
                     WHEN i > 0 AND get(cores, i - 1) >= '0' AND get(cores, i - 1) < ':' AND w IN ({units}) THEN '<unit>'
                     ELSE w END)"""
             ),
-        ).withColumn("forms", F.array("template", "folded")).drop("folded")
+        ).withColumn(
+            "named",
+            F.expr(
+                """transform(folded, (w, i) -> CASE
+                    WHEN w = '' OR startswith(w, '<') OR left(bare[i], 1) = left(cores[i], 1) THEN w
+                    WHEN bare[i] = upper(bare[i])
+                         AND coalesce(get(bare, i - 1) = upper(get(bare, i - 1)), true)
+                         AND coalesce(get(bare, i + 1) = upper(get(bare, i + 1)), true) THEN w
+                    ELSE '<name>' END)"""
+            ),
+        ).withColumn("forms", F.array("template", "folded", "named")).drop("folded", "named")
     return read.drop("words", "bare")
 
 

@@ -400,3 +400,11 @@ def test_copies_in_any_case_are_found(spark, make):
     assert {k: (r["kind"], r["coverage"]) for k, r in got.items()} == {
         (1, 1): ("exact", 1.0), (2, 1): ("exact", 1.0), (3, 1): ("reparameterised", 1.0),
     }
+
+
+def test_names_at_the_start_of_sentences(spark, make):
+    item = "Tom has 5 apples. Tom buys 3 more apples from Ann. How many apples does Tom have now?"
+    other = item.replace("Tom", "Lea").replace("Ann", "Jim").replace("5", "8").replace("3", "6")
+    docs = [(1, other), (2, f"without a mark before it {other}"), (3, other.replace("Lea have", "Jim have"))]
+    got = found_in_any_form(spark, make, docs, [(1, item)])
+    assert {k: r["kind"] for k, r in got.items()} == {(1, 1): "reparameterised", (2, 1): "reparameterised"}
