@@ -15,7 +15,8 @@ consistent tell a re-parameterised question; slots that contradict each other te
 That is the rule of the SQL. With ``all_forms`` more is found, and never less: texts are read in several ways, and a
 window is found in any of them. In the second reading names are words like others, so case does not matter. In the
 third every capitalised word is a name, also at the start of a text or sentence, unless all letters around it are
-capitals.
+capitals. Slots are then compared on every diagonal that holds the share (or the most windows, where none does), one
+that is consistent is enough, and only names must stand for one another; numbers may become equal or part.
 """
 
 from __future__ import annotations
@@ -168,6 +169,49 @@ def item_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str
     return pinned(ranked.withColumn("probe", _is_probe()).drop("rank", "items"))
 
 
+_SLOTS = "filter(arrays_zip(shape, i_values, values), s -> startswith(s.shape, '<'))"
+
+
+def _strict_slots(met: DataFrame, pair: list[str]) -> DataFrame:
+    """Whether the slots of each pair are one to one on its best diagonal, and whether any differs."""
+    best = (
+        met.groupBy(*pair, "diagonal").agg(F.count_distinct("i_place").alias("n"))
+        .groupBy(*pair).agg(F.max(F.struct("n", (-F.col("diagonal")).alias("neg"))).alias("top"))
+        .select(*pair, (-F.col("top.neg")).alias("diagonal"))
+    )
+    slot = F.explode(F.expr(_SLOTS)).alias("slot")
+    return (
+        met.join(best, [*pair, "diagonal"]).select(*pair, slot).select(*pair, "slot.i_values", "slot.values").distinct()
+        .groupBy(*pair).agg(
+            F.count(F.lit(1)).alias("pairs"), F.count_distinct("i_values").alias("left"),
+            F.count_distinct("values").alias("right"), F.max(F.col("i_values") != F.col("values")).alias("differs"),
+        )
+        .select(*pair, F.expr("pairs = left AND pairs = right").alias("consistent"), "differs")
+    )
+
+
+def _free_slots(met: DataFrame, pair: list[str]) -> DataFrame:
+    """Whether names are one to one on some diagonal that holds the share, and whether slots differ on all of these."""
+    on = [*pair, "diagonal"]
+    held = met.groupBy(*on, "windows").agg(F.count_distinct("i_place").alias("n"))
+    enough = F.least(F.ceil(F.col("windows") * SHARE_PERCENT / 100), F.max("n").over(Window.partitionBy(*pair)))
+    wide = held.withColumn("enough", enough).filter("n >= enough").select(*on)
+    slot = F.explode_outer(F.expr(_SLOTS)).alias("slot")
+    name = F.col("shape") == "<name>"
+    values = (
+        met.join(wide, on).select(*on, slot).select(*on, "slot.shape", "slot.i_values", "slot.values").distinct()
+        .groupBy(*on).agg(
+            F.count(F.when(name, 1)).alias("pairs"), F.count_distinct(F.when(name, F.col("i_values"))).alias("left"),
+            F.count_distinct(F.when(name, F.col("values"))).alias("right"),
+            F.coalesce(F.max(F.col("i_values") != F.col("values")), F.lit(False)).alias("differs"),
+        )
+        .withColumn("fits", F.expr("pairs = left AND pairs = right"))
+    )
+    return values.groupBy(*pair).agg(
+        F.max("fits").alias("consistent"), F.min(F.when(F.col("fits"), F.col("differs"))).alias("differs")
+    )
+
+
 def matches(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
     item_text_col: str = "text", all_forms: bool = False,
@@ -212,22 +256,8 @@ def matches(
     found = met.groupBy(*pair, "windows").agg(F.count_distinct("i_place").alias("found")).filter(
         F.col("found") * 100 >= F.col("windows") * SHARE_PERCENT
     )
-    best = (
-        met.groupBy(*pair, "diagonal").agg(F.count_distinct("i_place").alias("n"))
-        .groupBy(*pair).agg(F.max(F.struct("n", (-F.col("diagonal")).alias("neg"))).alias("top"))
-        .select(*pair, (-F.col("top.neg")).alias("diagonal"))
-    )
-    slot = F.explode(
-        F.expr("filter(arrays_zip(shape, i_values, values), s -> startswith(s.shape, '<'))")
-    ).alias("slot")
-    slots = (
-        met.join(best, [*pair, "diagonal"]).select(*pair, slot).select(*pair, "slot.i_values", "slot.values").distinct()
-        .groupBy(*pair).agg(
-            F.count(F.lit(1)).alias("pairs"), F.count_distinct("i_values").alias("left"),
-            F.count_distinct("values").alias("right"), F.max(F.col("i_values") != F.col("values")).alias("differs"),
-        )
-    )
-    told = found.join(slots, pair, "left").filter("pairs IS NULL OR (pairs = left AND pairs = right)")
+    checked = (_free_slots if all_forms else _strict_slots)(met, pair)
+    told = found.join(checked, pair, "left").filter("coalesce(consistent, true)")
     kind = F.when(F.coalesce("differs", F.lit(False)), "reparameterised").otherwise("exact")
     return (
         told.withColumn("kind", kind)

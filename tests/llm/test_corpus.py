@@ -408,3 +408,17 @@ def test_names_at_the_start_of_sentences(spark, make):
     docs = [(1, other), (2, f"without a mark before it {other}"), (3, other.replace("Lea have", "Jim have"))]
     got = found_in_any_form(spark, make, docs, [(1, item)])
     assert {k: r["kind"] for k, r in got.items()} == {(1, 1): "reparameterised", (2, 1): "reparameterised"}
+
+
+def test_slots_on_any_diagonal_and_free_numbers(spark, make):
+    item = ITEM.replace("12 of the", "5 of the").replace("7 pears", "5 pears")
+    torn = item.replace("5 of the", "6 of the").replace("gives", "hands")
+    docs = [
+        (1, item.replace("12", "4").replace("30", "4")), (2, item.replace("5 of the", "3 of the")),
+        (3, f"{item.replace('does Alice', 'does Clara')} {item}"), (4, f"{torn} And so on. {item}"),
+        (5, item.replace("does Alice", "does Clara")),
+    ]
+    got = found_in_any_form(spark, make, docs, [(1, item)])
+    assert {k[0]: r["kind"] for k, r in got.items() if k[0] != 5} == {
+        1: "reparameterised", 2: "reparameterised", 3: "exact", 4: "exact",
+    }
