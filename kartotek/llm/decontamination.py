@@ -16,7 +16,8 @@ That is the rule of the SQL. With ``all_forms`` more is found, and never less: t
 window is found in any of them. In the second reading names are words like others, so case does not matter. In the
 third every capitalised word is a name, also at the start of a text or sentence, unless all letters around it are
 capitals. Slots are then compared on every diagonal that holds the share (or the most windows, where none does), one
-that is consistent is enough, and only names must stand for one another; numbers may become equal or part.
+that is consistent is enough, and only names must stand for one another; numbers may become equal or part. Items
+without a window that counts, or with so few that none may be lacking, are also found by all their words in a row.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ UNITS = (
 WORDS = 5
 CONTENT = 3
 LEAST_CONTENT = 2
+FEW_WINDOWS = 4
+KEY_WORDS = 8
 SHARE_PERCENT = 80
 
 _NO_ID = -(1 << 63)
@@ -147,6 +150,50 @@ def item_forms(benchmark: DataFrame, item_col: str = "item_id", text_col: str =
     return pinned(ranked.withColumn("probe", _is_probe()).drop("rank", "items", "most"))
 
 
+def _plain(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``plain``, all words in lower case without marks at their ends; words of marks alone stay."""
+    words = rows.withColumn("words", F.expr(f"array_remove(split(text, '{_SPACE}'), '')")).drop("text")
+    core = f"btrim(w, {_quoted(MARKS)})"
+    return words.withColumn("plain", F.expr(f"transform(words, w -> lower(coalesce(nullif({core}, ''), w)))")).drop("words")
+
+
+def short_items(benchmark: DataFrame, items: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """The words, without marks alone at either end, of items with few or no windows; and the hash of the first ones."""
+    many = items.filter(F.col("windows") > FEW_WINDOWS).select("item_id", "item").distinct()
+    ends = f"btrim(w, {_quoted(MARKS)}) <> ''"
+    span = f"filter(transform(plain, (w, i) -> CASE WHEN {ends} THEN i END), i -> i IS NOT NULL)"
+    return pinned(
+        _plain(_items(benchmark, item_col, text_col).join(many, ["item_id", "item"], "left_anti"))
+        .withColumn("span", F.expr(span)).filter("size(span) > 0")
+        .withColumn("wanted", F.expr("slice(plain, span[0] + 1, array_max(span) - span[0] + 1)"))
+        .withColumn("length", F.least(F.size("wanted"), F.lit(KEY_WORDS)))
+        .select("item_id", "item", "wanted", "length", F.xxhash64(F.expr("slice(wanted, 1, length)")).alias("key"))
+    )
+
+
+def _in_a_row(rows: DataFrame, short: DataFrame) -> DataFrame:
+    """Pairs doc, item_id of documents that hold all words of a short item in a row; the first words are joined by hash."""
+    lengths = sorted(r["length"] for r in short.select("length").distinct().collect())
+    if not lengths:
+        return rows.select("doc", F.lit(None).cast("long").alias("item_id")).filter(F.lit(False))
+    keys = ", ".join(
+        f"CASE WHEN size(plain) >= {n} THEN transform(sequence(1, size(plain) - {n - 1}), i -> xxhash64(slice(plain, i, {n})))"
+        " ELSE cast(array() AS array<bigint>) END"
+        for n in lengths
+    )
+    searched = _plain(rows).withColumn("keys", F.expr(f"array_distinct(concat({keys}))")).select(
+        "doc", "row", F.explode_outer("keys").alias("at")
+    )
+    pairs = pinned(
+        searched.join(short, F.col("at") == F.col("key")).select("doc", "row", "item_id", "item").distinct()
+    )
+    wanted = pairs.select(F.col("doc").alias("d"), F.col("row").alias("r")).distinct()
+    again = rows.join(wanted, (F.col("doc") == F.col("d")) & (F.col("row") == F.col("r")), "left_semi").distinct()
+    held = _plain(again).join(pairs, ["doc", "row"]).join(short.select("item_id", "item", "wanted"), ["item_id", "item"])
+    whole = "size(plain) >= size(wanted) AND exists(sequence(1, greatest(size(plain) - size(wanted), 0) + 1), i -> slice(plain, i, size(wanted)) = wanted)"
+    return held.filter(F.expr(whole)).select("doc", "item_id").distinct()
+
+
 def _is_probe():
     return F.col("rank") <= F.col("windows") - F.ceil(F.col("windows") * SHARE_PERCENT / 100) + 1
 
@@ -219,7 +266,8 @@ def matches(
     """Pairs doc_id, item_id of documents and the items found in them, with windows, found, coverage and kind.
 
     ``kind`` is ``exact`` where all slots are equal and ``reparameterised`` where they differ consistently. Items of
-    fewer than five words, or without a window that counts, are never found. Null texts are empty, null ids are ids
+    fewer than five words, or without a window that counts, are found by ``all_forms`` alone, as one window of their
+    own length; items without words are never found. Null texts are empty, null ids are ids
     like others, rows that repeat an id are searched one by one and their pair is told once, with the best coverage.
     Empty tables give no rows.
     """
@@ -259,9 +307,15 @@ def matches(
     checked = (_free_slots if all_forms else _strict_slots)(met, pair)
     told = found.join(checked, pair, "left").filter("coalesce(consistent, true)")
     kind = F.when(F.coalesce("differs", F.lit(False)), "reparameterised").otherwise("exact")
+    told = told.select("doc", "item_id", "found", "windows", kind.alias("kind"))
+    if all_forms:
+        short = _in_a_row(rows, short_items(benchmark, items, item_col, item_text_col))
+        one = F.lit(1).cast("long")
+        told = told.unionByName(
+            short.select("doc", "item_id", one.alias("found"), one.alias("windows"), F.lit("exact").alias("kind"))
+        )
     return (
-        told.withColumn("kind", kind)
-        .groupBy("doc", "item_id")
+        told.groupBy("doc", "item_id")
         .agg(F.max(F.struct((F.col("found") / F.col("windows")).alias("coverage"), "found", "windows", "kind")).alias("m"))
         .select(
             F.nullif("doc", F.lit(_NO_ID)).alias("doc_id"), F.nullif("item_id", F.lit(_NO_ID)).alias("item_id"),
