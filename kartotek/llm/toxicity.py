@@ -1,22 +1,23 @@
 """Toxicity of texts, looking through leetspeak, spacing and repetition.
 
 * A character language model (trigrams of letters) is counted over the words of all documents.
-* A word that looks obfuscated is a lattice: a digit or mark may stand for a letter or for nothing, a run of a letter
-  for one or two of it, marks between single letters for nothing; single letters in a row are one word. Viterbi
-  search finds the likeliest restored word under the language model.
+* A word with a doubled letter, a leet sign or any inner mark is a lattice: a digit or mark may stand for a letter or
+  for nothing, a run of a letter for one or two of it, other marks for nothing; single letters in a row, whatever white
+  space parts them, are one word. Viterbi search finds the likeliest restored word under the language model.
 * Words and their beginnings that tell toxic texts from others are found on a sample of labelled rows, and a logistic
   regression on a second part of the sample turns what a restored text contains into a score.
 
 The sample has about ``sample_rows`` labelled rows, drawn by a hash of the id (a documented bound); so are the number
-of telling features and the letters of the language model. Everything else covers all documents.
+of telling features and the letters with histories in the language model; others have their own frequency. Everything else covers all documents.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from math import exp, log
 
 import numpy as np
@@ -49,10 +50,11 @@ START, END = "^", "$"
 _ENDS = ".,;:!?\"'()[]{}<>#%&*/\\-_=~`"
 _MARKS = re.escape("".join(LEET))
 _LETTER = r"[^\W\d_]"
-_HIDDEN = re.compile(
-    rf"{_LETTER}[{_MARKS}]|[{_MARKS}]{_LETTER}|({_LETTER})\1\1|^{_LETTER}(?:[._*\-]{_LETTER})+[._*\-]?{_LETTER}$"
-)
+_HIDDEN = re.compile(rf"{_LETTER}[{_MARKS}]|[{_MARKS}]{_LETTER}|({_LETTER})\1|[\W_]")
+_ANY_LETTER = re.compile(_LETTER)
+_DOUBLED = re.compile(r"(.)\1")
 _SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
+_WIDE = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
 
 
 @dataclass
@@ -62,16 +64,24 @@ class Language:
     trigrams: dict[str, float]
     bigrams: dict[str, float]
     unseen: float
+    letters: dict[str, float] = field(default_factory=dict)
+    rare: frozenset[str] = frozenset()
 
     def step(self, history: str, letter: str) -> float:
         found = self.trigrams.get(history + letter)
         if found is not None:
             return found
-        return self.bigrams.get(history[-1] + letter, self.unseen) - 1.0
+        pair = self.bigrams.get(history[-1] + letter)
+        if pair is None and (letter in self.rare or history[-1] in self.rare):
+            return self.letters.get(letter, self.unseen) - 2.0
+        return (self.unseen if pair is None else pair) - 1.0
 
 
-def language_of(counts: dict[str, int]) -> Language:
-    """The model of trigram counts (two letters of history and a letter; START and END mark a word's ends)."""
+def language_of(counts: dict[str, int], letters: dict[str, int] | None = None) -> Language:
+    """The model of trigram counts (two letters of history and a letter; START and END mark a word's ends).
+
+    ``letters`` counts all letters; those that are in no trigram are rare and known by their own counts only.
+    """
     pairs, history, last = Counter(), Counter(), Counter()
     for gram, n in counts.items():
         history[gram[:2]] += n
@@ -81,6 +91,8 @@ def language_of(counts: dict[str, int]) -> Language:
         {g: log(n / history[g[:2]]) for g, n in counts.items()},
         {p: log(n / last[p[0]]) for p, n in pairs.items()},
         log(1.0 / (sum(last.values()) + 1.0)),
+        {c: log(n / max(sum((letters or {}).values()), 1)) for c, n in (letters or {}).items()},
+        frozenset(letters or {}) - {c for gram in counts for c in gram},
     )
 
 
@@ -111,16 +123,15 @@ def learn_language(docs: DataFrame, letters: int = LETTERS) -> Language:
     """The language model of all texts over their ``letters`` most frequent letters."""
     counts = pinned(docs.mapInArrow(_trigrams, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")))
     last = F.substring("gram", 3, 1)
-    frequent = [
-        r["letter"]
-        for r in counts.groupBy(last.alias("letter")).agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "letter").limit(letters + 1).collect()
-    ]
-    known = {START, END, *frequent}
+    every = {
+        r["letter"]: r["n"]
+        for r in counts.groupBy(last.alias("letter")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "letter").collect()
+    }
+    known = {START, END, *list(every)[: letters + 1]}
     inside = F.lit(True)
     for i in (1, 2, 3):
         inside &= F.substring("gram", i, 1).isin(sorted(known))
-    return language_of({r["gram"]: r["n"] for r in counts.filter(inside & (F.length("gram") == 3)).collect()})
+    return language_of({r["gram"]: r["n"] for r in counts.filter(inside & (F.length("gram") == 3)).collect()}, every)
 
 
 def _lattice(word: str) -> list[list[tuple[str, float]]]:
@@ -142,6 +153,8 @@ def _lattice(word: str) -> list[list[tuple[str, float]]]:
             options = [(char, 0.0 if length == 1 else 0.5)]
             if length > 1:
                 options.append((char * 2, 0.0 if length == 2 else 0.5))
+        elif unicodedata.category(char)[0] == "M":
+            options = [(run[0], 0.0)]
         else:
             options = [("", 0.2)]
         out.append(options)
@@ -174,10 +187,10 @@ def restore(word: str, language: Language) -> str:
 
 def plain_word(word: str, language: Language) -> str:
     """A lower-case word without marks at its ends, restored where it looks obfuscated."""
-    if word.isalpha() and not _HIDDEN.search(word):
+    if word.isalpha() and not _DOUBLED.search(word):
         return word
     core = word.strip(_ENDS)
-    if not core or not _HIDDEN.search(core):
+    if not _HIDDEN.search(core) or not _ANY_LETTER.search(core):
         return core
     return restore(core, language)
 
@@ -186,14 +199,24 @@ def restored_words(text: str, language: Language, known: dict[str, str]) -> set[
     """The distinct words of the restored text."""
     low = text.lower()
     words = {known[w] for w in set(low.split())}
-    for run in _SPACED.finditer(low):
-        words.add(restore("".join(run[0].split()), language))
+    for run in _WIDE.finditer(low):
+        words.update(restore(joined, language) for joined in _joined(run[0]))
     return words
 
 
+def _joined(run: str) -> set[str]:
+    """Words that single letters in a row may be: all of them, those one blank apart, those the least space apart."""
+    out = {"".join(run.split())} | {"".join(part[0].split()) for part in _SPACED.finditer(run)}
+    least = min(map(len, re.findall(r"\s+", run)))
+    parts = re.split(rf"\s{{{least + 1},}}", run)
+    return out | {word for word in ("".join(part.split()) for part in parts) if len(word) > 2}
+
+
 def restored_text(text: str, language: Language) -> str:
     """The text with words restored and spaced letters joined, for reading and for other scorers."""
-    low = _SPACED.sub(lambda m: restore("".join(m[0].split()), language), text.lower())
+    low = text.lower()
+    for spaced in (_SPACED, _WIDE):
+        low = spaced.sub(lambda m: restore("".join(m[0].split()), language), low)
     return re.sub(r"\S+", lambda m: plain_word(m[0], language), low)
 
 

@@ -438,3 +438,25 @@ def test_short_items_are_found_in_a_row(spark, make):
     got = found_in_any_form(spark, make, docs, items)
     assert set(got) == {(1, 1), (2, 2), (4, 3), (5, 3), (6, 4), (9, 5)}
     assert {(r["kind"], r["coverage"]) for r in got.values()} == {("exact", 1.0)}
+
+
+def test_disguises_of_any_shape_are_restored():
+    rows, _ = toxic_corpus(3)
+    counts = Counter()
+    for _, text in rows:
+        for w in text.lower().split():
+            if w.isalpha():
+                counts.update(("^^" + w + "$")[i : i + 3] for i in range(len(w) + 1))
+    language = toxicity.language_of(counts)
+    for word in ("iidiott", "idioot", "i.d.1.0.t", "id.io.t", "i-d_io*t"):
+        assert toxicity.plain_word(word, language) == "idiot", word
+    assert toxicity.plain_word("12.30-7", language) == "12.30-7"
+    known = toxicity.common.Memo(lambda w: toxicity.plain_word(w, language), 100)
+    for text in ("i  d  i  o  t", "i\nd\n\ni\no\nt", "b a k   i d i o t", "b a k\ni d i o t", "i\u00a0d\u00a0i\u00a0o\u00a0t"):
+        assert "idiot" in toxicity.restored_words(text, language, known), text
+
+
+def test_rare_letters_have_their_own_estimate():
+    language = toxicity.language_of({"^^a": 5, "^ab": 5, "ab$": 5}, {"a": 5, "b": 5, "$": 5, "\u0436": 2, "\u0449": 1})
+    assert language.step("a\u0436", "q") < language.step("a\u0436", "b") and language.step("^^", "\u0449") < language.step("^^", "\u0436")
+    assert toxicity.restore("\u0436\u0436\u0436", language) == "\u0436"
