@@ -53,6 +53,7 @@ _LETTER = r"[^\W\d_]"
 _HIDDEN = re.compile(rf"{_LETTER}[{_MARKS}]|[{_MARKS}]{_LETTER}|({_LETTER})\1|[\W_]")
 _ANY_LETTER = re.compile(_LETTER)
 _DOUBLED = re.compile(r"(.)\1")
+_RUN = re.compile(r"(.)\1+")
 _SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
 _WIDE = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
 
@@ -163,6 +164,25 @@ def _lattice(word: str) -> list[list[tuple[str, float]]]:
 
 def restore(word: str, language: Language) -> str:
     """The likeliest word behind an obfuscated one."""
+    return _thinned(word, language) if word.isalpha() else _likeliest(word, language)
+
+
+def _thinned(word: str, language: Language) -> str:
+    """As :func:`_likeliest` for letters alone: all paths meet one letter after a run, so each run is settled by itself."""
+
+    def settled(run: re.Match) -> str:
+        char, length = run[1], len(run[0])
+        before = word[run.start() - 1] if run.start() else START
+        after = word[run.end()] if run.end() < len(word) else END
+        one = language.step(before + char, after) - 0.5
+        two = language.step(before + char, char) + language.step(char * 2, after) - (0.0 if length == 2 else 0.5)
+        return char * 2 if two > one else char
+
+    return _RUN.sub(settled, word)
+
+
+def _likeliest(word: str, language: Language) -> str:
+    """Viterbi search over the lattice of ``word``."""
     paths: dict[str, tuple[float, tuple]] = {START + START: (0.0, ())}
     for options in _lattice(word):
         following: dict[str, tuple[float, tuple]] = {}

@@ -460,3 +460,15 @@ def test_rare_letters_have_their_own_estimate():
     language = toxicity.language_of({"^^a": 5, "^ab": 5, "ab$": 5}, {"a": 5, "b": 5, "$": 5, "\u0436": 2, "\u0449": 1})
     assert language.step("a\u0436", "q") < language.step("a\u0436", "b") and language.step("^^", "\u0449") < language.step("^^", "\u0436")
     assert toxicity.restore("\u0436\u0436\u0436", language) == "\u0436"
+
+
+def test_runs_of_letters_are_settled_as_by_viterbi():
+    draw = random.Random(5)
+    counts = Counter()
+    for _ in range(300):
+        marked = f"^^{''.join(draw.choice('aabcd') for _ in range(draw.randrange(1, 7)))}$"
+        counts.update(marked[i : i + 3] for i in range(len(marked) - 2))
+    language = toxicity.language_of(counts)
+    for _ in range(3_000):
+        word = "".join(draw.choice("abcde") * draw.choice((1, 1, 2, 3)) for _ in range(draw.randrange(1, 8)))
+        assert toxicity.restore(word, language) == toxicity._likeliest(word, language), word
