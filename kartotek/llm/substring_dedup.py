@@ -1,4 +1,4 @@
-"""Remove passages that occurred before, by suffix trees over parts of all suffixes.
+"""Remove passages that occurred before, by ranks of fixed-length prefixes over parts of all suffixes; no trees are built.
 
 A suffix is what follows the start of a window of ``width`` words. Suffixes are split by prefixes of variable length: a
 prefix runs from the start of the window to the end of its anchor, the gram of ``GRAM`` words with the least hash in
@@ -6,12 +6,12 @@ the window, so equal windows have equal prefixes, and only prefixes that end in
 
 * Grams at anchors are counted over all documents. A Bloom filter of the repeated ones, bounded in size, tells which
   anchors send the words of their windows on; grams that occur once stay where they are.
-* Suffixes meet by their anchor's gram, in groups that fit in memory. There the tree is built level by level, ranks of
-  longer prefixes from ranks of shorter ones, down to the depth of a window: a node with two suffixes or more is a
-  repeat, and all but its earliest start are marked.
+* Suffixes meet by their anchor's gram, in groups that fit in memory. There ranks of longer prefixes are made from
+  ranks of shorter ones, up to the length of a window: a rank with two suffixes or more is a repeat, and all but its
+  earliest start are marked.
 * A gram held by more than ``group_limit`` anchors is too large a group. Its equal pieces of text are brought down to the
   earliest first, by an aggregate; all windows of the others are marked. Should the pieces that differ still be too
-  many, prefixes are made longer, up to the whole window, where a node needs no tree any more: an aggregate finds its
+  many, prefixes are made longer, up to the whole window, where no ranks are needed any more: an aggregate finds its
   earliest start and a join marks the others.
 
 Marked words are then taken out of the documents, which are shuffled once for it.
