@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kartotek.llm import chat, decontamination, exact_dedup, line_dedup, mixing, pii, simhash, substring_dedup, token_files, toxicity
+from kartotek.llm import (
+    chat, decontamination, exact_dedup, filter_audit, line_dedup, mixing, pii, simhash, substring_dedup, token_files, toxicity,
+)
 from kartotek.llm.common import table
 from kartotek.sizing import pinned, scratch_path
 
@@ -180,3 +182,52 @@ def op1_chat(spark: SparkSession, folder: str) -> DataFrame:
     path = tokenizer_path(BYTE_TOKENIZER)
     segments, paths = chat.pack(rows, path)
     return chat.read_back(pinned(segments), paths, path)
+
+
+@query(
+    r"""
+    WITH plain AS (
+      SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+             list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+      FROM documents),
+    flags AS (
+      SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels
+      WHERE doc_id IS NOT NULL GROUP BY doc_id),
+    fails AS (
+      SELECT part, len(words) < 50 AS a, 100 * len(list_distinct(words)) < 65 * len(words) AS b,
+             100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 5 * length(text) AS c,
+             regexp_matches(text, '[#$%&*|]') AS d,
+             coalesce(p.doc_id > min(p.doc_id) OVER (PARTITION BY text), false) AS e,
+             coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+      FROM plain p LEFT JOIN flags f ON p.doc_id = f.doc_id),
+    counts AS (
+      SELECT part, [a, b, c, d, e] AS mask, count(*) AS n, count(*) FILTER (WHERE good) AS good,
+             count(*) FILTER (WHERE toxic) AS toxic
+      FROM fails GROUP BY ALL),
+    letters AS (SELECT unnest(range(1, 6)) AS f),
+    orders AS (
+      SELECT [v.f, w.f, x.f, y.f, z.f] AS ord
+      FROM letters v, letters w, letters x, letters y, letters z
+      WHERE len(list_distinct([v.f, w.f, x.f, y.f, z.f])) = 5),
+    steps AS (
+      SELECT part, mask, n, good, toxic, ord,
+             coalesce(list_min(list_transform(list_filter(range(1, 6), lambda f: mask[f]), lambda f: list_position(ord, f))), 6)
+               AS gone
+      FROM counts, orders),
+    cells AS (
+      SELECT part, ord, step, ord[step] AS f,
+             sum(n) FILTER (WHERE gone > step) AS kept, sum(n) FILTER (WHERE gone = step) AS removed,
+             sum(n) FILTER (WHERE gone < step AND mask[ord[step]]) AS redundant,
+             sum(n) FILTER (WHERE mask[ord[step]] AND len(list_filter(mask, lambda m: m)) = 1) AS unique_fails,
+             sum(good) FILTER (WHERE gone = step) AS good_lost, sum(toxic) FILTER (WHERE gone = step) AS toxic_lost
+      FROM (SELECT *, unnest(range(1, 6)) AS step FROM steps) GROUP BY part, ord, step)
+    SELECT part, array_to_string(list_transform(ord, lambda f: substr('ABCDE', f, 1)), '') AS filter_order,
+           step::INTEGER AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+           coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+           coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+           coalesce(sum(removed) OVER (PARTITION BY part, f), 0)::BIGINT AS shapley
+    FROM cells
+    """
+)
+def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
