@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kartotek.llm import (
-    chat, decontamination, exact_dedup, filter_audit, line_dedup, mixing, pii, simhash, substring_dedup, token_files, toxicity,
+    chat, decontamination, exact_dedup, filter_audit, line_dedup, mixing, pii, prefix_trie, simhash, substring_dedup,
+    token_files, toxicity,
 )
 from kartotek.llm.common import table
 from kartotek.sizing import pinned, scratch_path
@@ -231,3 +232,48 @@ def op1_chat(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     return filter_audit.filter_audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query(
+    r"""
+    WITH turns AS (
+      SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS i
+      FROM conversations WHERE conv_id IS NOT NULL),
+    convs AS (
+      SELECT conv_id, conv_id - conv_id % 100 AS base, xor(list_reduce(
+               [4294967295] || list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+               lambda crc, byte: list_reduce(
+                 [xor(crc, byte)] || range(8),
+                 lambda x, bit: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295) % 6 AS h
+      FROM (SELECT DISTINCT conv_id FROM turns)),
+    rebuilt AS (
+      SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY own, i) AS depth
+      FROM (SELECT c.conv_id, false AS own, i, role, text FROM convs c JOIN turns t ON t.conv_id = base AND i < h
+            UNION ALL SELECT c.conv_id, true, i, role, text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND i >= h)),
+    keyed AS (
+      SELECT conv_id, depth, length(text) AS chars,
+             string_agg(length(role) || ':' || length(text) || ':' || role || text, '')
+               OVER (PARTITION BY conv_id ORDER BY depth ROWS UNBOUNDED PRECEDING) AS key
+      FROM rebuilt
+      UNION ALL SELECT conv_id, 0, 0, '' FROM convs),
+    rows AS (
+      SELECT *, lag(key) OVER (PARTITION BY conv_id ORDER BY depth) AS above,
+             depth = max(depth) OVER (PARTITION BY conv_id) AS last FROM keyed),
+    nodes AS (
+      SELECT depth, key, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(chars) AS saved, max(above) AS above,
+             sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE last), '')) AS ends_sha256
+      FROM rows GROUP BY depth, key),
+    children AS (SELECT depth - 1 AS depth, above AS key, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+    figures AS (
+      SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN children c ON n.depth = c.depth AND n.key = c.key),
+    below AS (
+      SELECT r.depth, r.key, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens
+      FROM figures f JOIN rows r ON r.conv_id = f.conv_id AND r.depth <= f.depth GROUP BY ALL)
+    SELECT f.conv_id, f.depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens, f.ends_sha256
+    FROM figures f JOIN below b ON f.depth = b.depth AND f.key = b.key
+    LEFT JOIN nodes p ON p.depth = f.depth - 1 AND p.key = f.above
+    """
+)
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.trie_digests(table(spark, folder, "conversations"))
