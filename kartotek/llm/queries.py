@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kartotek.llm import (
-    chat, decontamination, exact_dedup, filter_audit, line_dedup, mixing, pii, prefix_trie, simhash, substring_dedup,
-    token_files, toxicity,
+    chat, decontamination, exact_dedup, filter_audit, line_dedup, mixing, pii, prefix_trie, secrets, simhash,
+    substring_dedup, token_files, toxicity,
 )
 from kartotek.llm.common import table
 from kartotek.sizing import pinned, scratch_path
@@ -277,3 +277,71 @@ def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_trie.trie_digests(table(spark, folder, "conversations"))
+
+
+_SECRETS_SQL = r"""
+    WITH texts AS (SELECT row_number() OVER () AS nr, doc_id, coalesce(text, '') AS text FROM documents),
+    hits AS ({hits}),
+    parts AS (
+      SELECT nr, kind, text, pieces, found, unnest(range(1, len(found) + 1)) AS i FROM hits WHERE len(found) > 0),
+    placed AS (
+      SELECT nr, kind, found[i] AS hit, length(found[i]) AS n,
+             sum(length(pieces[i]) + coalesce(length(found[i - 1]), 0)) OVER (PARTITION BY nr, kind ORDER BY i) AS start
+      FROM parts),
+    judged AS (
+      SELECT nr, start, start + n AS stop,
+             CASE WHEN kind = 1 AND length(regexp_extract(hit, '{assign}', 2)) < {least} THEN 4 ELSE kind END AS kind
+      FROM placed
+      WHERE kind <> 4 OR (regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[a-z]') AND regexp_matches(hit, '[A-Z]'))),
+    scoped AS (
+      SELECT * FROM (SELECT *, count(*) FILTER (WHERE kind = 0) OVER (PARTITION BY nr ORDER BY start, kind, stop) AS scope FROM judged)
+      WHERE kind > 0),
+    single AS (
+      SELECT s.* FROM scoped s WHERE s.kind NOT IN (4, 5) OR NOT EXISTS (
+        SELECT 1 FROM scoped o WHERE o.nr = s.nr AND o.scope = s.scope AND o.start < s.stop AND o.stop > s.start
+        AND o.kind <> 4 AND (o.kind <> 5 OR s.kind = 4))),
+    near AS (
+      SELECT a.nr, a.kind, a.start, a.stop, bool_or(b.kind IN (1, 3)) AS strong, bool_or(b.kind = 2) AS access,
+             bool_or(b.kind = 4) AS secret, bool_or(b.kind = 5) AS named, bool_or(b.kind = 6) AS endpoint
+      FROM single a LEFT JOIN single b ON a.nr = b.nr AND a.scope = b.scope AND b.kind <> a.kind
+           AND b.start <= a.stop + {reach} AND b.stop >= a.start - {reach}
+      GROUP BY ALL),
+    spans AS (
+      SELECT nr, kind, start, {names}[kind] || ':' || start || ':' || stop AS span FROM near
+      WHERE kind < 4 OR (kind = 4 AND (access OR (named AND endpoint))) OR (kind = 5 AND (strong OR (secret AND endpoint)))
+         OR (kind = 6 AND (access OR named) AND (strong OR secret)))
+    SELECT t.doc_id, count(*) FILTER (WHERE kind = 1) AS n_assign, count(*) FILTER (WHERE kind = 2) AS n_access,
+           count(*) FILTER (WHERE kind = 3) AS n_hex,
+           sha256(coalesce(string_agg(span, ',' ORDER BY start, kind) FILTER (WHERE kind < 4), '')) AS base_sha256,
+           coalesce(string_agg(span, ',' ORDER BY start, kind), '') AS spans
+    FROM texts t LEFT JOIN spans s ON t.nr = s.nr GROUP BY t.nr, t.doc_id
+"""
+
+
+def _secrets_sql() -> str:
+    def literal(pattern: str) -> str:
+        return pattern.replace("'", "''")
+
+    patterns = {
+        secrets.ASSIGN: secrets.ASSIGN_PATTERN, secrets.ACCESS: secrets.ACCESS_PATTERN, secrets.HEX: secrets.HEX_PATTERN,
+        secrets.SECRET: secrets.TOKEN_PATTERN, secrets.IDENTIFIER: secrets.IDENTIFIER_PATTERN,
+        secrets.ENDPOINT: secrets.ENDPOINT_PATTERN, secrets.BREAK: secrets.BREAK_PATTERN,
+    }
+    hits = " UNION ALL ".join(
+        f"SELECT nr, {kind} AS kind, text, string_split_regex(text, '{literal(p)}') AS pieces, "
+        f"regexp_extract_all(text, '{literal(p)}', 0) AS found FROM texts"
+        for kind, p in patterns.items()
+    )
+    values = {
+        "{hits}": hits, "{assign}": literal(secrets.ASSIGN_PATTERN), "{least}": str(secrets.LEAST_VALUE),
+        "{reach}": str(secrets.REACH), "{names}": str(list(secrets.KINDS)),
+    }
+    sql = _SECRETS_SQL
+    for name, value in values.items():
+        sql = sql.replace(name, value)
+    return sql
+
+
+@query(_secrets_sql())
+def op13_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.secret_digests(table(spark, folder, "documents"))
