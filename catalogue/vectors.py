@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalogue.registry import Tables, query
-from kartotek.operators import clusters, ranking, similarity, statistics, vectors
+from kartotek.operators import clusters, onehot, ranking, row_similarity, similarity, statistics, vectors
 
 LONG = """
 WITH e AS (SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) - 1 AS dim
@@ -257,3 +257,73 @@ def q_label_outliers(t: Tables) -> DataFrame:
     return clusters.label_outliers(t.embeddings.select("vec_id", "label"), "label", threshold=0.1, iteration=2)
 
 
+
+
+ROW_COSINES = """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x, list_sum(list_transform(embedding::DOUBLE[], lambda e: e * e)) AS n
+           FROM embeddings),
+p AS (SELECT a.vec_id AS id_a, b.vec_id AS id_b, list_dot_product(a.x, b.x) / sqrt(a.n * b.n) AS cosine
+      FROM v a JOIN v b ON a.vec_id < b.vec_id)
+"""
+
+
+@query(ROW_COSINES + "SELECT id_a, id_b, round(cosine, 6) AS cosine FROM p WHERE cosine >= 0.35")
+def q_row_cosines(t: Tables) -> DataFrame:
+    """Pairs of rows with a cosine of at least 0.35; random directions seldom come nearer."""
+    found = row_similarity.similar_rows(t.embeddings, "vec_id", "embedding", 0.35)
+    return found.pairs.withColumn("cosine", F.round("cosine", 6))
+
+
+@query(
+    ROW_COSINES
+    + """, b AS (SELECT id_a AS id, id_b AS other, cosine FROM p WHERE cosine >= 0.25
+            UNION ALL SELECT id_b, id_a, cosine FROM p WHERE cosine >= 0.25),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cosine DESC, other) AS rn FROM b)
+SELECT id, other, round(cosine, 6) AS cosine, CAST(rn AS INTEGER) AS rank FROM r WHERE rn <= 3"""
+)
+def q_most_similar_rows(t: Tables) -> DataFrame:
+    """The three most similar rows of each, of those with a cosine of at least 0.25."""
+    found = row_similarity.similar_rows(t.embeddings, "vec_id", "embedding", 0.25)
+    return row_similarity.most_similar(found.pairs, 3).withColumn("cosine", F.round("cosine", 6))
+
+
+PART_CLASSES = """
+WITH c AS (SELECT min(p_partkey) AS class_id, string_split(p_name, ' ')[1] AS color, string_split(p_name, ' ')[2] AS kind,
+                  p_brand, p_type, p_size FROM part GROUP BY ALL),
+p AS (SELECT a.class_id AS id_a, b.class_id AS id_b,
+             CAST((a.color = b.color)::INT + (a.kind = b.kind)::INT + (a.p_brand = b.p_brand)::INT
+                  + (a.p_type = b.p_type)::INT + (a.p_size = b.p_size)::INT AS DOUBLE) / 5 AS cosine
+      FROM c a JOIN c b ON a.class_id < b.class_id)
+"""
+
+
+def part_rows(t: Tables) -> DataFrame:
+    """Five texts of each part as one sparse 0/1 vector."""
+    words = F.split("p_name", " ")
+    rows = t.part.select(
+        "p_partkey", F.get(words, 0).alias("color"), F.get(words, 1).alias("kind"), "p_brand", "p_type",
+        F.col("p_size").cast("string").alias("size"),
+    )
+    return onehot.onehot_sparse(rows, "p_partkey")[0]
+
+
+@query(PART_CLASSES + "SELECT id_a, id_b, round(cosine, 6) AS cosine FROM p WHERE cosine >= 0.8")
+def q_onehot_row_cosines(t: Tables) -> DataFrame:
+    """Pairs of kinds of parts that agree in four of five texts: a cosine of 0.8 between one-hot rows."""
+    found = row_similarity.similar_rows(part_rows(t), "p_partkey", "onehot", 0.8)
+    return found.pairs.withColumn("cosine", F.round("cosine", 6))
+
+
+@query(
+    PART_CLASSES
+    + """, l AS (SELECT id, count(*) AS n FROM (SELECT id_a AS id FROM p WHERE cosine >= 0.8
+               UNION ALL SELECT id_b FROM p WHERE cosine >= 0.8) GROUP BY id)
+SELECT p_partkey, class_id, coalesce(l.n, 0) AS n_links
+FROM part t JOIN c ON c.color = string_split(t.p_name, ' ')[1] AND c.kind = string_split(t.p_name, ' ')[2]
+     AND c.p_brand = t.p_brand AND c.p_type = t.p_type AND c.p_size = t.p_size
+LEFT JOIN l ON l.id = class_id"""
+)
+def q_onehot_row_links(t: Tables) -> DataFrame:
+    """Each part with its class of equal rows and to how many classes that is similar."""
+    found = row_similarity.similar_rows(part_rows(t), "p_partkey", "onehot", 0.8)
+    return row_similarity.link_counts(found, "p_partkey")
