@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,6 +10,7 @@ from pyspark.sql import types as T
 from kartotek.functions.text import words
 from kartotek.functions.vector import sparse_vector
 from kartotek.operators.nested import elements, quoted
+from kartotek.operators.term_hash import counted_numbers, term_hash
 from kartotek.sizing import lookup_join, pinned
 
 
@@ -55,10 +57,31 @@ def bag_of_words(
 ) -> DataFrame:
     """Count of each dictionary term per row: ``<id>, term_index, n``.
 
-    ``dictionary`` has ``term`` and ``term_index``, and an id belongs to one row.
-    Tokens are counted per row before the lookup. A token it lacks is dropped, or
-    an error with ``unknown="error"``.
+    ``dictionary`` has ``term`` and ``term_index``, and an id belongs to one row. A token it lacks is dropped, or an error
+    with ``unknown="error"``. Rows meet a dictionary of bounded size, numbered 0, 1, 2, ..., where they are; any other
+    is joined to the counted tokens of each row.
     """
+    terms = term_hash(dictionary, strict=False)
+    if terms is None:
+        return _joined_bag(frame, id_col, tokens_col, dictionary, unknown)
+
+    def count(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rows, numbers, n = counted_numbers(batch.column(1), terms, unknown)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(rows)), pa.array(numbers), pa.array(n, pa.int64())], names=[id_col, "term_index", "n"]
+            )
+
+    chosen = frame.select(F.col(quoted(id_col)), F.col(quoted(tokens_col)))
+    schema = T.StructType([chosen.schema[id_col], T.StructField("term_index", T.LongType()), T.StructField("n", T.LongType())])
+    found = chosen.mapInArrow(count, schema)
+    return found.withColumn("term_index", F.col("term_index").cast(dictionary.schema["term_index"].dataType))
+
+
+def _joined_bag(frame: DataFrame, id_col: str, tokens_col: str, dictionary: DataFrame, unknown: str) -> DataFrame:
+    """As :func:`bag_of_words` for a dictionary of any size, by a join."""
     counts = token_counts(frame, id_col, tokens_col)
     found = lookup_join(counts, dictionary.select("term", "term_index"), ["term"], "left" if unknown == "error" else "inner")
     at = F.col("term_index")
@@ -84,10 +107,42 @@ def token_vectors(
     """The columns ``keep`` of every row with a sparse vector of its dictionary terms, however many terms there are.
 
     Each row is a row of its own, also when its other columns repeat; a null array
-    gives an empty vector, and tokens the dictionary lacks are dropped. Rows get a
-    number when they are written, their counted terms meet the dictionary by join,
-    and come together again by that number.
+    gives an empty vector, and tokens the dictionary lacks are dropped. With a dictionary of bounded size this is a
+    projection: the rows stay where they are. With a larger one they get a number when they are written, their counted
+    terms meet the dictionary by join, and come together again by that number.
     """
+    terms = term_hash(dictionary)
+    if terms is None:
+        return _joined_vectors(frame, keep, tokens_col, dictionary, output, binary)
+
+    def assemble(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            rows, numbers, n = counted_numbers(batch.column(len(keep)), terms)
+            many = batch.num_rows
+            offsets = pa.array(np.searchsorted(rows, np.arange(many + 1)).astype(np.int32))
+            vector = pa.StructArray.from_arrays(
+                [
+                    pa.array(np.zeros(many, np.int8)), pa.array(np.full(many, terms.size, np.int32)),
+                    pa.ListArray.from_arrays(offsets, pa.array(numbers.astype(np.int32))),
+                    pa.ListArray.from_arrays(offsets, pa.array(np.ones(len(n)) if binary else n.astype(float))),
+                ],
+                names=["type", "size", "indices", "values"],
+            )
+            held = [batch.column(i) for i in range(len(keep))]
+            yield pa.RecordBatch.from_arrays([*held, vector], names=[*[f"__k{i}" for i in range(len(keep))], "__vector"])
+
+    rows = frame.select(*[F.col(quoted(c)).alias(f"__k{i}") for i, c in enumerate(keep)], F.col(quoted(tokens_col)).alias("__tokens"))
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("__vector", VectorUDT())])
+    return rows.mapInArrow(assemble, schema).toDF(*keep, output)
+
+
+def _joined_vectors(
+    frame: DataFrame, keep: list[str], tokens_col: str, dictionary: DataFrame, output: str, binary: bool
+) -> DataFrame:
+    """As :func:`token_vectors` for a dictionary of any size, by a join and a grouping of its entries."""
     size = numbered_size(dictionary)
     columns = [F.col(quoted(c)).alias(f"__k{i}") for i, c in enumerate(keep)]
     rows = pinned(
