@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalogue.features import company_documents
 from catalogue.registry import Tables, query
-from kartotek.operators import clusters, regression, vectors
+from kartotek.operators import clusters, kmeans_grid, regression, vectors
 from kartotek.operators.confusion import confusion_table
 from kartotek.operators.statistics import group_mean_vectors
 from kartotek.operators.sampling import stratified_split
@@ -216,3 +217,41 @@ def q_logreg_cv(t: Tables) -> DataFrame:
 def q_logreg_elastic(t: Tables) -> DataFrame:
     model = regression.fit_elastic_net(labelled_texts(t))
     return model.transform(labelled_texts(t)).select("doc_id", "label", "predictions")
+
+
+@query(
+    """
+WITH v AS (SELECT vec_id, vec_id % 3 AS fold, embedding::DOUBLE[] AS x FROM embeddings),
+m AS (SELECT k, f, c.x, c.vec_id AS c FROM (SELECT unnest([2, 3, 4]) AS k), (SELECT unnest([0, 1, 2]) AS f), v c WHERE c.vec_id < k),
+a AS (SELECT k, f, m.c, v.x, v.fold FROM m, v QUALIFY row_number() OVER (PARTITION BY k, f, v.vec_id ORDER BY list_distance(v.x, m.x), m.c) = 1),
+e AS (SELECT k, f, c, dim, avg(y) AS y FROM (SELECT k, f, c, unnest(x) AS y, unnest(range(64)) AS dim FROM a WHERE fold <> f) GROUP BY ALL),
+n AS (SELECT k, f, c, list(y ORDER BY dim) AS x FROM e GROUP BY ALL),
+d AS (SELECT k, f, v.vec_id, fold, min(list_distance(v.x, n.x)) AS d FROM n, v GROUP BY ALL)
+SELECT CAST(k AS INTEGER) AS k, CAST(f AS INTEGER) AS fold, round(sum(d * d) FILTER (fold <> f), 6) AS cost,
+       round(sum(d * d) FILTER (fold = f), 6) AS held_out
+FROM d GROUP BY k, f
+"""
+)
+def q_kmeans_shared_scan(t: Tables) -> DataFrame:
+    """Nine models after one shared step from given centres: costs on their own rows and on the fold left out."""
+    rows = feature_vectors(t)
+    first = {r["vec_id"]: r["features"].toArray() for r in rows.filter("vec_id < 4").collect()}
+    starts = {k: np.array([first[i] for i in range(k)]) for k in (2, 3, 4)}
+    fits = kmeans_grid.fit_grid(rows, (2, 3, 4), "features", F.col("vec_id") % 3, 3, 1, starts=starts)
+    return t.spark.createDataFrame(
+        [(f.k, f.fold, round(f.cost, 6), round(f.held_out, 6)) for f in fits], "k int, fold int, cost double, held_out double"
+    )
+
+
+@query("SELECT unnest([4, 8, 10, 12, 16]) AS k, true AS same_cost, true AS at_rest")
+def q_kmeans_grid_converged(t: Tables) -> DataFrame:
+    """The searched models run to their end: the rows measured against the centres have the cost told, and no centre moves."""
+    rows, checked = feature_vectors(t), []
+    for fit in kmeans_grid.fit_grid(rows, clusters.TRIED_CLUSTERS, max_iterations=200):
+        centres = t.spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(fit.centres)], "cluster int, coordinates array<double>")
+        near = clusters.nearest_centres(rows, centres, "features")
+        cost = clusters.wssse(near).first()["wssse"]
+        means = group_mean_vectors(near, "prediction", "features").join(centres, F.col("prediction") == F.col("cluster"))
+        gap = F.array_max(F.zip_with("mean", "coordinates", lambda a, b: F.abs(a - b)))
+        checked.append((fit.k, abs(cost / fit.cost - 1) < 1e-9, means.agg(F.max(gap)).first()[0] < 1e-3))
+    return t.spark.createDataFrame(checked, "k int, same_cost boolean, at_rest boolean")

@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
-from multiprocessing.pool import ThreadPool
-from typing import Any
-
 import pyarrow as pa
-from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kartotek.functions.vector import abs_difference, norm, vector_distance
+from kartotek.operators.blocks import entries_of
+from kartotek.operators.kmeans_grid import fit_grid
 from kartotek.operators.nested import quoted
 from kartotek.operators.statistics import as_array
 from kartotek.sizing import SMALL_BYTES, lookup_join, settled_or_pinned
@@ -82,23 +79,6 @@ def center_distances(
     return joined.withColumn(distance, away).drop("__centre")
 
 
-def _entries_of(vectors):
-    """Row, position and value of every stored entry of a batch of unwrapped vectors, and their sizes."""
-    import numpy as np
-    import pyarrow.compute as pc
-
-    values = vectors.field("values")
-    row = pc.list_parent_indices(values).to_numpy().astype("int64")
-    value = pc.list_flatten(values).to_numpy(zero_copy_only=False)
-    stored = pc.list_value_length(values).to_numpy(zero_copy_only=False).astype("int64")
-    sparse = vectors.field("type").to_numpy(zero_copy_only=False) == 0
-    first = np.cumsum(stored) - stored
-    position = np.arange(len(row)) - first[row]
-    position[sparse[row]] = pc.list_flatten(vectors.field("indices").filter(pa.array(sparse))).to_numpy(zero_copy_only=False)
-    size = np.where(sparse, vectors.field("size").fill_null(0).to_numpy(zero_copy_only=False), stored)
-    return row, position, value, size
-
-
 def _blocks(rows: list[tuple[int, list[float]]], max_bytes: int) -> list[list[tuple[int, list[float]]]]:
     """Centres in blocks of bounded size."""
     width = max((len(point) for _, point in rows), default=1)
@@ -137,7 +117,7 @@ def nearest_centres(
             valid = vectors.is_valid().to_numpy(zero_copy_only=False)
             present = vectors.drop_null()
             if is_vector:
-                row, position, value, size = _entries_of(present)
+                row, position, value, size = entries_of(present)
                 if (size != centre.shape[1]).any():
                     raise ValueError("vector sizes differ from those of the centres")
                 own = np.bincount(row, weights=value * value, minlength=len(present))
@@ -181,31 +161,16 @@ def wssse(frame: DataFrame, distance: str = "distance", name: str = "wssse") ->
     return frame.agg(F.sum(F.col(quoted(distance)) * F.col(quoted(distance))).alias(name))
 
 
-def _side_by_side(
-    spark: SparkSession, task: Callable[[Any], Any], items: Iterable[Any], parallelism: int
-) -> list[Any]:
-    """Run a few fits at a time; each is a distributed job, and together they fill the gaps between stages."""
-    with ThreadPool(parallelism) as pool:
-        return pool.map(inheritable_thread_target(spark)(task), list(items))
-
-
 def kmeans_scores(
     frame: DataFrame,
     ks: tuple[int, ...] = TRIED_CLUSTERS,
     features: str = "scaledfeatures",
     max_iterations: int = MAX_ITERATIONS,
     seed: int = 42,
-    parallelism: int = 4,
 ) -> DataFrame:
-    """Cost on the training rows for each k: ``k, wssse``. The vectors are cached for the fits."""
-    vectors = frame.select(F.col(quoted(features)).alias("features")).persist()
-
-    def training_cost(k: int) -> tuple[int, float]:
-        return k, float(fit_kmeans(vectors, k, "features", max_iterations, seed).summary.trainingCost)
-
-    rows = _side_by_side(frame.sparkSession, training_cost, ks, parallelism)
-    vectors.unpersist()
-    return frame.sparkSession.createDataFrame(rows, "k int, wssse double")
+    """Cost on the training rows for each k: ``k, wssse``. All fits share their scans of the rows."""
+    fits = fit_grid(frame, tuple(ks), features, max_iterations=max_iterations, seed=seed)
+    return frame.sparkSession.createDataFrame([(f.k, f.cost) for f in fits], "k int, wssse double")
 
 
 def kmeans_cross_scores(
@@ -216,30 +181,15 @@ def kmeans_cross_scores(
     folds: int = 10,
     max_iterations: int = MAX_ITERATIONS,
     seed: int = 42,
-    parallelism: int = 4,
 ) -> DataFrame:
     """Held-out score of each k: ``k, score``, the mean over folds of minus the cost on the fold.
 
-    The fold of a row comes from a hash of its id. Each fit is distributed over the
-    data; the vectors are cached once for all of them.
+    The fold of a row comes from a hash of its id. The fits of all k and folds share their scans of the rows.
     """
     fold = F.pmod(F.xxhash64(F.col(quoted(id_col))), F.lit(folds)).cast("int")
-    vector = F.col(quoted(features))
-    if not isinstance(frame.schema[features].dataType, VectorUDT):
-        raise TypeError(f"{features} is not a vector column")
-    vectors = frame.select(fold.alias("fold"), vector.alias("features")).persist()
-
-    def held_out_cost(task: tuple[int, int]) -> tuple[int, int, float | None]:
-        k, held_out = task
-        model = fit_kmeans(vectors.filter(F.col("fold") != held_out), k, "features", max_iterations, seed)
-        centres = centres_frame(frame.sparkSession, model)
-        measured = nearest_centres(vectors.filter(F.col("fold") == held_out), centres, "features")
-        cost = wssse(measured).first()["wssse"]
-        return k, held_out, None if cost is None else -float(cost)
-
-    rows = _side_by_side(frame.sparkSession, held_out_cost, [(k, f) for k in ks for f in range(folds)], parallelism)
-    vectors.unpersist()
-    scores = frame.sparkSession.createDataFrame(rows, "k int, fold int, score double")
+    fits = fit_grid(frame, tuple(ks), features, fold, folds, max_iterations, seed)
+    rows = [(f.k, None if f.held_out is None else -f.held_out) for f in fits]
+    scores = frame.sparkSession.createDataFrame(rows, "k int, score double")
     return scores.groupBy("k").agg(F.avg("score").alias("score"))
 
 
