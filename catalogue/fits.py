@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from catalogue.features import company_documents
 from catalogue.registry import Tables, query
-from kartotek.operators import clusters, kmeans_grid, regression, vectors
+from kartotek.operators import clusters, kmeans_grid, logistic_path, regression, vectors
 from kartotek.operators.confusion import confusion_table
 from kartotek.operators.statistics import group_mean_vectors
 from kartotek.operators.sampling import stratified_split
@@ -255,3 +255,65 @@ def q_kmeans_grid_converged(t: Tables) -> DataFrame:
         gap = F.array_max(F.zip_with("mean", "coordinates", lambda a, b: F.abs(a - b)))
         checked.append((fit.k, abs(cost / fit.cost - 1) < 1e-9, means.agg(F.max(gap)).first()[0] < 1e-3))
     return t.spark.createDataFrame(checked, "k int, same_cost boolean, at_rest boolean")
+
+
+STRENGTHS = (0.1, 0.333, 0.666, 0.999)
+LABEL_MOMENTS = """
+WITH r AS (SELECT quality AS y, n_chars / 1000 AS thousands, lang, toxic FROM documents JOIN labels USING (doc_id)),
+m AS (SELECT unnest(['thousands', 'de', 'es', 'fr', 'toxic', 'Intercept']) AS term,
+             unnest([sum(y * thousands), sum(y) FILTER (lang = 'de'), sum(y) FILTER (lang = 'es'), sum(y) FILTER (lang = 'fr'),
+                     sum(y * toxic), sum(y)])::DOUBLE AS total FROM r)
+"""
+
+
+def moments(t: Tables, fits: list, names: list[str], penalty_name: str, told: list[float]) -> DataFrame:
+    """Per fit and term, the predicted moment with the penalty's slope added; at the optimum it is that of the label."""
+    rows = labelled_texts(t).persist()
+    out = []
+    for fit, shown in zip(fits, told):
+        each = F.concat(vector_to_array("features"), F.array(F.lit(1.0)))
+        scored = rows.withColumn("p", logistic_path.probability(rows, fit))
+        pairs = scored.select("label", "p", F.posexplode(each).alias("at", "x"))
+        sums = {r["at"]: (r["p"], r["y"]) for r in pairs.groupBy("at").agg(
+            F.sum(F.col("p") * F.col("x")).alias("p"), F.sum(F.col("label") * F.col("x")).alias("y")).collect()}
+        for at, name in enumerate(names):
+            predicted, actual = sums[at]
+            slope = 0.0
+            if name != "Intercept":
+                w, s = fit.coefficients[at], fit.scale[at]
+                most = fit.rows * fit.penalty * fit.mixing * s
+                sign = np.sign(w) if w else float(np.clip((actual - predicted) / most, -1, 1)) if most else 0.0
+                slope = most * sign + fit.rows * fit.penalty * (1 - fit.mixing) * s * s * w
+            out.append((shown, name, round(float(predicted + slope), 3) + 0.0))
+    rows.unpersist()
+    return t.spark.createDataFrame(out, f"{penalty_name} double, term string, total double")
+
+
+@query(
+    LABEL_MOMENTS
+    + "SELECT c::DOUBLE AS strength, term, round(total, 3) AS total FROM m, (SELECT unnest([0.1, 0.333, 0.666, 0.999]) AS c)"
+)
+def q_logreg_optimum(t: Tables) -> DataFrame:
+    """All strengths of the search fitted together: each one's gradient with its penalty vanishes."""
+    rows = labelled_texts(t)
+    n = rows.count()
+    fits = logistic_path.fit_paths(rows, tuple(1 / (c * n) for c in STRENGTHS))
+    return moments(t, fits, [*TEXT_TERMS, "Intercept"], "strength", list(STRENGTHS))
+
+
+@query(
+    LABEL_MOMENTS
+    + "SELECT c::DOUBLE AS penalty, term, round(total, 3) AS total FROM m, (SELECT unnest([0.3, 0.03, 0.003]) AS c) WHERE term <> 'Intercept'"
+)
+def q_elastic_optimum(t: Tables) -> DataFrame:
+    """The elastic net at three penalties: zero lies in the subgradient of every coefficient."""
+    fits = logistic_path.fit_paths(labelled_texts(t), (0.3, 0.03, 0.003), 0.8, intercept=False, standardize=True)
+    return moments(t, fits, TEXT_TERMS, "penalty", [0.3, 0.03, 0.003])
+
+
+@query()
+def q_logreg_search(t: Tables) -> DataFrame:
+    """The search over strengths and folds in shared scans, and the confusion of its best model on the rows held back."""
+    split = stratified_split(labelled_texts(t), "label", "doc_id")
+    search = logistic_path.logistic_search(split.filter(~F.col("is_test")), "doc_id")
+    return confusion_table(search.transform(split.filter("is_test")))

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kartotek.operators.clusters import OUTLIER_SHARE, assign_clusters, fit_kmeans, kmeans_cross_scores, label_outliers
+from kartotek.operators.logistic_path import logistic_search
 from kartotek.operators.ranking import max_step
-from kartotek.operators.regression import INVERSE_STRENGTHS, fit_logistic_grid
+from kartotek.operators.regression import INVERSE_STRENGTHS
 from kartotek.operators.sampling import split_by_flag, stratified_split, union_rows
 from kartotek.sizing import pinned
 
@@ -51,7 +52,7 @@ def one_pass(
     split = stratified_split(remaining, label, id_col)
     training = split.filter(~F.col("is_test")).drop("is_test")
     test = split.filter(F.col("is_test")).drop("is_test")
-    search = fit_logistic_grid(training, label, features, inverse_strengths, seed=seed)
+    search = logistic_search(training, id_col, label, features, inverse_strengths)
     predicted = search.transform(test).select(*test.columns, "predictionLogReg")
     no_prediction = F.lit(float("nan"))
     return union_rows(
