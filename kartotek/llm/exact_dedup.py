@@ -72,12 +72,12 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     best = pinned(
         maybe.groupBy("sha").agg(
             F.count(F.lit(1)).alias("group_size"),
-            F.max(F.struct("n_chars", (-F.col("doc_id")).alias("neg"))).alias("best"),
+            F.min(F.struct((-F.col("n_chars")).alias("fewest"), F.col("doc_id").isNull().alias("none"), "doc_id")).alias("best"),
         )
     )
     grouped = maybe.join(best, "sha").select(
-        "doc_id", (-F.col("best.neg")).alias("keep_id"), "group_size",
-        (F.col("doc_id").eqNullSafe(-F.col("best.neg")) & (F.col("n_chars") == F.col("best.n_chars"))).alias("kept"),
+        "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size",
+        (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("n_chars") == -F.col("best.fewest"))).alias("kept"),
         "sha",
     )
     single = tested.filter(~F.col("maybe")).select(
