@@ -1,7 +1,7 @@
 """Drop lines that many documents share.
 
-Lines leave the documents only as 128-bit hashes with the document's id. Texts are shuffled once, to meet the
-hashes of the lines they lose.
+Lines leave the documents only as 128-bit hashes with the document's id. Hashes in too few rows go first; of the others
+the distinct documents are counted. Texts are shuffled once, to meet the hashes of the lines they lose.
 """
 
 from __future__ import annotations
@@ -73,13 +73,15 @@ def _reassemble(min_chars: int, as_text: bool):
 def _kept(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int, as_text: bool) -> DataFrame:
     rows = common.id_and_text(docs, id_col, text_col)
     keys = rows.mapInArrow(_keys(min_chars), "k1 long, k2 long, doc_id long")
+    frequent = pinned(keys.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs).drop("n"))
+    found = pinned(keys.join(frequent, ["k1", "k2"]).distinct())
     common_keys = pinned(
-        keys.groupBy("k1", "k2")
+        found.groupBy("k1", "k2")
         .agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper"))
         .filter(F.col("n_docs") >= min_docs)
     )
     lost = (
-        keys.join(common_keys, ["k1", "k2"])
+        found.join(common_keys, ["k1", "k2"])
         .filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
         .groupBy(F.col("doc_id").alias("__doc"))
         .agg(F.collect_set(F.struct("k1", "k2")).alias("drops"))
@@ -101,7 +103,8 @@ def line_dedup(
     """Per document doc_id, n_lines, n_dropped and the text that stays.
 
     Lines whose key has ``min_chars`` code points or more and is found in ``min_docs`` documents or more stay only
-    in the largest id that holds the key. A null or empty text is one empty line. Every row counts as a document;
-    rows that share an id share what they lose, and a null id is smaller than all others. No rows give no rows.
+    in the largest id that holds the key. A null or empty text is one empty line. Rows that share an id are one document
+    when documents are counted, and share what they lose; all rows without id are one, smaller than all others. No
+    rows give no rows.
     """
     return _kept(docs, id_col, text_col, min_chars, min_docs, True).withColumnRenamed("kept", "text")

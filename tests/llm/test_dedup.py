@@ -61,6 +61,16 @@ def test_lines_of_odd_rows(odd, nothing):
     assert line_dedup.line_digests(nothing).collect() == []
 
 
+def test_lines_of_repeated_ids_count_documents(make):
+    line = "a line that is found in several rows"
+    rows = [(1, line), (1, line), (2, line), (3, "own"), (None, line + " too"), (None, line + " too"), (None, line + " too")]
+    assert [r["n_dropped"] for r in line_dedup.line_dedup(make(rows)).collect()] == [0] * 7
+    more = line_dedup.line_dedup(make(rows + [(-(2**63), line), (None, line)])).collect()
+    assert Counter((r["doc_id"], r["n_dropped"]) for r in more) == Counter(
+        [(1, 1), (1, 1), (2, 0), (3, 0), (-(2**63), 1), (None, 1)] + [(None, 0)] * 3
+    )
+
+
 def exact_by_hand(rows):
     groups = defaultdict(list)
     for i, text in rows:
@@ -76,6 +86,7 @@ def exact_by_hand(rows):
 @pytest.mark.parametrize("max_bits", [1 << 10, bloom.MAX_BITS])
 def test_exact_copies(make, max_bits):
     rows = sample(1) + ODD + [(900 + i, "a b  c") for i in range(50)] + [(800, "ab c\n\n")]
+    rows += [(-(2**63), "least"), (2**63 - 1, "least"), (-(2**63), "lea st"), (None, "lea  st")]
     got = Counter(tuple(r) for r in exact_dedup.decisions(make(rows), max_bits=max_bits).collect())
     assert got == exact_by_hand(rows)
 
