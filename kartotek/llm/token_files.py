@@ -57,12 +57,42 @@ class _Words(dict):
         return found
 
 
+# The one form of normaliser and pre-tokeniser under which words can be encoded apart
+_APART_NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"},
+    ],
+}
+_APART_SPLIT = {
+    "type": "Split",
+    "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True,
+}
+_APART_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+
+
+def allows_words_apart(definition: str) -> bool:
+    """Whether a tokenizer's definition proves that the ids of a text are those of its words, one after the other."""
+    held = json.loads(definition)
+    splits = (held.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    return (
+        held.get("normalizer") == _APART_NORMALIZER
+        and len(splits) == 2
+        and splits[0] == _APART_SPLIT
+        and {k: v for k, v in splits[1].items() if k != "trim_offsets"} == _APART_BYTES
+        and held.get("model", {}).get("type") == "BPE"
+        and not held.get("truncation")
+        and not held.get("padding")
+        and all(not t["lstrip"] and not t["rstrip"] and not t["single_word"] for t in held.get("added_tokens", []))
+    )
+
+
 class Encoder:
     """Ids of texts by a tokenizer file of the ``tokenizers`` library.
 
-    With ``words_apart`` the tokenizer must drop white space, fold case and treat runs of letters, single digits and
-    runs of other marks by themselves, as byte-level BPE; words are then encoded once and kept in a cache of bounded
-    size. Without it whole texts are encoded.
+    With ``words_apart``, words are encoded once and kept in a cache of bounded size, if the file says that the tokenizer
+    drops white space, folds case and treats runs of letters, single digits and runs of other marks by themselves, as
+    byte-level BPE. Otherwise, or without ``words_apart``, whole texts are encoded.
     """
 
     def __init__(self, path: str, words_apart: bool = True, cache_words: int = CACHE_WORDS):
@@ -70,7 +100,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.words_apart = words_apart
+        self.words_apart = words_apart and allows_words_apart(self.tokenizer.to_str())
         self.words = _Words(self._word, cache_words)
         self.bytes = _byte_letters()
 
