@@ -7,7 +7,9 @@ seeded order, cut into blocks from a seeded word on, and takes the first blocks
 documents stay whole. Only the block that closes the ring can be shorter than the others.
 
 A shard holds a bounded number of words and documents whatever the size of its source, and is the only thing
-that is gathered in one task. Only one row a source reaches the driver.
+that is gathered in one task. The shards of a source are never gathered: the divisor that gives them their source's blocks is
+found by counting, many divisors to an aggregate, and ties are settled by shard number in the same way. Only one row a source
+reaches the driver.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,23 +34,34 @@ SHARD_WORDS = 1_000_000
 SHARD_DOCS = 4_096
 MAX_REPEATS = 3
 SEED = 42
+CANDIDATES = 48
 
-_SIZES = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("size", pa.int64())])
+_SIZES = pa.schema(
+    [("row", pa.int64()), ("doc_id", pa.int64()), ("source", pa.string()), ("size", pa.int64()), ("h", pa.int64())]
+)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sizes = [len(text.split()) for text in common.texts(batch)]
-        yield common.batch_of(_SIZES, (batch.column("doc_id"), batch.column("source").cast(pa.string()), sizes))
+        found, hashes = [], []
+        for text in common.texts(batch):
+            found.append(len(text.split()))
+            hashes.append(xxhash.xxh3_64_intdigest(text))
+        h = pa.array(np.array(hashes, dtype=np.uint64).view(np.int64))
+        columns = (batch.column("row"), batch.column("doc_id"), batch.column("source").cast(pa.string()), found, h)
+        yield common.batch_of(_SIZES, columns)
 
 
-def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source and the number of words of each text."""
+def sizes(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None
+) -> DataFrame:
+    """A number of each row, doc_id, source, the number of words of the text and a hash of it."""
     rows = docs.select(
+        (F.col(f"`{row_col}`") if row_col else F.monotonically_increasing_id()).alias("row"),
         F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"),
         F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"),
     )
-    return rows.mapInArrow(_count, "doc_id long, source string, size long")
+    return rows.mapInArrow(_count, "row long, doc_id long, source string, size long, h long")
 
 
 def targets(totals: list[int], weights: list[float], max_repeats: float = MAX_REPEATS) -> list[float]:
@@ -96,14 +110,73 @@ def apportion(votes, seats: int, limits) -> np.ndarray:
     return quota
 
 
-def _shard_quotas(block_words: int):
-    def run(shards: pd.DataFrame) -> pd.DataFrame:
-        shards = shards.sort_values("shard")
-        words = shards["words"].to_numpy()
-        quota = apportion(words, int(shards["quota"].iloc[0]), -(-words // block_words))
-        return shards.assign(quota=quota)
+def _won(divisor, block_words: int):
+    """Blocks that a shard wins under a divisor; none over what it holds."""
+    return F.least(F.floor(F.col("words") / divisor + 0.5), F.ceil(F.col("words") / block_words))
 
-    return run
+
+def _per_source(shards: DataFrame, values: dict[int, list[float]], measures) -> dict[int, list[int]]:
+    """Sums over the shards of each source of what ``measures`` makes of the source's values."""
+    table = shards.sparkSession.createDataFrame(list(values.items()), "no int, at array<double>")
+    n = len(next(iter(values.values())))
+    sums = [F.sum(measures(F.col("at")[i])).alias(f"s{i}") for i in range(n)]
+    rows = shards.join(F.broadcast(table), F.col("source_no") == F.col("no")).groupBy("source_no").agg(*sums).collect()
+    return {r["source_no"]: [int(r[f"s{i}"]) for i in range(n)] for r in rows}
+
+
+def shard_quotas(shards: DataFrame, seats: dict[int, int], block_words: int = BLOCK_WORDS) -> DataFrame:
+    """source_no, shard and quota: how many of its source's ``seats`` (blocks) each shard gets, by Sainte-Laguë.
+
+    ``shards`` has source_no, shard and words and is read several times. A shard gets no more blocks than it holds and, among
+    equal quotients, the smaller number comes first. What is broadcast and collected has one row a source.
+    """
+    held = {
+        r["source_no"]: r
+        for r in shards.groupBy("source_no").agg(
+            F.sum(F.ceil(F.col("words") / block_words)).alias("limit"), F.max("words").alias("most"), F.max("shard").alias("last")
+        ).collect()
+    }
+    # The divisor of each source lies in (low, high]: low gives too many blocks, high not too many
+    low, high, need, given = {}, {}, {}, {}
+    for no, r in held.items():
+        need[no] = min(seats.get(no, 0), r["limit"])
+        low[no], high[no], given[no] = 1.0, 4.0 * r["most"] + 1.0, 0
+        if need[no] == r["limit"]:
+            high[no], given[no] = 1.0, r["limit"]
+
+    def narrow(no: int) -> bool:
+        return given[no] == need[no] or np.nextafter(low[no], high[no]) >= high[no]
+
+    while open_ := [no for no in held if not narrow(no)]:
+        tried = {no: np.linspace(low[no], high[no], CANDIDATES + 2)[1:-1].tolist() for no in open_}
+        if min(high[no] / low[no] for no in open_) > 2:
+            tried = {no: np.geomspace(low[no], high[no], CANDIDATES + 2)[1:-1].tolist() for no in open_}
+        for no, sums in _per_source(shards, tried, lambda d: _won(d, block_words)).items():
+            over = [d for d, won in zip(tried[no], sums) if won > need[no]]
+            under = [(d, won) for d, won in zip(tried[no], sums) if won <= need[no]]
+            low[no] = max([low[no], *over])
+            if under:
+                high[no], given[no] = min(under)
+    # Shards that are equal at the divisor: as many as are needed, by number
+    most = {no: float(held[no]["last"]) if given[no] < need[no] else -1.0 for no in held}
+    least = {no: -1.0 for no in held}
+    while open_ := [no for no in held if given[no] < need[no] and most[no] - least[no] > 1]:
+        tried = {no: np.unique(np.floor(np.linspace(least[no], most[no], CANDIDATES + 2)))[1:-1].tolist() for no in open_}
+        tried = {no: (t or [least[no]]) + [most[no]] * (CANDIDATES - max(len(t), 1)) for no, t in tried.items()}
+        bounds = shards.sparkSession.createDataFrame([(no, low[no], high[no]) for no in open_], "b int, low double, high double")
+        tied = shards.join(F.broadcast(bounds), F.col("source_no") == F.col("b")).filter(
+            _won(F.col("low"), block_words) > _won(F.col("high"), block_words)
+        )
+        for no, sums in _per_source(tied, tried, lambda t: (F.col("shard") <= t).cast("long")).items():
+            enough = [t for t, n in zip(tried[no], sums) if n >= need[no] - given[no]]
+            few = [t for t, n in zip(tried[no], sums) if n < need[no] - given[no]]
+            most[no], least[no] = min([most[no], *enough]), max([least[no], *few])
+    rows = [(no, low[no], high[no], most[no]) for no in held]
+    table = shards.sparkSession.createDataFrame(rows, "no int, low double, high double, last double")
+    base = _won(F.col("high"), block_words)
+    more = (F.col("shard") <= F.col("last")) & (_won(F.col("low"), block_words) > base)
+    found = shards.join(F.broadcast(table), F.col("source_no") == F.col("no"))
+    return found.select("source_no", "shard", (base + more.cast("long")).cast("long").alias("quota"))
 
 
 def _mixed(values: np.ndarray) -> np.ndarray:
@@ -114,14 +187,14 @@ def _mixed(values: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_PICKED = "doc_id long, source string, size long, source_size long, target double, passes long, a1 long, b1 long, a2 long, b2 long"
+_PICKED = "row long, doc_id long, source string, size long, source_size long, target double, passes long, a1 long, b1 long, a2 long, b2 long"
 
 
 def _select_blocks(block_words: int, seed: int):
     """Per document, word ranges [a1, b1) and [a2, b2) of the blocks that its shard takes."""
 
     def run(docs: pd.DataFrame) -> pd.DataFrame:
-        docs = docs.sort_values(["rank", "doc_id", "size"], kind="stable", na_position="last")
+        docs = docs.sort_values(["rank", "doc_id", "size", "h", "row"], kind="stable", na_position="last")
         size = docs["size"].to_numpy()
         end = np.cumsum(size)
         start, length = end - size, int(end[-1])
@@ -132,7 +205,7 @@ def _select_blocks(block_words: int, seed: int):
         for n, (low, high) in enumerate(ranges, 1):
             a, b = np.clip(start, low, high) - start, np.clip(end, low, high) - start
             docs[f"a{n}"], docs[f"b{n}"] = np.where(b > a, a, 0), np.where(b > a, b, 0)
-        return docs[["doc_id", "source", "size", "source_size", "target", "passes", "a1", "b1", "a2", "b2"]]
+        return docs[["row", "doc_id", "source", "size", "source_size", "target", "passes", "a1", "b1", "a2", "b2"]]
 
     return run
 
@@ -159,24 +232,18 @@ def plan(
     shards = [max(1, -(-r["words"] // shard_words), -(-r["docs"] // shard_docs)) for r in totals]
     sources = session.createDataFrame(
         [
-            (i, r["source"], w, g, p, int(q), n)
-            for i, (r, w, g, p, q, n) in enumerate(zip(totals, words, goal, passes, quotas, shards))
+            (i, r["source"], w, g, p, n)
+            for i, (r, w, g, p, n) in enumerate(zip(totals, words, goal, passes, shards))
         ],
-        "source_no int, name string, source_size long, target double, passes long, source_quota long, shards long",
+        "source_no int, name string, source_size long, target double, passes long, shards long",
     )
-    rank = F.xxhash64(F.lit(seed), "doc_id")
     dealt = (
-        narrow.join(sources, F.col("source").eqNullSafe(F.col("name")))
-        .withColumn("rank", rank)
-        .withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "size"), "shards"))
-    )
-    shard_quota = (
-        dealt.groupBy("source_no", "shard")
-        .agg(F.sum("size").alias("words"), F.first("source_quota").alias("quota"))
-        .groupBy("source_no")
-        .applyInPandas(_shard_quotas(block_words), "source_no int, shard long, words long, quota long")
-        .select(F.col("source_no").alias("no"), F.col("shard").alias("part"), "quota")
+        narrow.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("name")))
+        .withColumn("rank", F.xxhash64(F.lit(seed), "doc_id"))
+        .withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "size", "h"), "shards"))
     )
+    totals_of_shards = pinned(dealt.groupBy("source_no", "shard").agg(F.sum("size").alias("words")))
+    shard_quota = shard_quotas(totals_of_shards, {i: int(q) for i, q in enumerate(quotas)}, block_words).toDF("no", "part", "quota")
     picked = (
         dealt.join(shard_quota, (F.col("source_no") == F.col("no")) & (F.col("shard") == F.col("part")))
         .groupBy("source_no", "shard")
@@ -208,11 +275,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """The mixed documents, with the columns of ``docs``.
 
     A document comes once for each whole pass, and once more, cut to the words of its ranges, where blocks cover
-    it. Documents that nothing is taken of are gone. Rows that repeat an id all follow the sum of what is planned
-    for that id and size, so ids should be unique.
+    it. Documents that nothing is taken of are gone. Rows get a number when they are written to the shared folder and follow
+    the plan of that number, so rows that repeat an id, whatever their texts, are documents of their own.
     """
-    columns = {"id_col": id_col, "text_col": text_col, "source_col": source_col}
-    chosen = plan(docs, **columns, **settings).filter("taken > 0")
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    columns = {key: f"c{names.index(c)}" for key, c in (("id_col", id_col), ("text_col", text_col), ("source_col", source_col))}
+    numbered = pinned(plain.withColumn("__row", F.monotonically_increasing_id()))
+    chosen = plan(numbered, row_col="__row", **columns, **settings).filter("taken > 0")
     copies = F.transform(
         F.sequence(F.lit(1), F.col("passes") + 1),
         lambda i: F.when(
@@ -220,17 +290,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         ).otherwise(F.struct(*[F.lit(None).cast("long").alias(f"__{c}") for c in ("a1", "b1", "a2", "b2")])),
     )
     kept = (
-        chosen.select(F.col("doc_id").alias("__doc"), F.explode(copies).alias("__copy"))
-        .select("__doc", "__copy.*")
+        chosen.select("row", F.explode(copies).alias("__copy")).select(F.col("row").alias("__row"), "__copy.*")
         .filter("__a1 IS NULL OR __b1 > __a1 OR __b2 > __a2")
     )
-    names = docs.columns
-    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    text = f"c{names.index(text_col)}"
-    joined = (
-        plain.withColumn("__text", F.coalesce(F.col(text), F.lit("")))
-        .join(kept, F.col(f"c{names.index(id_col)}").cast("long").eqNullSafe(F.col("__doc")))
-        .drop("__doc")
-    )
+    text = columns["text_col"]
+    joined = numbered.withColumn("__text", F.coalesce(F.col(text), F.lit(""))).join(kept, "__row")
     cut = joined.mapInArrow(_cut, joined.schema).withColumn(text, F.col("__text"))
     return cut.select(*plain.columns).toDF(*names)

@@ -103,6 +103,49 @@ def test_mixed_documents_hold_what_is_planned(make, nothing):
     assert mixing.mix(nothing).collect() == []
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_shard_quotas_by_highest_quotients(spark, seed):
+    draw = random.Random(seed)
+    shards, seats = {}, {}
+    for source in range(4):
+        words = [draw.choice([0, 64, 640, 640, draw.randrange(1, 3_000)]) for _ in range(draw.randrange(1, 40))]
+        shards[source] = words
+        seats[source] = draw.choice([0, 1, 7, 60, 10**6])
+    rows = [(s, i, w) for s, words in shards.items() for i, w in enumerate(words)]
+    draw.shuffle(rows)
+    frame = spark.createDataFrame(rows, "source_no int, shard long, words long")
+    got = {(r["source_no"], r["shard"]): r["quota"] for r in mixing.shard_quotas(frame, seats, 64).collect()}
+    for source, words in shards.items():
+        limits = [-(-w // 64) for w in words]
+        expected = seats_by_hand(words, min(seats[source], sum(limits)), limits)
+        assert [got[source, i] for i in range(len(words))] == expected
+
+
+def test_a_million_tied_shards(spark):
+    frame = spark.range(1_000_000).selectExpr("0 AS source_no", "id AS shard", "64000L AS words")
+    got = mixing.shard_quotas(frame, {0: 333_333_333}, 64)
+    assert [tuple(r) for r in got.groupBy("quota").agg({"shard": "max", "*": "count"}).orderBy("quota").select("quota", "count(1)", "max(shard)").collect()] == [
+        (333, 666_667, 999_999), (334, 333_333, 333_332),
+    ]
+
+
+def test_mix_of_rows_that_repeat_an_id(make):
+    draw = random.Random(6)
+    rows = [(draw.choice([1, 1, 2, None, i]), " ".join(f"{i}-{j}" for j in range(draw.randrange(0, 90))), draw.choice(["a", "b", None])) for i in range(80)]
+    rows += [(1, rows[3][1], "a")] * 3 + [(5, None, "b"), (5, "", "b"), (-(2**63), "x y z", "a")]
+    taken = Counter()
+    for r in mixing.plan(make(rows)).collect():
+        taken[r["doc_id"], r["source"]] += r["taken"]
+    mixed, held = Counter(), Counter()
+    for r in mixing.mix(make(rows)).collect():
+        words = r["text"].split()
+        mixed[r["doc_id"], r["source"]] += len(words)
+        held.update((r["doc_id"], w) for w in words)
+    assert mixed == +taken
+    every = Counter((i, w) for i, t, _ in rows for w in (t or "").split())
+    assert all(n <= 3 * every[key] for key, n in held.items())
+
+
 # Token files
 
 
@@ -112,6 +155,14 @@ TEXTS = [
 ]
 
 
+def test_other_tokenizers_encode_whole_texts():
+    plain, other = Tokenizer.from_file(BYTE_PATH), token_files.Encoder(BYTE_PATH)
+    assert not other.words_apart and token_files.Encoder(WORD_PATH).words_apart
+    for text in TEXTS + ["two  blanks and Case", "  before"]:
+        ids = plain.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(other.encode(text.encode()), dtype=other.kind).tolist() == ids
+
+
 def test_words_apart_gives_the_same_ids():
     plain, words = Tokenizer.from_file(WORD_PATH), token_files.Encoder(WORD_PATH, cache_words=20)
     for text in TEXTS + [" ".join(TEXTS)] * 2:
