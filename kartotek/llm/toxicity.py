@@ -23,7 +23,6 @@ from math import exp, log
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -44,6 +43,7 @@ PREFIXES = range(4, 9)
 MIN_EVIDENCE = 30.0
 MIN_ODDS = 2.0
 WORD_CACHE = 100_000
+COUNTED_TEXTS = 2_000
 COUNTED_ROWS = 400
 START, END = "^", "$"
 
@@ -98,26 +98,28 @@ def language_of(counts: dict[str, int], letters: dict[str, int] | None = None) -
 
 
 def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Trigrams of the words of letters alone, marks at their ends aside, counted over some texts at a time."""
     schema = pa.schema([("gram", pa.string()), ("n", pa.int64())])
-    words: Counter[str] = Counter()
-
-    def grams() -> pa.RecordBatch:
-        counts: Counter[str] = Counter()
-        for word, n in words.items():
-            plain = word.strip(_ENDS)
-            if plain.isalpha():
-                marked = START + START + plain + END
-                for i in range(len(marked) - 2):
-                    counts[marked[i : i + 3]] += n
-        words.clear()
-        return common.batch_of(schema, (list(counts), list(counts.values())))
-
+    point, end = np.uint64((1 << 21) - 1), np.uint64(ord(END))
     for batch in batches:
-        for text in common.texts(batch):
-            words.update(text.decode().lower().split())
-            if len(words) > WORD_CACHE:
-                yield grams()
-    yield grams()
+        for start in range(0, batch.num_rows, COUNTED_TEXTS):
+            low = pc.utf8_lower(batch.column("text").slice(start, COUNTED_TEXTS).cast(pa.large_string()))
+            found = pc.value_counts(pc.list_flatten(pc.utf8_split_whitespace(low)))
+            plain = pc.utf8_trim(found.field("values"), _ENDS)
+            letters = pc.utf8_is_alpha(plain)
+            first, last, none = (pa.scalar(x, pa.large_string()) for x in (START + START, END, ""))
+            marked = pc.binary_join_element_wise(first, plain.filter(letters), last, none)
+            counts = np.repeat(found.field("counts").filter(letters).to_numpy(), pc.utf8_length(marked).to_numpy())
+            codes = np.frombuffer("".join(marked.to_pylist()).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+            if not len(codes):
+                continue
+            inside = (codes[:-2] != end) & (codes[1:-1] != end)
+            grams = ((codes[:-2] << np.uint64(42)) | (codes[1:-1] << np.uint64(21)) | codes[2:])[inside]
+            values, at = np.unique(grams, return_inverse=True)
+            totals = np.bincount(at, weights=counts[:-2][inside]).astype(np.int64)
+            three = np.stack([values >> np.uint64(42), (values >> np.uint64(21)) & point, values & point], axis=1)
+            text = np.ascontiguousarray(three.astype("<u4")).tobytes().decode("utf-32-le")
+            yield common.batch_of(schema, ([text[i : i + 3] for i in range(0, len(text), 3)], pa.array(totals)))
 
 
 def learn_language(docs: DataFrame, letters: int = LETTERS) -> Language:
@@ -218,9 +220,11 @@ def plain_word(word: str, language: Language) -> str:
 def restored_words(text: str, language: Language, known: dict[str, str]) -> set[str]:
     """The distinct words of the restored text."""
     low = text.lower()
-    words = {known[w] for w in set(low.split())}
-    for run in _WIDE.finditer(low):
-        words.update(restore(joined, language) for joined in _joined(run[0]))
+    written = set(low.split())
+    words = {known[w] for w in written}
+    if any(len(w) == 1 for w in written):
+        for run in _WIDE.finditer(low):
+            words.update(restore(joined, language) for joined in _joined(run[0]))
     return words
 
 
@@ -240,17 +244,15 @@ def restored_text(text: str, language: Language) -> str:
     return re.sub(r"\S+", lambda m: plain_word(m[0], language), low)
 
 
-def features(word: str) -> list[int]:
-    """Hashes of a word and of its beginnings."""
-    out = [xxhash.xxh3_64_intdigest("=" + word)]
-    out += [xxhash.xxh3_64_intdigest(word[:n]) for n in PREFIXES if len(word) >= n]
-    return [h - (1 << 64) if h >> 63 else h for h in out]
+def features(word: str) -> list[str]:
+    """A word, marked as whole, and its beginnings."""
+    return ["=" + word, *(word[:n] for n in PREFIXES if len(word) >= n)]
 
 
 @dataclass
 class Model:
     language: Language
-    weights: dict[int, float]
+    weights: dict[str, float]
     bias: float
     slopes: tuple[float, ...]
 
@@ -258,9 +260,23 @@ class Model:
         return max((self.weights.get(f, 0.0) for f in features(word)), default=0.0)
 
     def telling_words(self) -> common.Memo:
-        """The restored form of words that have a weight, by the words as written; others give an empty text."""
+        """The restored form of words that have a weight, by the words as written; others give an empty text.
+
+        Most words of letters alone are settled without restoring them: a word has a weight only if it begins like a
+        telling word or beginning, and a restored one only if it does so with all runs of a letter as one letter.
+        """
+        heads = {f.lstrip("=")[: PREFIXES[0]] for f in self.weights}
+        single = {_RUN.sub(r"\1", f.lstrip("=")) for f in self.weights}
+        lengths = sorted({len(f) for f in single})
 
         def telling(word: str) -> str:
+            core = word if word.isalpha() else word.strip(_ENDS)
+            if core.isalpha():
+                if not _DOUBLED.search(core):
+                    return core if core[: PREFIXES[0]] in heads and self.word_weight(core) else ""
+                thin = _RUN.sub(r"\1", core)
+                if not any(thin[:n] in single for n in lengths):
+                    return ""
             plain = plain_word(word, self.language)
             return plain if self.word_weight(plain) else ""
 
@@ -277,7 +293,7 @@ class Model:
 
 
 def _feature_counts(shared):
-    schema = pa.schema([("feature", pa.int64()), ("toxic", pa.int64()), ("clean", pa.int64())])
+    schema = pa.schema([("feature", pa.string()), ("toxic", pa.int64()), ("clean", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         language = shared.value
@@ -285,17 +301,14 @@ def _feature_counts(shared):
         for batch in batches:
             for start in range(0, batch.num_rows, COUNTED_ROWS):
                 part = batch.slice(start, COUNTED_ROWS)
-                counts: dict[int, int] = {}
+                counts: dict[str, int] = {}
                 for text, toxic in zip(common.texts(part), part.column("toxic").to_pylist()):
                     words = restored_words(text.decode(), language, known)
                     one = 1 if toxic else 1 << 32
                     for feature in {f for w in words for f in features(w)}:
                         counts[feature] = counts.get(feature, 0) + one
-                found = np.fromiter(counts.keys(), dtype=np.int64, count=len(counts))
                 both = np.fromiter(counts.values(), dtype=np.int64, count=len(counts))
-                yield common.batch_of(
-                    schema, (pa.array(found), pa.array(both & 0xFFFFFFFF), pa.array(both >> 32))
-                )
+                yield common.batch_of(schema, (list(counts), pa.array(both & 0xFFFFFFFF), pa.array(both >> 32)))
 
     return run
 
@@ -376,7 +389,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, le
     toxic, clean = part.get((True, False), 0), part.get((False, False), 0)
     counted = (
         sample.filter("part <> 0").select("text", (F.col("toxic") > 0).alias("toxic"))
-        .mapInArrow(_feature_counts(context.broadcast(language)), "feature long, toxic long, clean long")
+        .mapInArrow(_feature_counts(context.broadcast(language)), "feature string, toxic long, clean long")
         .groupBy("feature").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
     )
     odds = F.log((F.col("a") + 0.5) / (toxic + 1.0)) - F.log((F.col("b") + 0.5) / (clean + 1.0))
