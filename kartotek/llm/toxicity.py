@@ -43,8 +43,8 @@ PREFIXES = range(4, 9)
 MIN_EVIDENCE = 30.0
 MIN_ODDS = 2.0
 WORD_CACHE = 100_000
-COUNTED_TEXTS = 2_000
-COUNTED_ROWS = 400
+COUNTED_TEXTS = 500
+COUNTED_ROWS = 200
 START, END = "^", "$"
 
 _ENDS = ".,;:!?\"'()[]{}<>#%&*/\\-_=~`"
