@@ -269,6 +269,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pieces = [(a, b) for a, b in (bounds[2:], bounds[:2]) if b > a]
             out.append(b"\n".join(text[at[a][0] : at[b - 1][1]] for a, b in pieces).decode())
         yield batch.set_column(batch.schema.get_field_index("__text"), "__text", pa.array(out, pa.string()))
+        del out
+    pa.default_memory_pool().release_unused()
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings) -> DataFrame:

@@ -23,6 +23,7 @@ from math import exp, log
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -120,6 +121,7 @@ def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             three = np.stack([values >> np.uint64(42), (values >> np.uint64(21)) & point, values & point], axis=1)
             text = np.ascontiguousarray(three.astype("<u4")).tobytes().decode("utf-32-le")
             yield common.batch_of(schema, ([text[i : i + 3] for i in range(0, len(text), 3)], pa.array(totals)))
+    pa.default_memory_pool().release_unused()
 
 
 def learn_language(docs: DataFrame, letters: int = LETTERS) -> Language:
@@ -249,6 +251,11 @@ def features(word: str) -> list[str]:
     return ["=" + word, *(word[:n] for n in PREFIXES if len(word) >= n)]
 
 
+def feature_hash(feature: str) -> int:
+    h = xxhash.xxh3_64_intdigest(feature)
+    return h - (1 << 64) if h >> 63 else h
+
+
 @dataclass
 class Model:
     language: Language
@@ -293,7 +300,7 @@ class Model:
 
 
 def _feature_counts(shared):
-    schema = pa.schema([("feature", pa.string()), ("toxic", pa.int64()), ("clean", pa.int64())])
+    schema = pa.schema([("feature", pa.int64()), ("toxic", pa.int64()), ("clean", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         language = shared.value
@@ -301,14 +308,34 @@ def _feature_counts(shared):
         for batch in batches:
             for start in range(0, batch.num_rows, COUNTED_ROWS):
                 part = batch.slice(start, COUNTED_ROWS)
-                counts: dict[str, int] = {}
+                counts: dict[int, int] = {}
                 for text, toxic in zip(common.texts(part), part.column("toxic").to_pylist()):
                     words = restored_words(text.decode(), language, known)
                     one = 1 if toxic else 1 << 32
-                    for feature in {f for w in words for f in features(w)}:
+                    for feature in {feature_hash(f) for w in words for f in features(w)}:
                         counts[feature] = counts.get(feature, 0) + one
+                found = np.fromiter(counts.keys(), dtype=np.int64, count=len(counts))
                 both = np.fromiter(counts.values(), dtype=np.int64, count=len(counts))
-                yield common.batch_of(schema, (list(counts), pa.array(both & 0xFFFFFFFF), pa.array(both >> 32)))
+                yield common.batch_of(schema, (pa.array(found), pa.array(both & 0xFFFFFFFF), pa.array(both >> 32)))
+
+    return run
+
+
+def _feature_names(shared, wanted: set[int]):
+    """The words and beginnings behind chosen hashes."""
+    schema = pa.schema([("feature", pa.int64()), ("name", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        language = shared.value
+        known = common.Memo(lambda w: plain_word(w, language), WORD_CACHE // 4)
+        found = set()
+        for batch in batches:
+            for text in common.texts(batch):
+                for name in {f for w in restored_words(text.decode(), language, known) for f in features(w)}:
+                    h = feature_hash(name)
+                    if h in wanted:
+                        found.add((h, name))
+        yield common.batch_of(schema, zip(*found) if found else ([], []))
 
     return run
 
@@ -389,7 +416,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, le
     toxic, clean = part.get((True, False), 0), part.get((False, False), 0)
     counted = (
         sample.filter("part <> 0").select("text", (F.col("toxic") > 0).alias("toxic"))
-        .mapInArrow(_feature_counts(context.broadcast(language)), "feature string, toxic long, clean long")
+        .mapInArrow(_feature_counts(context.broadcast(language)), "feature long, toxic long, clean long")
         .groupBy("feature").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
     )
     odds = F.log((F.col("a") + 0.5) / (toxic + 1.0)) - F.log((F.col("b") + 0.5) / (clean + 1.0))
@@ -400,7 +427,12 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, le
         .filter((F.col("odds") >= MIN_ODDS) & (F.col("evidence") >= MIN_EVIDENCE))
         .orderBy(F.desc("evidence"), "feature").limit(lexicon).collect()
     )
-    model = Model(language, {r["feature"]: r["odds"] for r in telling}, -50.0, (0.0, 0.0, 0.0))
+    odds_of = {r["feature"]: r["odds"] for r in telling}
+    names = sample.filter("part <> 0 AND toxic > 0").select("text").mapInArrow(
+        _feature_names(context.broadcast(language), set(odds_of)), "feature long, name string"
+    ).distinct()
+    weights = {r["name"]: odds_of[r["feature"]] for r in names.collect()} if telling else {}
+    model = Model(language, weights, -50.0, (0.0, 0.0, 0.0))
     if not telling:
         return model
     fit = sample.filter("part = 0").select("text", (F.col("toxic") > 0).cast("int").alias("toxic"))
