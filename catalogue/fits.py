@@ -13,7 +13,8 @@ from kartotek.operators import clusters, kmeans_grid, logistic_path, regression,
 from kartotek.operators.confusion import confusion_table
 from kartotek.operators.statistics import group_mean_vectors
 from kartotek.operators.sampling import stratified_split
-from kartotek.plans import clustering, company, outliers
+from kartotek.plans import clustering, company, outlier_rounds, outliers
+from kartotek.sizing import scratch_path
 
 
 def feature_vectors(t: Tables) -> DataFrame:
@@ -189,6 +190,34 @@ def q_one_pass_rows(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    """
+SELECT count(*) AS n, count(DISTINCT vec_id) AS ids, CAST(0 AS BIGINT) AS astray FROM embeddings
+"""
+)
+def q_outlier_rounds(t: Tables) -> DataFrame:
+    """Rounds of removal to the end: every row once, and rounds whose figures or cluster sizes are not what they must be: none.
+
+    A round's clusters are counted again from the rows: those marked have at most the share of its open rows, the others more,
+    and only the last round marks none.
+    """
+    share = 0.115
+    store = scratch_path(t.spark, "rounds")
+    done = outlier_rounds.outlier_rounds(
+        feature_vectors(t), store, (8,), id_col="vec_id", threshold=share, label_folds=2, inverse_strengths=(0.5,)
+    )
+    told = outlier_rounds.round_figures(t.spark, store)
+    parts = t.spark.read.parquet(f"{store}/rows").withColumnRenamed("part", "round")
+    sizes = parts.groupBy("round", "predictionKmeans").agg(F.count("*").alias("n"), F.count_if(F.col("isOutlier") > 0).alias("out"))
+    small = F.col("n") <= F.col("open_rows") * share
+    wrong = sizes.join(told, "round").agg(F.count_if(F.col("out") != F.when(small, F.col("n")).otherwise(0))).scalar()
+    after = told.select((F.col("round") + 1).alias("round"), (F.col("open_rows") - F.col("marked")).alias("left"), F.col("marked").alias("before"))
+    broken = told.join(after, "round").agg(F.count_if((F.col("open_rows") != F.col("left")) | (F.col("before") == 0))).scalar()
+    unended = told.agg(F.when(F.max_by("marked", "round") == 0, 0).otherwise(1)).scalar()
+    counted = done.agg(F.count("*").alias("n"), F.count_distinct("vec_id").alias("ids"))
+    return counted.select("n", "ids", (wrong + broken + unended).cast("long").alias("astray"))
+
+
 @query()
 def q_glm_companies(t: Tables) -> DataFrame:
     """Company status regressed on the typed company columns."""
