@@ -201,7 +201,7 @@ def q_outlier_rounds(t: Tables) -> DataFrame:
     A round's clusters are counted again from the rows: those marked have at most the share of its open rows, the others more,
     and only the last round marks none.
     """
-    share = 0.115
+    share = 0.1
     store = scratch_path(t.spark, "rounds")
     done = outlier_rounds.outlier_rounds(
         feature_vectors(t), store, (8,), id_col="vec_id", threshold=share, label_folds=2, inverse_strengths=(0.5,)
