@@ -6,6 +6,15 @@ or end with, the words before it, and its borders. Expectation-maximisation over
 labeler can be relied on and how likely each candidate is personal data. These probabilities train a classifier of
 spans, which sees the votes and the span's shape, and decides which candidates join the base spans.
 
+Base spans anchor the estimation: they are personal data, so the strict pattern has no vote in it, and what the other
+labelers say of base spans tells how reliable they are. Kinds with few spans, or without base spans, borrow from all
+kinds together: the votes of all kinds give each labeler's prior, and the classifier of all kinds is where that of a
+kind starts. A value's structure can never speak against its own direction.
+
+Candidates are written addresses ("name at host dot com"), numeric addresses with spelt or bracketed dots, card numbers
+with other marks between their digits, phone numbers in national form, and tokens of mixed letters and digits. None has
+an upper length.
+
 Texts are read once. Votes and shape of a span are one small number, so the driver sees at most one count for each
 kind and number, and no text.
 """
@@ -52,11 +61,20 @@ _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_SPELT = re.compile(r"(?<![\w.])[A-Za-z0-9._%+-]{2,64} ?[\[(]?\bat\b[\])]? ?[A-Za-z0-9-]{2,63} ?[\[(]?\bdot\b[\])]? ?[A-Za-z]{2,12}(?!\w)")
+_DOT = r"(?: ?[\[(]?\bdot\b[\])]? ?|\[\.\]|\(\.\))"
+_SPELT = re.compile(
+    r"(?<![\w.%+-])[A-Za-z0-9._%+-]{2,}+ ?[\[(]?\bat\b[\])]? ?[A-Za-z0-9-]{2,}+(?:" + _DOT + r"[A-Za-z0-9-]{2,}+)+(?!\w)"
+)
+_SPELT_IP = re.compile(r"(?<![0-9])[0-9]{1,3}(?:(?: \. |" + _DOT + r")[0-9]{1,3}){3}(?![0-9])")
+_OTHER_CARD = re.compile(r"(?<![0-9])[0-9]{4}(?:[\x20._/-]{1,3}[0-9]{2,6}){2,4}(?![0-9])")
 _LOCAL_PHONE = re.compile(r"(?<![\w+])(?:00[0-9]{1,3}[ .-])?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?!\w)")
-_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,200}(?![A-Za-z0-9+/_-])")
+_TRUNK_PHONE = re.compile(r"(?<![\w+(.,/-])\(?0[1-9][0-9]{0,3}+\)?+(?:[ ./-][0-9]{2,}+)+(?![\w])")
+_DATE = re.compile(r"[0-9]{2}[./-][0-9]{2}[./-](?:19|20)[0-9]{2}")
+_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{20,}+")
 _DIGITS = re.compile(r"[0-9]")
 _WORD = re.compile(r"[\w-]+")
+_NUMBER = re.compile(r"[0-9]+")
+_DOT_WORD = re.compile(r"\bdot\b")
 
 _FOUND = pa.schema(
     [
@@ -114,15 +132,24 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Start, kind and end of spans that may be personal data and overlap no base span."""
     out = []
-    if " dot " in text or "dot)" in text or "dot]" in text:
+    if "dot" in text or "[.]" in text or "(.)" in text:
         out += [(m.start(), 0, m.end()) for m in _SPELT.finditer(text)]
+        out += [(m.start(), 1, m.end()) for m in _SPELT_IP.finditer(text)]
+    elif " . " in text:
+        out += [(m.start(), 1, m.end()) for m in _SPELT_IP.finditer(text)]
     if _DIGITS.search(text):
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 13 and 13 <= len(digits := _digits(m[0])) <= 19 and not luhn(digits):
                 out.append((m.start(), 2, m.end()))
+        for m in _OTHER_CARD.finditer(text):
+            if 13 <= len(digits := _digits(m[0])) <= 19 and luhn(digits):
+                out.append((m.start(), 2, m.end()))
         out += [(m.start(), 3, m.end()) for m in _LOCAL_PHONE.finditer(text)]
+        for m in _TRUNK_PHONE.finditer(text):
+            if 9 <= len(_digits(m[0])) <= 13 and not _DATE.match(m[0]):
+                out.append((m.start(), 3, m.end()))
         out += [(m.start(), 4, m.end()) for m in _SECRET.finditer(text)]
-    return sorted(s for s in out if not _overlaps(s, base))
+    return sorted(s for s in set(out) if not _overlaps(s, base))
 
 
 def _overlaps(span: tuple[int, int, int], ordered: list[tuple[int, int, int]]) -> bool:
@@ -135,14 +162,29 @@ def _structure(kind: int, span: str) -> int:
     """Whether the value could be one of its kind: 1, -1, or 0 where its form says nothing."""
     digits = _digits(span)
     if kind == 0:
-        return 1 if "." in span.rpartition("@")[2] and span[-1].isalpha() else 0
+        host = span.rpartition("@")[2]
+        return 1 if ("." in host or _DOT_WORD.search(host)) and span[-1].isalpha() else -1
     if kind == 1:
-        return -1 if span.startswith("0") else 1
+        parts = _NUMBER.findall(span)
+        return -1 if span.startswith("0") or any(len(p) > 3 or int(p) > 255 for p in parts) else 1
     if kind == 2:
         return 1 if luhn(digits) and len(set(digits)) > 2 else -1
     if kind == 3:
         return 1 if 9 <= len(digits) <= 15 and len(set(digits)) > 2 else -1
-    return 1 if len(set(span.lower())) >= 10 and len(digits) * 5 >= len(span) else -1
+    if len(set(span.lower())) >= 10 and len(digits) * 5 >= len(span):
+        return 1
+    return 0 if span.startswith(GAZETTEER["secret"]) else -1
+
+
+def _words_before(text: str, start: int) -> list[str]:
+    """The last three words before a place, in lower case, however long they are."""
+    reach = 40
+    while True:
+        low = max(0, start - reach)
+        found = [m for m in _WORD.finditer(text, low, start)]
+        if low == 0 or len(found) > 3:
+            return [m[0].lower() for m in found[-3:]]
+        reach *= 4
 
 
 def votes(text: str, start: int, kind: int, end: int, base: bool) -> list[int]:
@@ -152,7 +194,7 @@ def votes(text: str, start: int, kind: int, end: int, base: bool) -> list[int]:
         known = span.lower().endswith(GAZETTEER[name])
     else:
         known = span.lstrip("(").startswith(GAZETTEER[name])
-    before = [w.lower() for w in _WORD.findall(text[max(0, start - 40) : start])[-3:]]
+    before = _words_before(text, start)
     context = 1 if any(w in CONTEXT[name] for w in before) else -1 if before and before[-1] in AGAINST else 0
     joined = (start > 0 and text[start - 1].isalnum()) or (end < len(text) and text[end].isalnum())
     return [1 if base else 0, _structure(kind, span), 1 if known else 0, context, -1 if joined else 1]
@@ -203,37 +245,53 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield common.batch_of(_FOUND, (batch.column("doc_id"), spans))
 
 
-def reliabilities(patterns: np.ndarray, weights: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
+def reliabilities(
+    patterns: np.ndarray, weights: np.ndarray, rounds: int = 100, anchored: np.ndarray | None = None,
+    prior: np.ndarray | None = None, structure: int | None = None,
+) -> tuple[np.ndarray, np.ndarray]:
     """Expectation-maximisation over vote patterns (rows of -1, 0, 1) with their numbers.
 
     Gives the probability that a pattern's spans are personal data, and for each class and labeler the probability
-    of each vote. Starts from the balance of votes; one more vote of each sort for either class keeps it from zero.
+    of each vote. Starts from the balance of votes; ``prior`` votes of each sort for either class (one, unless given)
+    keep it from zero. ``anchored`` patterns are known to be personal data. The labeler ``structure`` may not be read
+    against its direction: its vote against is at least as likely, and its vote for at most as likely, without personal data.
     """
     kinds = patterns + 1
-    posterior = 1.0 / (1.0 + np.exp(-patterns.sum(axis=1, dtype=float)))
-    chance = np.zeros((2, patterns.shape[1], 3))
+    known = np.zeros(len(patterns), dtype=bool) if anchored is None else anchored
+    posterior = np.where(known, 1.0, 1.0 / (1.0 + np.exp(-patterns.sum(axis=1, dtype=float))))
+    held = np.ones((2, patterns.shape[1], 3)) if prior is None else prior
+    chance = held.copy()
     for _ in range(rounds):
         classes = np.stack([weights * (1 - posterior), weights * posterior])
         for j in range(patterns.shape[1]):
             for v in range(3):
-                chance[:, j, v] = classes[:, kinds[:, j] == v].sum(axis=1) + 1.0
+                chance[:, j, v] = classes[:, kinds[:, j] == v].sum(axis=1) + held[:, j, v]
         chance /= chance.sum(axis=2, keepdims=True)
-        prior = (classes.sum(axis=1) + 1.0) / (weights.sum() + 2.0)
-        logs = np.log(prior)[:, None] + sum(np.log(chance[:, j, :])[:, kinds[:, j]] for j in range(patterns.shape[1]))
-        new = 1.0 / (1.0 + np.exp(np.clip(logs[0] - logs[1], -500, 500)))
-        if np.abs(new - posterior).max() < 1e-9:
+        scores = np.log(chance)
+        if structure is not None:
+            scores[0, structure, 0] = max(scores[0, structure, 0], scores[1, structure, 0])
+            scores[0, structure, 2] = min(scores[0, structure, 2], scores[1, structure, 2])
+        # The share of personal data among spans that are not known to be so
+        open_ = np.stack([c[~known].sum() for c in classes])
+        share = (open_ + 1.0) / (open_.sum() + 2.0)
+        logs = np.log(share)[:, None] + sum(scores[:, j, :][:, kinds[:, j]] for j in range(patterns.shape[1]))
+        new = np.where(known, 1.0, 1.0 / (1.0 + np.exp(np.clip(logs[0] - logs[1], -500, 500))))
+        if np.abs(new - posterior).max(initial=0.0) < 1e-9:
             return new, chance
         posterior = new
     return posterior, chance
 
 
-def span_classifier(design: np.ndarray, soft: np.ndarray, weights: np.ndarray, rounds: int = 50) -> np.ndarray:
-    """Logistic regression on soft labels with counts, by Newton steps under a ridge; bias first."""
+def span_classifier(
+    design: np.ndarray, soft: np.ndarray, weights: np.ndarray, rounds: int = 50, centre: np.ndarray | None = None
+) -> np.ndarray:
+    """Logistic regression on soft labels with counts, by Newton steps under a ridge towards ``centre``; bias first."""
     x = np.column_stack([np.ones(len(design)), design])
-    beta, ridge = np.zeros(x.shape[1]), np.eye(x.shape[1])
+    centre = np.zeros(x.shape[1]) if centre is None else centre
+    beta, ridge = centre.copy(), np.eye(x.shape[1])
     for _ in range(rounds):
         p = 1.0 / (1.0 + np.exp(-np.clip(x @ beta, -30, 30)))
-        gradient = x.T @ (weights * (soft - p)) - ridge @ beta
+        gradient = x.T @ (weights * (soft - p)) - ridge @ (beta - centre)
         step = np.linalg.solve((x * (weights * p * (1 - p))[:, None]).T @ x + ridge, gradient)
         beta += step
         if np.abs(step).max() < 1e-9:
@@ -241,21 +299,36 @@ def span_classifier(design: np.ndarray, soft: np.ndarray, weights: np.ndarray, r
     return beta
 
 
+PRIOR_VOTES = 12.0
+
+
 def accepted_codes(counts: list[tuple[int, int, int]]) -> set[tuple[int, int]]:
-    """The (kind, code) of spans that the classifier takes for personal data, from (kind, code, count)."""
+    """The (kind, code) of spans that the classifier takes for personal data, from (kind, code, count).
+
+    A candidate whose structure speaks against it (a failing checksum, an impossible part) is never taken. What all kinds
+    say counts as ``PRIOR_VOTES`` spans in each kind, and as many as a kind has where none of its spans is a base span.
+    """
+    rows = sorted(counts)
+    if not rows:
+        return set()
+    both = [votes_and_shape(code) for _, code, _ in rows]
+    vote, form = np.array([b[0] for b in both]), np.array([b[1] for b in both])
+    weights, kinds = np.array([n for *_, n in rows], dtype=float), np.array([k for k, *_ in rows])
+    # Each kind weighs the same in what all kinds say together
+    shares = np.array([weights[kinds == k].sum() for k in kinds])
+    level = weights * len(weights) / (shares * len(set(kinds.tolist())))
+    known, said = vote[:, 0] == 1, vote[:, 1:]
+    soft, chance = reliabilities(said, level, anchored=known, structure=0)
+    design = np.column_stack([said == 1, said == -1, form]).astype(float)
+    centre = span_classifier(design, soft, level)
     out = set()
-    for kind in range(len(KINDS)):
-        rows = sorted((code, n) for k, code, n in counts if k == kind)
-        if not rows:
-            continue
-        both = [votes_and_shape(code) for code, _ in rows]
-        vote, form = np.array([b[0] for b in both]), np.array([b[1] for b in both])
-        weights = np.array([n for _, n in rows], dtype=float)
-        soft, _ = reliabilities(vote, weights)
-        design = np.column_stack([vote == 1, vote == -1, form]).astype(float)
-        beta = span_classifier(design, soft, weights)
-        likely = beta[0] + design @ beta[1:] > 0
-        out |= {(kind, code) for (code, _), yes in zip(rows, likely) if yes}
+    for kind in sorted(set(kinds.tolist())):
+        at = kinds == kind
+        prior = chance * (PRIOR_VOTES if known[at].any() else max(PRIOR_VOTES, weights[at].sum()))
+        own, _ = reliabilities(said[at], weights[at], anchored=known[at], prior=prior, structure=0)
+        beta = span_classifier(design[at], own, weights[at], centre=centre)
+        likely = (beta[0] + design[at] @ beta[1:] > 0) & (said[at][:, 0] >= 0)
+        out |= {(kind, code) for (_, code, _), yes in zip([r for r, a in zip(rows, at) if a], likely) if yes}
     return out
 
 
