@@ -3,8 +3,8 @@
 Nothing in the library broadcasts a side on trust. A side that is expected to be
 small (group statistics, centres, dictionaries) goes through :func:`settle`,
 which runs it once and measures it under a row and byte limit. Above the limit the join is an
-ordinary shuffle join with the lookup replicated over a few salts, so one hot key
-is spread over several tasks.
+ordinary shuffle join. Keys with many rows are found by a count first; their rows are spread over as
+many salts as the count asks for, and only their lookup rows are repeated.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ SMALL_ROWS = 100_000
 SMALL_NESTED_ROWS = 10_000
 SMALL_BYTES = 64 << 20
 SALTS = 16
+HOT_ROWS = 4_000_000
 
 _MADE: list[str] = []
 
@@ -93,15 +94,13 @@ def lookup_join(
     on: list[str],
     how: str = "left",
     max_rows: int | None = None,
-    salts: int = SALTS,
 ) -> DataFrame:
     """Join ``facts`` to ``lookup``, whose key ``on`` is unique; a null key matches a null key.
 
-    The lookup is broadcast only when :func:`settle` proves it small. Otherwise
-    each fact row gets a salt and the lookup is repeated once per salt, so no key
-    is handled by a single task. The salt comes from the row's partition and values:
-    equal rows of different partitions differ in it, and a task that runs again
-    gives the same. Adaptive execution splits what is still too large.
+    The lookup is broadcast only when :func:`settle` proves it small. Otherwise each fact row gets a salt below the
+    number of copies of its key, and the lookup is repeated so often: once for most keys, and once per ``HOT_ROWS``
+    rows for those with more (:func:`hot_keys`), so no key is handled by a single task. The salt comes from the row's
+    partition and values: equal rows of different partitions differ in it, and a task that runs again gives the same.
     """
     renamed = lookup.withColumnsRenamed({k: f"__{k}" for k in on})
     matches = reduce(lambda a, b: a & b, [F.col(f"`{k}`").eqNullSafe(F.col(f"`__{k}`")) for k in on])
@@ -109,12 +108,39 @@ def lookup_join(
     small = settle(renamed, max_rows)
     if small is not None:
         return facts.join(F.broadcast(small), matches, how).drop(*extra)
+    hot = settle(hot_keys(facts, on))
     hashed = [F.col(f"`{c}`") for c, kind in facts.dtypes if "map<" not in kind]
-    salted = facts.withColumn("__salt", F.pmod(F.spark_partition_id() + F.xxhash64(*hashed), F.lit(salts)))
-    repeated = renamed.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn(
-        "__copy", F.col("__copy").cast("long")
-    )
-    return salted.join(repeated, matches & (F.col("__salt") == F.col("__copy")), how).drop(*extra).drop("__salt", "__copy")
+    spread = F.spark_partition_id() + F.xxhash64(*hashed)
+    if hot is None:
+        # More hot keys than may be broadcast: every key gets the same number of copies
+        facts, copies = facts.withColumn("__salt", F.pmod(spread, F.lit(SALTS))), F.lit(SALTS)
+    elif hot.isEmpty():
+        facts, copies = facts.withColumn("__salt", F.pmod(spread, F.lit(1))), F.lit(1)
+    else:
+        facts = _with_copies(facts, hot, {k: k for k in on}).withColumn("__salt", F.pmod(spread, F.col("__copies")))
+        facts = facts.drop("__copies")
+        renamed, copies = _with_copies(renamed, hot, {k: f"__{k}" for k in on}), F.col("__copies")
+    repeated = renamed.withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("long"), (copies - 1).cast("long"))))
+    joined = facts.join(repeated.drop("__copies"), matches & (F.col("__salt") == F.col("__copy")), how)
+    return joined.drop(*extra).drop("__salt", "__copy")
+
+
+def hot_keys(facts: DataFrame, on: list[str], rows: int | None = None) -> DataFrame:
+    """Keys with more than ``rows`` (``HOT_ROWS``) rows, and how many tasks of so many rows they need, as ``__copies``.
+
+    There is at most one for each ``rows`` rows. Counts are partial before they are shuffled.
+    """
+    limit = HOT_ROWS if rows is None else rows
+    counted = facts.groupBy(*[F.col(f"`{k}`") for k in on]).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limit)
+    return counted.select(*[F.col(f"`{k}`") for k in on], F.ceil(F.col("__n") / limit).cast("long").alias("__copies"))
+
+
+def _with_copies(frame: DataFrame, hot: DataFrame, names: dict[str, str]) -> DataFrame:
+    """``frame`` with ``__copies`` of its key in the columns ``names``, 1 for keys that are not hot."""
+    marked = hot.withColumnsRenamed({k: f"__hot_{k}" for k in names})
+    same = [F.col(f"`{own}`").eqNullSafe(F.col(f"`__hot_{k}`")) for k, own in names.items()]
+    joined = frame.join(F.broadcast(marked), reduce(lambda a, b: a & b, same), "left")
+    return joined.drop(*[F.col(f"`__hot_{k}`") for k in names]).withColumn("__copies", F.coalesce("__copies", F.lit(1).cast("long")))
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -96,6 +96,24 @@ def test_salts_spread_a_hot_key(spark, monkeypatch):
     assert "__salt" in joined._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_copies_follow_the_count_of_a_key(spark, monkeypatch):
+    monkeypatch.setattr(sizing, "SMALL_ROWS", 2)
+    monkeypatch.setattr(sizing, "HOT_ROWS", 1_000)
+    facts = spark.range(9_000).select(
+        F.when(F.col("id") < 6_500, F.lit(7)).when(F.col("id") < 8_600, F.lit(None)).otherwise(F.col("id")).cast("int").alias("a.k"),
+        F.col("id").alias("v"),
+    ).repartition(16)
+    lookup = spark.createDataFrame([(7, 1), (8, 2), (None, 3), (8_700, 4)], "`a.k` int, w int")
+    assert sorted(rows(sizing.hot_keys(facts, ["a.k"])), key=str) == [(7, 7), (None, 3)]
+    joined = sizing.lookup_join(facts, lookup, ["a.k"])
+    assert joined.columns == ["a.k", "v", "w"] and joined.count() == 9_000
+    assert joined.agg(F.sum("w")).first()[0] == 6_500 + 3 * 2_100 + 4
+    assert sizing.lookup_join(facts, lookup, ["a.k"], "inner").count() == 8_601
+    assert sizing.lookup_join(facts, lookup, ["a.k"], "left_semi").columns == ["a.k", "v"]
+    monkeypatch.setattr(sizing, "SMALL_ROWS", 1)
+    assert sizing.lookup_join(facts, lookup, ["a.k"]).agg(F.sum("w")).first()[0] == 6_500 + 3 * 2_100 + 4
+
+
 def test_shared_folder_must_be_named_on_a_cluster(monkeypatch):
     class Context:
         master = "spark://host"
