@@ -12,8 +12,9 @@ On the diagonal (place in the document less place in the item) with the most win
 value of the item must stand for one value of the document and the other way round. Slots that differ but are
 consistent tell a re-parameterised question; slots that contradict each other tell another text.
 
-That is the rule of the SQL. With ``all_forms`` more is found, and never less: texts are read in several ways, and a
-window is found in any of them. In the second reading names are words like others, so case does not matter. In the
+That is the rule of the SQL. With ``all_forms`` more is found: texts are read in several ways, and a
+window is found in any of them. A unit written right after its number is a word of its own in all of them. In the second
+reading number words are numbers and names are words like others, so case does not matter. In the
 third every capitalised word is a name, also at the start of a text or sentence, unless all letters around it are
 capitals. Slots are then compared on every diagonal that holds the share (or the most windows, where none does), one
 that is consistent is enough, and only names must stand for one another; numbers may become equal or part. Items
@@ -39,12 +40,22 @@ UNITS = (
     "meters", "metres", "kilometers", "kilograms", "watts", "volts", "joules", "newtons",
 )
 
+CLOCK = ("am", "pm")
+ONES = ("one", "two", "three", "four", "five", "six", "seven", "eight", "nine")
+TEENS = (
+    "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen",
+)
+TENS = ("twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety")
+LARGE = ("zero", "hundred", "thousand", "million", "billion", "dozen")
+NUMBER_WORDS = (*ONES, *TEENS, *TENS, *LARGE, *(f"{ten}-{one}" for ten in TENS for one in ONES))
+
 WORDS = 5
 CONTENT = 3
 LEAST_CONTENT = 2
 FEW_WINDOWS = 4
 KEY_WORDS = 8
 SHARE_PERCENT = 80
+LEAST_WORDS = 3
 
 _NO_ID = -(1 << 63)
 _SPACE = "[\\\\x20\\\\x09-\\\\x0D]+"
@@ -60,6 +71,9 @@ def _templates(rows: DataFrame, all_forms: bool = False) -> DataFrame:
     With ``all_forms`` there is ``forms`` too, the array of all readings of a text, of which the template is the first.
     """
     units = ", ".join(map(_quoted, UNITS))
+    if all_forms:
+        glued = "([0-9])((?i:" + "|".join((*UNITS, *CLOCK)) + "))(?![A-Za-z0-9])"
+        rows = rows.withColumn("text", F.regexp_replace("text", glued, "$1 $2"))
     words = rows.withColumn("words", F.expr(f"array_remove(split(text, '{_SPACE}'), '')")).drop("text")
     bare = words.withColumn("bare", F.expr(f"transform(words, w -> btrim(w, {_quoted(MARKS)}))"))
     read = bare.withColumn("cores", F.expr("transform(bare, w -> lower(w))")).withColumn(
@@ -75,12 +89,15 @@ def _templates(rows: DataFrame, all_forms: bool = False) -> DataFrame:
         ),
     )
     if all_forms:
+        numbers, measures = (", ".join(map(_quoted, words)) for words in (NUMBER_WORDS, (*UNITS, *CLOCK)))
         read = read.withColumn(
             "folded",
             F.expr(
                 f"""transform(cores, (w, i) -> CASE
-                    WHEN w >= '0' AND w < ':' THEN '<num>'
-                    WHEN i > 0 AND get(cores, i - 1) >= '0' AND get(cores, i - 1) < ':' AND w IN ({units}) THEN '<unit>'
+                    WHEN w >= '0' AND w < ':' OR w IN ({numbers}) THEN '<num>'
+                    WHEN w IN ({measures}) AND i > 0 AND (
+                        get(cores, i - 1) >= '0' AND get(cores, i - 1) < ':' OR get(cores, i - 1) IN ({numbers})
+                    ) THEN '<unit>'
                     ELSE w END)"""
             ),
         ).withColumn(
@@ -325,7 +342,26 @@ def matches(
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **columns: str) -> DataFrame:
-    """``docs`` without the documents in which an item is found; rows that share an id go together."""
-    found = matches(docs, benchmark, id_col, text_col, **columns).select("doc_id").distinct()
+def few_words(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
+    """item_id of items all of whose texts have fewer than ``least_words`` words; marks alone are no words."""
+    core = f"btrim(w, {_quoted(MARKS)})"
+    return (
+        _items(benchmark, item_col, text_col)
+        .select("item_id", F.expr(f"size(filter(split(text, '{_SPACE}'), w -> {core} <> ''))").alias("n"))
+        .groupBy("item_id").agg(F.max("n").alias("n")).filter(F.col("n") < least_words)
+        .select(F.nullif("item_id", F.lit(_NO_ID)).alias("item_id"))
+    )
+
+
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
+    item_text_col: str = "text", least_words: int = LEAST_WORDS, **columns,
+) -> DataFrame:
+    """``docs`` without the documents in which an item is found; rows that share an id go together.
+
+    Items of fewer than ``least_words`` words (:func:`few_words`) take no document out: such words stand anywhere.
+    """
+    few = few_words(benchmark, item_col, item_text_col, least_words).withColumnRenamed("item_id", "__few")
+    found = matches(docs, benchmark, id_col, text_col, item_col, item_text_col, **columns)
+    found = found.join(few, F.col("item_id").eqNullSafe(F.col("__few")), "left_anti").select("doc_id").distinct()
     return without_ids(docs, pinned(found), id_col)
