@@ -105,7 +105,7 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return substring_dedup.substring_digests(table(spark, folder, "documents"))
+    return substring_dedup.substring_digests(table(spark, folder, "documents"), with_lengths=True)
 
 
 _DECONTAMINATION_SQL = r"""

@@ -1,4 +1,4 @@
-"""Remove passages that occurred before, by ranks of fixed-length prefixes over parts of all suffixes; no trees are built.
+"""Remove passages that occurred before, by suffix trees over parts of all suffixes that their prefixes split.
 
 A suffix is what follows the start of a window of ``width`` words. Suffixes are split by prefixes of variable length: a
 prefix runs from the start of the window to the end of its anchor, the gram of ``GRAM`` words with the least hash in
@@ -6,13 +6,13 @@ the window, so equal windows have equal prefixes, and only prefixes that end in
 
 * Grams at anchors are counted over all documents. A Bloom filter of the repeated ones, bounded in size, tells which
   anchors send the words of their windows on; grams that occur once stay where they are.
-* Suffixes meet by their anchor's gram, in groups that fit in memory. There ranks of longer prefixes are made from
-  ranks of shorter ones, up to the length of a window: a rank with two suffixes or more is a repeat, and all but its
-  earliest start are marked.
-* A gram held by more than ``group_limit`` anchors is too large a group. Its equal pieces of text are brought down to the
-  earliest first, by an aggregate; all windows of the others are marked. Should the pieces that differ still be too
-  many, prefixes are made longer, up to the whole window, where no ranks are needed any more: an aggregate finds its
-  earliest start and a join marks the others.
+* Prefixes that end in the same gram are one group: their suffixes overlap, so the words of all of them travel once. In
+  memory each group gets its tree: leaves in the order of their words, from ranks of ever longer prefixes, and the number
+  of words that neighbours share. Internal nodes of at least ``width`` words are the repeats; each of their leaves but
+  the earliest is marked, with the place of the earliest.
+* A gram held by more than ``group_limit`` anchors is too large a group. Prefixes of its suffixes are made longer, up to
+  the whole window, below which nothing is left to tell apart: an aggregate finds the earliest start of each node.
+* Marked windows that follow each other, and whose earliest places do so too, are one maximal repeat, of any length.
 
 Marked words are then taken out of the documents, which are shuffled once for it.
 """
@@ -25,6 +25,7 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,11 +43,18 @@ _GRAMS = pa.schema([("gram", pa.int64())])
 _SUFFIXES = pa.schema(
     [("gram", pa.int64()), ("doc", pa.int64()), ("crc", pa.int64()), ("start", pa.int32()), ("words", pa.binary())]
 )
-_PIECES = pa.schema([("s1", pa.int64()), ("s2", pa.int64()), ("stop", pa.int32()), *_SUFFIXES])
 _WINDOWS = pa.schema(
     [("w1", pa.int64()), ("w2", pa.int64()), ("doc", pa.int64()), ("crc", pa.int64()), ("start", pa.int32())]
 )
-_MARKS = pa.schema([("doc", pa.int64()), ("crc", pa.int64()), ("low", pa.int32()), ("high", pa.int32())])
+_MARKS = pa.schema(
+    [
+        ("doc", pa.int64()), ("crc", pa.int64()), ("low", pa.int32()), ("n", pa.int32()),
+        ("first_doc", pa.int64()), ("first_crc", pa.int64()), ("first_low", pa.int32()),
+    ]
+)
+_SUFFIXES_SQL = "gram long, doc long, crc long, start int, words binary"
+_WINDOWS_SQL = "w1 long, w2 long, doc long, crc long, start int"
+_MARKS_SQL = "doc long, crc long, low int, n int, first_doc long, first_crc long, first_low int"
 
 
 def _scramble(x: np.ndarray) -> np.ndarray:
@@ -133,126 +141,125 @@ def _suffix_rows(width: int, repeated, hot):
     return run
 
 
-def _piece_rows(width: int, hot):
-    """The words of all windows of each anchor whose gram is hot, with a hash of them."""
+def _counted_up(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each start a run of numbers from it, ``counts`` long, one run after the other; and the number of the run."""
+    owner = np.repeat(np.arange(len(counts)), counts)
+    return starts[owner] + np.arange(len(owner)) - (np.cumsum(counts) - counts)[owner], owner
+
+
+def _window_rows(width: int, hot):
+    """A 128-bit hash of each window whose anchor has a hot gram: its prefix at full length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            parts = []
             for doc, text in zip(_ids(batch), common.texts(batch)):
                 if (found := _anchored(text, width)) is None:
                     continue
-                words, _, first, last, grams = found
+                _, hashes, first, last, grams = found
                 send = bloom.contains(hot.value, grams)
-                crc = zlib.crc32(text) if send.any() else 0
-                for gram, a, b in zip(
-                    grams[send].view(np.int64).tolist(), first[send].tolist(), last[send].tolist()
-                ):
-                    piece = b" ".join(words[a : b + width])
-                    s1, s2 = np.frombuffer(xxhash.xxh3_128_digest(piece), dtype=np.int64).tolist()
-                    rows.append((s1, s2, b + width, gram, doc, crc, a, piece))
-            if rows:
-                yield common.batch_of(_PIECES, zip(*rows))
-
-    return run
-
-
-def _window_rows(width: int):
-    """A hash of each window of the pieces."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("doc", "crc", "start", "words")]
-            for doc, crc, start, piece in zip(*columns):
-                hashes = word_hashes(piece.split())
-                w1 = _scramble(rolled(hashes, width, 0xC2B2AE3D27D4EB4F))
-                w2 = _scramble(rolled(_scramble(hashes), width, 0x165667B19E3779F9))
-                yield common.batch_of(
-                    _WINDOWS,
-                    (
-                        pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(np.full(len(w1), doc)),
-                        pa.array(np.full(len(w1), crc)), pa.array((start + np.arange(len(w1))).astype(np.int32)),
-                    ),
-                )
+                if not send.any():
+                    continue
+                start, _ = _counted_up(first[send], (last - first + 1)[send])
+                w1 = _scramble(rolled(hashes, width, 0xC2B2AE3D27D4EB4F))[start]
+                w2 = _scramble(rolled(_scramble(hashes), width, 0x165667B19E3779F9))[start]
+                place = np.full(len(start), doc), np.full(len(start), zlib.crc32(text)), start.astype(np.int32)
+                parts.append((w1.view(np.int64), w2.view(np.int64), *place))
+            if parts:
+                yield common.batch_of(_WINDOWS, [pa.array(np.concatenate(column)) for column in zip(*parts)])
 
     return run
 
 
-def tree_nodes(words: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
-    """The node at ``depth`` words of each suffix of ``words`` that begins at ``starts``.
+def leaves(words: np.ndarray, lengths: np.ndarray, owner: np.ndarray, within: np.ndarray, depth: int):
+    """The suffix tree of pieces of text, as its leaves in order and the words that each shares with the one before.
 
-    Ranks of prefixes of one word, two, four and so on; ``depth`` itself from the two longest that cover it. Every
-    start has ``depth`` words before the end of ``words``.
+    ``words`` holds the word hashes of all pieces, ``lengths`` their number in each; a suffix begins ``within`` words
+    into its piece ``owner``, has ``depth`` words at least and ends with the piece. Neighbours that share so many words
+    or more hang below a common internal node of that depth.
     """
-    ranks = np.unique(words, return_inverse=True)[1].astype(np.int64)
-    length = 1
+    known, ids = np.unique(words, return_inverse=True)
+    span = int(lengths.max()) + 1
+    begin = np.cumsum(lengths + 1) - (lengths + 1)
+    text = np.zeros(len(words) + len(lengths) + 2 * span, dtype=np.int64)
+    text[_counted_up(begin, lengths)[0]] = ids
+    text[begin + lengths] = len(known) + np.arange(len(lengths))  # an end of its own for each piece
 
     def paired(left: np.ndarray, right: np.ndarray) -> np.ndarray:
         return np.unique(left * (int(right.max(initial=0)) + 1) + right, return_inverse=True)[1].astype(np.int64)
 
+    ranks, length = [text], 1
     while 2 * length <= depth:
-        ranks = paired(ranks[: len(ranks) - length], ranks[length:])
+        ranks.append(paired(ranks[-1][:-length], ranks[-1][length:]))
         length *= 2
-    if length == depth:
-        return ranks[starts]
-    return paired(ranks[starts], ranks[starts + depth - length])
+    at = begin[owner] + within
+    rank, ranked = ranks[-1][at], length
+    while ranked < span:
+        rank = paired(rank, ranks[-1][at + ranked])
+        ranked += length
+    order = np.argsort(rank)
+    left, right = at[order[:-1]], at[order[1:]]
+    shared = np.zeros(len(left), dtype=np.int64)
+    for level in [ranks[-1]] * (span // length) + ranks[-2::-1]:
+        shared += np.where(level[left + shared] == level[right + shared], len(text) - len(level) + 1, 0)
+    return order, shared
 
 
 def _tree_marks(width: int, rows: int):
-    """Marks of all suffixes but the earliest of each node at the depth of a window."""
+    """Marks of all leaves but the earliest of each internal node of ``width`` words or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in common.whole_groups(batches, "gram", rows):
             pieces = [text.split() for text in group.column("words").to_pylist()]
             lengths = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
             words = word_hashes([w for piece in pieces for w in piece])
-            windows = lengths - width + 1
-            owner = np.repeat(np.arange(len(pieces)), windows)
-            within = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-            begin = np.repeat(np.cumsum(lengths) - lengths, windows) + within
-            node = tree_nodes(words, begin, width)
+            within, owner = _counted_up(np.zeros(len(pieces), dtype=np.int64), lengths - width + 1)
+            order, shared = leaves(words, lengths, owner, within, width)
+            deep = shared >= width
+            node = np.cumsum(np.r_[True, ~deep])
+            below = np.r_[False, deep] | np.r_[deep, False]
+            leaf, node = order[below], node[below]
+            if not len(leaf):
+                continue
             doc, crc, start = (group.column(c).to_numpy() for c in ("doc", "crc", "start"))
-            place = start[owner] + within
-            order = np.lexsort((place, crc[owner], doc[owner], node))
-            same = np.r_[False, node[order][1:] == node[order][:-1]]
-            held = _held_later(order, same, doc[owner], crc[owner], place)
-            owner, place = owner[held], place[held]
-            for batch in _mark_batches(doc[owner], crc[owner], place, width):
-                yield batch
+            place = doc[owner], crc[owner], start[owner] + within
+            by_place = np.lexsort((place[2][leaf], place[1][leaf], place[0][leaf], node))
+            leaf, node = leaf[by_place], node[by_place]
+            top = np.r_[True, node[1:] != node[:-1]]
+            first = leaf[np.maximum.accumulate(np.where(top, np.arange(len(leaf)), 0))]
+            later = np.zeros(len(leaf), dtype=bool)
+            for column in place:
+                later |= column[leaf] != column[first]
+            leaf, first = leaf[later], first[later]
+            in_text = np.argsort(leaf)
+            leaf, first = leaf[in_text], first[in_text]
+            if len(leaf):
+                yield _mark_batch([c[leaf] for c in place], [c[first] for c in place])
 
     return run
 
 
-def _held_later(order: np.ndarray, same: np.ndarray, doc: np.ndarray, crc: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Rows after the first of their node, in the order of rows; rows that repeat the first are first as well."""
-    lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-    first = order[lead]
-    later = (doc[order] != doc[first]) | (crc[order] != crc[first]) | (place[order] != place[first])
-    return np.sort(order[later])
-
-
-def _mark_batches(doc: np.ndarray, crc: np.ndarray, place: np.ndarray, width: int) -> Iterator[pa.RecordBatch]:
-    """Marked windows as ranges of words; windows that follow each other in the rows are one range."""
-    if not len(doc):
-        return
-    new = np.r_[True, (doc[1:] != doc[:-1]) | (crc[1:] != crc[:-1]) | (place[1:] != place[:-1] + 1)]
-    first = np.flatnonzero(new)
-    last = np.r_[first[1:], len(doc)] - 1
-    yield common.batch_of(
-        _MARKS,
-        (
-            pa.array(doc[first]), pa.array(crc[first]), pa.array(place[first].astype(np.int32)),
-            pa.array((place[last] + width).astype(np.int32)),
-        ),
-    )
+def _breaks(place: list[np.ndarray], first: list[np.ndarray]) -> np.ndarray:
+    """Where a window does not follow the one before, or its earliest place does not."""
+    new = np.ones(len(place[0]), dtype=bool)
+    new[1:] = False
+    for column in (*place[:-1], *first[:-1]):
+        new[1:] |= column[1:] != column[:-1]
+    for column in (place[-1], first[-1]):
+        new[1:] |= column[1:] != column[:-1] + 1
+    return new
 
 
-_MARKS_SQL = "doc long, crc long, low int, high int"
-_SUFFIXES_SQL = "gram long, doc long, crc long, start int, words binary"
+def _mark_batch(place: list[np.ndarray], first: list[np.ndarray]) -> pa.RecordBatch:
+    """Marked windows as runs that follow each other here and where they occurred first."""
+    begin = np.flatnonzero(_breaks(place, first))
+    count = np.diff(np.r_[begin, len(place[0])])
+    columns = [*(c[begin] for c in place), count, *(c[begin] for c in first)]
+    return common.batch_of(_MARKS, [pa.array(c.astype(f.type.to_pandas_dtype())) for c, f in zip(columns, _MARKS)])
 
 
 def marks(rows: DataFrame, width: int, group_limit: int, max_bits: int) -> DataFrame:
-    """Ranges of words that windows with an earlier equal cover."""
+    """Runs of windows that occurred before, and where they occurred first."""
     context = rows.sparkSession.sparkContext
     counted = pinned(
         rows.select("text").mapInArrow(_gram_rows(width), "gram long").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
@@ -264,91 +271,129 @@ def marks(rows: DataFrame, width: int, group_limit: int, max_bits: int) -> DataF
         for keys in (counted, large)
     )
     suffixes = rows.mapInArrow(_suffix_rows(width, repeated, hot), _SUFFIXES_SQL)
-    if large.isEmpty():
-        return _trees(suffixes, width)
-    pieces = rows.mapInArrow(_piece_rows(width, hot), f"s1 long, s2 long, stop int, {_SUFFIXES_SQL}")
-    place = F.struct("doc", "crc", "start")
-    firsts = pinned(pieces.groupBy(F.col("s1").alias("p1"), F.col("s2").alias("p2")).agg(F.min(place).alias("first")))
-    placed = pinned(
-        pieces.join(firsts, (F.col("s1") == F.col("p1")) & (F.col("s2") == F.col("p2"))).select(
-            "s1", "s2", "stop", "gram", "doc", "crc", "start", (place == F.col("first")).alias("is_first"), "words"
-        )
+    found = suffixes.repartition("gram").sortWithinPartitions("gram").mapInArrow(
+        _tree_marks(width, GROUP_ROWS), _MARKS_SQL
     )
-    copies = placed.filter(~F.col("is_first")).select("doc", "crc", F.col("start").alias("low"), F.col("stop").alias("high"))
-    single = placed.filter("is_first").dropDuplicates(["s1", "s2"]).select("gram", "doc", "crc", "start", "words")
-    still = pinned(single.groupBy(F.col("gram").alias("g")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > group_limit))
-    is_still = F.col("gram") == F.col("g")
-    found = _trees(suffixes.unionByName(single.join(still, is_still, "left_anti")), width).unionByName(copies)
-    if still.isEmpty():
+    if large.isEmpty():
         return found
-    windows = single.join(still, is_still, "left_semi").mapInArrow(
-        _window_rows(width), "w1 long, w2 long, doc long, crc long, start int"
-    )
+    windows = pinned(rows.mapInArrow(_window_rows(width, hot), _WINDOWS_SQL))
+    place = F.struct("doc", "crc", "start")
     nodes = pinned(
         windows.groupBy(F.col("w1").alias("n1"), F.col("w2").alias("n2"))
-        .agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1")
+        .agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     )
     later = windows.join(nodes, (F.col("w1") == F.col("n1")) & (F.col("w2") == F.col("n2"))).filter(
         place != F.col("first")
     )
     return found.unionByName(
-        later.select("doc", "crc", F.col("start").alias("low"), (F.col("start") + width).alias("high"))
+        later.select(
+            "doc", "crc", F.col("start").alias("low"), F.lit(1).alias("n"), F.col("first.doc").alias("first_doc"),
+            F.col("first.crc").alias("first_crc"), F.col("first.start").alias("first_low"),
+        )
     )
 
 
-def _trees(suffixes: DataFrame, width: int) -> DataFrame:
-    return suffixes.repartition("gram").sortWithinPartitions("gram").mapInArrow(
-        _tree_marks(width, GROUP_ROWS), _MARKS_SQL
+def _marked(rows: DataFrame, width: int, group_limit: int, max_bits: int) -> DataFrame:
+    """The marks of each document in one row."""
+    if width < GRAM:
+        raise ValueError(f"windows need {GRAM} words or more")
+    return marks(rows, width, group_limit, max_bits).groupBy("doc", "crc").agg(
+        F.collect_set(F.struct("low", "n", "first_doc", "first_crc", "first_low")).alias("marks")
     )
 
 
-def _without(as_text: bool):
+def _windows_of(lists: pa.ListArray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """All marked windows once, in order: (row of the batch, start), and (doc, crc, start) where they occurred first."""
+    rows = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+    low, n, doc, crc, first_low = (lists.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(5))
+    start, run = _counted_up(low.astype(np.int64), n.astype(np.int64))
+    order = np.lexsort((start, rows[run]))
+    row, start, run, first = rows[run][order], start[order], run[order], (first_low[run] + (start - low[run]))[order]
+    once = np.ones(len(row), dtype=bool)
+    once[1:] = (row[1:] != row[:-1]) | (start[1:] != start[:-1])
+    run = run[once]
+    return [row[once], start[once]], [doc[run], crc[run], first[once]]
+
+
+def _repeats(width: int):
+    """The maximal repeats of each document's marks."""
     schema = pa.schema(
-        [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())]
+        [("doc_id", pa.int64()), ("start", pa.int64()), ("n_words", pa.int64()), ("first_doc_id", pa.int64()), ("first_start", pa.int64())]
     )
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (row, start), first = _windows_of(batch.column("marks"))
+            begin = np.flatnonzero(_breaks([row, start], first))
+            n_words = np.diff(np.r_[begin, len(row)]) + width - 1
+            doc = batch.column("doc").to_numpy()[row[begin]]
+            columns = (
+                pa.array(doc, mask=doc == _NO_ID), start[begin], n_words,
+                pa.array(first[0][begin], mask=first[0][begin] == _NO_ID), first[2][begin],
+            )
+            yield common.batch_of(schema, columns)
+
+    return run
+
+
+def _without(width: int, as_text: bool, with_lengths: bool):
+    fields = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())]
+    schema = pa.schema(fields + [("n_repeats", pa.int64()), ("longest_repeat", pa.int64())] * with_lengths)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, removed, kept = [], [], []
-            ranges = batch.column("ranges")
+            (row, start), first = _windows_of(batch.column("marks"))
+            apart = np.ones(len(row), dtype=bool)
+            apart[1:] = (row[1:] != row[:-1]) | (start[1:] > start[:-1] + width)
+            begin = np.flatnonzero(apart)
+            low, high = start[begin].tolist(), (start[np.r_[begin[1:], len(row)] - 1] + width).tolist()
+            bounds = np.searchsorted(row[begin], np.arange(batch.num_rows + 1)).tolist()
             for i, text in enumerate(common.texts(batch)):
-                words = text.split()
-                stay = words
-                if ranges[i].is_valid:
-                    delta = np.zeros(len(words) + 1, dtype=np.int64)
-                    both = ranges[i].values
-                    np.add.at(delta, both.field("low").to_numpy(), 1)
-                    np.add.at(delta, both.field("high").to_numpy(), -1)
-                    stay = [words[j] for j in np.flatnonzero(np.cumsum(delta)[:-1] == 0).tolist()]
+                words, stay, at = text.split(), [], 0
+                for j in range(bounds[i], bounds[i + 1]):
+                    stay += words[at : low[j]]
+                    at = high[j]
+                stay += words[at:]
                 joined = b" ".join(stay)
                 counts.append(len(words))
                 removed.append(len(words) - len(stay))
                 kept.append(joined.decode() if as_text else sha256(joined).hexdigest())
-            yield common.batch_of(schema, (batch.column("doc_id"), counts, removed, kept))
+            columns = [batch.column("doc_id"), counts, removed, kept]
+            if with_lengths:
+                begin = np.flatnonzero(_breaks([row, start], first))
+                longest = np.zeros(batch.num_rows, dtype=np.int64)
+                np.maximum.at(longest, row[begin], np.diff(np.r_[begin, len(row)]) + width - 1)
+                columns += [np.bincount(row[begin], minlength=batch.num_rows), longest]
+            yield common.batch_of(schema, columns)
 
     return run
 
 
-def _kept(docs, id_col, text_col, width, group_limit, max_bits, as_text) -> DataFrame:
-    if width < GRAM:
-        raise ValueError(f"windows need {GRAM} words or more")
+def _kept(docs, id_col, text_col, width, group_limit, max_bits, as_text, with_lengths) -> DataFrame:
     rows = common.id_and_text(docs, id_col, text_col)
-    ranges = marks(rows, width, group_limit, max_bits).groupBy("doc", "crc").agg(
-        F.collect_set(F.struct("low", "high")).alias("ranges")
-    )
+    marked = _marked(rows, width, group_limit, max_bits)
     own = rows.withColumn("__doc", F.coalesce("doc_id", F.lit(_NO_ID))).withColumn("__crc", F.crc32("text"))
     met = own.join(
-        ranges.hint("shuffle_hash"), (F.col("__doc") == F.col("doc")) & (F.col("__crc") == F.col("crc")), "left"
-    ).select("doc_id", "text", "ranges")
-    return met.mapInArrow(_without(as_text), "doc_id long, n_words long, n_removed long, kept string")
+        marked.hint("shuffle_hash"), (F.col("__doc") == F.col("doc")) & (F.col("__crc") == F.col("crc")), "left"
+    ).select("doc_id", "text", "marks")
+    lengths = ", n_repeats long, longest_repeat long" if with_lengths else ""
+    return met.mapInArrow(
+        _without(width, as_text, with_lengths), f"doc_id long, n_words long, n_removed long, kept string{lengths}"
+    )
 
 
 def substring_digests(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
-    group_limit: int = GROUP_LIMIT, max_bits: int = bloom.MAX_BITS,
+    group_limit: int = GROUP_LIMIT, max_bits: int = bloom.MAX_BITS, with_lengths: bool = False,
 ) -> DataFrame:
-    """As :func:`substring_dedup`, with the SHA-256 of the words that stay in place of the text."""
-    return _kept(docs, id_col, text_col, width, group_limit, max_bits, False).withColumnRenamed("kept", "kept_sha256")
+    """As :func:`substring_dedup`, with the SHA-256 of the words that stay in place of the text.
+
+    ``with_lengths`` adds n_repeats and longest_repeat: how many maximal repeats :func:`maximal_repeats` finds in the
+    document, and the words of the longest, 0 if there are none.
+    """
+    found = _kept(docs, id_col, text_col, width, group_limit, max_bits, False, with_lengths)
+    return found.withColumnRenamed("kept", "kept_sha256")
 
 
 def substring_dedup(
@@ -358,8 +403,24 @@ def substring_dedup(
     """Per document doc_id, n_words, n_removed and the words that stay, joined by single spaces.
 
     A word goes when a window of ``width`` words covers it whose words also start earlier: in a smaller id, or earlier
-    in the document. Windows are judged on the input. Null texts have no words; a null id comes before all others;
-    rows that share an id are ordered by a checksum of their text, and rows that repeat id and text are as one. No
-    rows give no rows.
+    in the document. Windows are judged on the input. Null texts have no words; a null id comes before all others, and
+    the least long is taken for one; rows that share an id are ordered by a checksum of their text, and rows that
+    repeat id and text are as one. No rows give no rows.
     """
-    return _kept(docs, id_col, text_col, width, group_limit, max_bits, True).withColumnRenamed("kept", "text")
+    return _kept(docs, id_col, text_col, width, group_limit, max_bits, True, False).withColumnRenamed("kept", "text")
+
+
+def maximal_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
+    group_limit: int = GROUP_LIMIT, max_bits: int = bloom.MAX_BITS,
+) -> DataFrame:
+    """The passages that occurred before: doc_id, start, n_words, and first_doc_id and first_start where they did first.
+
+    Each is as long as it can be: all its windows occurred first in one place, one after the other, and neither the
+    window before nor the one after goes on so. Places count words from 0. Rows, nulls and order are as in
+    :func:`substring_dedup`; a row that repeats another in id and text has no repeats of its own.
+    """
+    rows = common.id_and_text(docs, id_col, text_col)
+    return _marked(rows, width, group_limit, max_bits).mapInArrow(
+        _repeats(width), "doc_id long, start long, n_words long, first_doc_id long, first_start long"
+    )
