@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from catalogue.features import company_documents
 from catalogue.registry import Tables, query
-from kartotek.operators import clusters, kmeans_grid, logistic_path, regression, vectors
+from kartotek.operators import clusters, kmeans_grid, logistic_path, regression, vectors, wide_glm
 from kartotek.operators.confusion import confusion_table
+from kartotek.operators.onehot import onehot_sparse
 from kartotek.operators.statistics import group_mean_vectors
 from kartotek.operators.sampling import stratified_split
 from kartotek.plans import clustering, company, outlier_rounds, outliers
-from kartotek.sizing import scratch_path
+from kartotek.sizing import lookup_join, scratch_path
 
 
 def feature_vectors(t: Tables) -> DataFrame:
@@ -234,6 +235,30 @@ def q_glm_companies(t: Tables) -> DataFrame:
     return regression.coefficient_table(t.spark, regression.fit_binomial(training), names)
 
 
+@query(
+    """
+WITH r AS (SELECT o_orderstatus = 'F' AS label, 'customer:' || o_custkey AS customer, 'o_orderpriority:' || o_orderpriority AS priority FROM orders)
+SELECT term, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (label) AS BIGINT) AS moment
+FROM (SELECT label, unnest([customer, priority]) AS term FROM r) GROUP BY term
+"""
+)
+def q_wide_glm_moments(t: Tables) -> DataFrame:
+    """Finished orders regressed on customer and priority, a column each; at the optimum a term's chances add up to its count."""
+    label = (F.col("o_orderstatus") == "F").cast("double").alias("label")
+    rows = t.orders.select("o_orderkey", label, F.col("o_custkey").cast("string").alias("customer"), "o_orderpriority")
+    found, dictionary = onehot_sparse(rows, "o_orderkey", ["customer", "o_orderpriority"])
+    training = rows.select("o_orderkey", "label").join(found, "o_orderkey")
+    fit = wide_glm.fit_wide_binomial(training, features="onehot", tolerance=0.3 / max(rows.count(), 1))
+    weights = t.spark.createDataFrame(enumerate(fit.coefficients.tolist()), "term_index long, weight double")
+    named = dictionary.join(weights, "term_index").select("term", "weight")
+    terms = F.array(F.concat(F.lit("customer:"), "customer"), F.concat(F.lit("o_orderpriority:"), "o_orderpriority"))
+    each = lookup_join(rows.select("o_orderkey", F.explode(terms).alias("term")), named, ["term"], "inner")
+    chances = each.groupBy("o_orderkey").agg((F.sum("weight") + fit.intercept).alias("z"), F.collect_list("term").alias("terms"))
+    chance = 1 / (1 + F.exp(-F.col("z")))
+    told = chances.select(F.explode("terms").alias("term"), chance.alias("p")).groupBy("term")
+    return told.agg(F.count("*").alias("n"), F.round(F.sum("p")).cast("long").alias("moment"))
+
+
 @query()
 def q_logreg_cv(t: Tables) -> DataFrame:
     """Penalty chosen by cross-validation on four fifths of the rows, confusion on the rest."""

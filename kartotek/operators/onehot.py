@@ -93,14 +93,18 @@ def onehot_sparse(
     columns: list[str] | None = None,
     dictionary: DataFrame | None = None,
     output: str = "onehot",
+    left_out: tuple[str, ...] = (),
 ) -> tuple[DataFrame, DataFrame]:
     """``index`` with one sparse 0/1 vector over all ``<column>:<value>`` terms, and the dictionary used.
 
     Any number of distinct values will do; each row has a vector of its own, also
-    when its index repeats.
+    when its index repeats. Terms in ``left_out`` get no position.
     """
     columns = columns if columns is not None else [c for c in text_columns(frame) if c != index]
     parts = [F.concat(F.lit(f"{c}:"), F.coalesce(F.col(quoted(c)).cast("string"), F.lit("null"))) for c in columns]
-    terms = frame.select(F.col(quoted(index)), F.array(*parts).alias("__terms"))
+    found = F.array(*parts)
+    if left_out:
+        found = F.filter(found, lambda term: ~term.isin(*left_out))
+    terms = frame.select(F.col(quoted(index)), found.alias("__terms"))
     dictionary = dictionary if dictionary is not None else term_dictionary(terms, "__terms")
     return token_vectors(terms, [index], "__terms", dictionary, output, binary=True), dictionary

@@ -105,6 +105,28 @@ def status_training_rows(
     return assemble(drop_missing(dated), names).select("Index", "label", "features"), names
 
 
+def status_training_vectors(
+    table: DataFrame,
+    left_out: tuple[str, ...] = ("brancheAnsvarskode:97", "brancheAnsvarskode:99"),
+    imputed: tuple[str, ...] = IMPUTED,
+) -> tuple[DataFrame, list[str], DataFrame]:
+    """As :func:`status_training_rows` for codes of any number of values, one sparse vector a row, for the wide GLM.
+
+    Returns ``Index, label, features``, the names of the numbers that come first in the vectors, and the dictionary of
+    the terms after them. ``left_out`` are terms without a position.
+    """
+    chosen = keep_values(table, "sammensatStatus", list(REGRESSION_STATUSES))
+    labelled = chosen.withColumn("label", status_label(F.col("sammensatStatus")).cast("long"))
+    rows = without(labelled, [*REGRESSION_LEFT_OUT, "stiftelsesDato"])
+    texts, dictionary = onehot_sparse(rows, "Index", left_out=left_out)
+    numbers = [c for c, kind in rows.dtypes if kind != "string" and c not in ("Index", "cvrnummer", "label")]
+    filled = impute_mean(rows.select("Index", "label", *numbers), [c for c in imputed if c in numbers])
+    dated = drop_missing(without(with_offset_year(filled), ["stiftelsesAar"]))
+    names = [c for c in dated.columns if c not in ("Index", "label")]
+    vectors = assemble(dated.join(texts, "Index"), [*names, "onehot"])
+    return vectors.select("Index", "label", "features"), names, dictionary
+
+
 def saved_distances(scaler_path: str, model_path: str, vectors: DataFrame, index: str = "Index") -> DataFrame:
     """Stored feature vectors, scaled and assigned by models saved before: ``Index, prediction, distance``.
 

@@ -5,6 +5,7 @@ import math
 import pytest
 
 from kartotek.operators.cleaning import keep_values
+from kartotek.operators import wide_glm
 from kartotek.operators.regression import fit_binomial
 from kartotek.plans import clustering, company, durations
 from kartotek.sources.json_lines import read_json
@@ -136,6 +137,20 @@ def test_status_training_rows(table):
     assert fit_binomial(training).coefficients.size == len(names)
 
 
+def test_status_training_vectors(table):
+    out = ("brancheAnsvarskode:None",)
+    wide, names = clustering.status_training_rows(table, left_out=out)
+    training, numbers, dictionary = clustering.status_training_vectors(table, left_out=out)
+    assert training.columns == ["Index", "label", "features"] and set(numbers) < set(names)
+    terms = {r["term"] for r in dictionary.collect()}
+    assert set(numbers) | terms == set(names) and not terms & {*numbers, *out}
+    a, b = ({r[0]: (r[1], len(r[2]), sorted(x for x in r[2] if x)) for r in f.collect()} for f in (wide, training))
+    assert a.keys() == b.keys()
+    for i, (label, size, entries) in a.items():
+        assert b[i][:2] == (label, size) and b[i][2] == pytest.approx(entries)
+    assert wide_glm.fit_wide_binomial(training, tolerance=1e-6).coefficients.size == len(names)
+
+
 def test_streaming(spark, tmp_path):
     source, out, check = (str(tmp_path / n) for n in ("in", "out", "check"))
     schema = "o_orderkey long, o_orderstatus string"
