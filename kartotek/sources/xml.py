@@ -11,6 +11,7 @@ BOOK_SCHEMA = (
     "_id string, author string, title string, genre string, price double, publish_date date, description string"
 )
 XBRL_PARTS = ("context", "unit", "schemaRef")
+ROWS_PER_FILE = 50_000
 
 
 def read_xml(
@@ -31,9 +32,13 @@ def read_xml(
     return reader.load(path)
 
 
-def write_xml(frame: DataFrame, path: str, row_tag: str, root_tag: str) -> None:
-    """One ``row_tag`` element per row; columns starting with ``_`` become attributes."""
-    frame.write.mode("overwrite").format("xml").option("rowTag", row_tag).option("rootTag", root_tag).save(path)
+def write_xml(frame: DataFrame, path: str, row_tag: str, root_tag: str, rows_per_file: int = ROWS_PER_FILE) -> None:
+    """One ``row_tag`` element per row; columns starting with ``_`` become attributes.
+
+    A file is one document that one task reads as a whole, so none has more than ``rows_per_file`` rows.
+    """
+    writer = frame.write.mode("overwrite").format("xml").option("rowTag", row_tag).option("rootTag", root_tag)
+    writer.option("maxRecordsPerFile", rows_per_file).save(path)
 
 
 def read_xbrl(

@@ -94,6 +94,15 @@ def test_xml_writing(spark, tmp_path):
     assert rows(xml.read_xml(spark, str(tmp_path / "x"), "book", frame.schema)) == rows(frame)
 
 
+def test_written_xml_is_cut_into_files(spark, tmp_path):
+    """One partition gives several documents of bounded size, and no row is lost."""
+    frame = spark.range(120).selectExpr("concat('b', id) AS _id", "concat('T ', id) AS title").coalesce(1)
+    xml.write_xml(frame, str(tmp_path / "x"), "book", "catalog", rows_per_file=50)
+    counts = sorted(f.read_text().count("</book>") for f in (tmp_path / "x").glob("part-*"))
+    assert counts == [20, 50, 50]
+    assert sorted(rows(xml.read_xml(spark, str(tmp_path / "x"), "book", frame.schema))) == sorted(rows(frame))
+
+
 def expected(n):
     day = datetime.date
     period = (str(n), day(2014, 1, 1), day(2014, 12, 31), None)
