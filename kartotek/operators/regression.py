@@ -11,6 +11,8 @@ from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuil
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kartotek.operators.nested import quoted
+
 # Fixed values
 INVERSE_STRENGTHS = (0.1, 0.333, 0.666, 0.999)
 
@@ -20,11 +22,15 @@ def fit_binomial(frame: DataFrame, label: str = "label", features: str = "featur
 
     It is fitted by iteratively reweighted least squares over a matrix of features by
     features, which Spark limits to 4,096 features; wider tables are for
-    :func:`fit_elastic_net` or :func:`fit_logistic_grid`.
+    :func:`fit_elastic_net` or :func:`fit_logistic_grid`. Each step reads the rows again, so they are kept meanwhile.
     """
-    return GeneralizedLinearRegression(
-        family="binomial", link="logit", labelCol=label, featuresCol=features, predictionCol="predictions"
-    ).fit(frame)
+    rows = frame.select(F.col(quoted(label)), F.col(quoted(features))).persist()
+    try:
+        return GeneralizedLinearRegression(
+            family="binomial", link="logit", labelCol=label, featuresCol=features, predictionCol="predictions"
+        ).fit(rows)
+    finally:
+        rows.unpersist()
 
 
 def binomial_pipeline(columns: list[str], label: str = "label") -> Pipeline:

@@ -203,3 +203,22 @@ def test_logistic_grid(logistic):
 def test_elastic_net(logistic):
     model = regression.fit_elastic_net(logistic)
     assert model.intercept == 0 and model.coefficients.size == 2
+
+
+def test_binomial_fit_reads_its_rows_once(spark):
+    """The rows of a fit are worked out once, and not for every step."""
+    from pyspark.ml.functions import array_to_vector
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    numbers = spark.range(0, 4_000, 1, 4).selectExpr("id", "cast(id % 7 % 2 AS double) AS label", "array(cast(id % 5 AS double), cast(id % 3 AS double)) AS x")
+    frame = numbers.mapInArrow(counted, numbers.schema).select("label", array_to_vector(F.col("x")).alias("features"))
+    model = regression.fit_binomial(frame)
+    told = regression.coefficient_table(spark, model, ["a", "b"])
+    assert told.count() == 3 and model.summary.numIterations > 1
+    assert seen.value <= 2 * 4_000
