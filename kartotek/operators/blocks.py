@@ -25,6 +25,37 @@ def entries_of(vectors: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndar
     return row, position, value, size
 
 
+def packed(vectors: pa.StructArray) -> dict[str, bytes]:
+    """The entries of a batch of unwrapped vectors as four texts of bytes; those of dense rows of one size need no positions."""
+    row, position, value, size = entries_of(vectors)
+    stored = np.bincount(row, minlength=len(size))
+    dense = len(size) > 0 and (vectors.field("type").to_numpy(zero_copy_only=False) == 1).all() and (size == size[0]).all()
+    return {
+        "size": size.astype(np.int32).tobytes(), "stored": b"" if dense else stored.astype(np.int32).tobytes(),
+        "position": b"" if dense else position.astype(np.int32).tobytes(), "value": value.tobytes(),
+    }
+
+
+PACKED = "size binary, stored binary, position binary, value binary"
+
+
+def packed_matrices(
+    size: bytes, stored: bytes, position: bytes, value: bytes, width: int, cells: int = CELLS
+) -> Iterator[tuple[slice, np.ndarray | slice, np.ndarray]]:
+    """:func:`matrices` of a batch that :func:`packed` has packed; dense rows are taken as they are."""
+    sizes, values = np.frombuffer(size, np.int32), np.frombuffer(value)
+    if (sizes != width).any():
+        raise ValueError("vector sizes differ")
+    if len(stored):
+        row = np.repeat(np.arange(len(sizes)), np.frombuffer(stored, np.int32))
+        yield from _entry_matrices(row, np.frombuffer(position, np.int32), values, len(sizes), width, cells)
+        return
+    whole, step = values.reshape(len(sizes), width), max(1, cells // max(width, 1))
+    for start in range(0, len(sizes), step):
+        block = whole[start : start + step]
+        yield slice(start, start + len(block)), slice(None), block
+
+
 def matrices(vectors: pa.StructArray, width: int, cells: int = CELLS) -> Iterator[tuple[slice, np.ndarray | slice, np.ndarray]]:
     """Some rows at a time: which they are, which positions they use, and their values there.
 
@@ -33,7 +64,10 @@ def matrices(vectors: pa.StructArray, width: int, cells: int = CELLS) -> Iterato
     row, position, value, size = entries_of(vectors)
     if (size != width).any():
         raise ValueError("vector sizes differ")
-    n = len(vectors)
+    yield from _entry_matrices(row, position, value, len(vectors), width, cells)
+
+
+def _entry_matrices(row, position, value, n: int, width: int, cells: int) -> Iterator[tuple[slice, np.ndarray | slice, np.ndarray]]:
     bounds = np.searchsorted(row, np.arange(n + 1))
     start = 0
     while start < n:

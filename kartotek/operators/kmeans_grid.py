@@ -1,7 +1,8 @@
 """K-means for many numbers of clusters and folds in shared scans of the rows.
 
-Every iteration reads the rows once. Each batch is multiplied with the centres of all models that still move, and a task sends only
-the sums, counts and costs of its rows per centre. So a search over folds and numbers of clusters takes as many scans as
+The rows are packed first, a batch of them as one row of bytes, and kept. Every iteration reads them once. Each batch is
+multiplied with the centres of all models that still move, and a task sends only the sums, counts and costs of its
+rows per centre. So a search over folds and numbers of clusters takes as many scans as
 its slowest fit has iterations, and one more for the costs.
 """
 
@@ -16,7 +17,7 @@ from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kartotek.operators.blocks import matrices
+from kartotek.operators.blocks import PACKED, packed, packed_matrices
 from kartotek.operators.nested import quoted
 from kartotek.sizing import SMALL_BYTES
 
@@ -71,6 +72,15 @@ def _first_centres(points: dict[int, list[np.ndarray]], k: int, fold: int) -> np
     return np.array(chosen)
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch as one row of bytes, which later scans take as they are."""
+    for batch in batches:
+        if batch.num_rows:
+            folds = batch.column("fold").to_numpy(zero_copy_only=False).astype(np.int32)
+            held = {"fold": folds.tobytes(), **packed(batch.column("features"))}
+            yield pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in held.values()], names=list(held))
+
+
 def _partial_sums(models: list[tuple[int, int, int]], centres: np.ndarray, sums_wanted: bool):
     """Per task: sums and counts of the rows nearest to each centre, and the costs of each model, as (cell, at, value)."""
     width = centres.shape[1]
@@ -80,9 +90,10 @@ def _partial_sums(models: list[tuple[int, int, int]], centres: np.ndarray, sums_
         sums = np.zeros(centres.shape if sums_wanted else (len(centres), 0))
         counts, costs = np.zeros(len(centres)), np.zeros((3, len(models)))
         seen = False
-        for batch in batches:
-            folds = batch.column("fold").to_numpy(zero_copy_only=False)
-            for rows, columns, block in matrices(batch.column("features"), width):
+        every_row = (tuple(c[n].as_buffer() for c in batch.columns) for batch in batches for n in range(batch.num_rows))
+        for fold_bytes, *parts in every_row:
+            folds = np.frombuffer(fold_bytes, np.int32)
+            for rows, columns, block in packed_matrices(*parts, width):
                 seen = True
                 own, fold = (block * block).sum(axis=1), folds[rows]
                 away = own[:, None] - 2 * block @ centres[:, columns].T + squares
@@ -110,7 +121,7 @@ def _partial_sums(models: list[tuple[int, int, int]], centres: np.ndarray, sums_
     return run
 
 
-def _scan(vectors: DataFrame, fits: list[Fit], sums_wanted: bool) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _scan(packed_rows: DataFrame, fits: list[Fit], sums_wanted: bool) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """One pass for the given models: sums per centre, counts per centre, and costs (fitted, held out, rows held out)."""
     out = []
     width = fits[0].centres.shape[1]
@@ -121,8 +132,7 @@ def _scan(vectors: DataFrame, fits: list[Fit], sums_wanted: bool) -> list[tuple[
         models = [(end - len(f.centres), end, f.fold) for f, end in zip(some, ends)]
         stacked = np.vstack([f.centres for f in some])
         rows = (
-            vectors.select("fold", F.unwrap_udt("features").alias("features"))
-            .mapInArrow(_partial_sums(models, stacked, sums_wanted), "cell int, at int, value double")
+            packed_rows.mapInArrow(_partial_sums(models, stacked, sums_wanted), "cell int, at int, value double")
             .groupBy("cell", "at").agg(F.sum("value").alias("value")).toArrow()
         )
         cell, at, value = (rows.column(n).to_numpy() for n in ("cell", "at", "value"))
@@ -157,6 +167,7 @@ def fit_grid(
         raise TypeError(f"{features} is not a vector column")
     number = F.coalesce(fold.cast("int"), F.lit(0)) if fold is not None else F.lit(0)
     vectors = frame.filter(F.col(quoted(features)).isNotNull()).select(number.alias("fold"), F.col(quoted(features)).alias("features")).persist()
+    rows = None
     try:
         points = starting_points(vectors, max(ks), seed) if starts is None else {}
         fits = []
@@ -165,21 +176,25 @@ def fit_grid(
                 first = np.array(starts[k], dtype=float) if starts is not None else _first_centres(points, k, held)
                 if len(first):
                     fits.append(Fit(k, held, first))
+        rows = vectors.select("fold", F.unwrap_udt("features").alias("features")).mapInArrow(_packed, f"fold binary, {PACKED}").persist()
         moving = list(fits)
         for _ in range(max_iterations):
             if not moving:
                 break
             still = []
-            for fit, (sums, counts, _) in zip(moving, _scan(vectors, moving, True)):
+            for fit, (sums, counts, _) in zip(moving, _scan(rows, moving, True)):
                 means = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], fit.centres)
                 moved = ((means - fit.centres) ** 2).sum(axis=1).max()
                 fit.centres, fit.iterations = means, fit.iterations + 1
                 if moved > tolerance * tolerance:
                     still.append(fit)
             moving = still
+            vectors.unpersist()
         if fits:
-            for fit, (_, _, (cost, held_cost, held_rows)) in zip(fits, _scan(vectors, fits, False)):
+            for fit, (_, _, (cost, held_cost, held_rows)) in zip(fits, _scan(rows, fits, False)):
                 fit.cost, fit.held_out = float(cost), float(held_cost) if held_rows else None
         return fits
     finally:
         vectors.unpersist()
+        if rows is not None:
+            rows.unpersist()

@@ -92,3 +92,25 @@ def test_few_rows_and_none(spark):
     assert kmeans_grid.fit_grid(one.limit(0), (3,)) == []
     held = kmeans_grid.fit_grid(one, (1,), fold=F.lit(0), folds=2)
     assert [(f.fold, f.held_out) for f in held] == [(1, None)]
+
+
+def test_packed_rows_are_those_of_the_batch():
+    """Dense rows are kept as their values alone; sparse and mixed ones with their positions; no row is changed."""
+    import pyarrow as pa
+
+    kind = pa.struct([("type", pa.int8()), ("size", pa.int32()), ("indices", pa.list_(pa.int32())), ("values", pa.list_(pa.float64()))])
+    dense = [{"type": 1, "size": None, "indices": None, "values": [float(i * k) for k in range(5)]} for i in range(7)]
+    sparse = [{"type": 0, "size": 5, "indices": [i % 5], "values": [1.0 + i]} for i in range(3)] + [{"type": 0, "size": 5, "indices": [], "values": []}]
+    for rows in (dense, sparse, dense + sparse):
+        vectors = pa.array(rows, kind)
+        held = blocks.packed(vectors)
+        assert (held["position"] == b"") == (rows is dense)
+        for cells in (1, 10, 1_000):
+            one, other = np.zeros((len(rows), 5)), np.zeros((len(rows), 5))
+            for where, columns, block in blocks.matrices(vectors, 5, cells):
+                one[where][:, columns] = block
+            for where, columns, block in blocks.packed_matrices(*held.values(), 5, cells):
+                other[where][:, columns] = block
+            assert np.array_equal(one, other)
+        with pytest.raises(ValueError, match="sizes differ"):
+            list(blocks.packed_matrices(*held.values(), 6))
