@@ -61,3 +61,22 @@ def test_prefixed_root_and_missing_parts(spark, tmp_path):
     (tmp_path / "empty.xml").write_text("")
     [r] = read_facts(spark, str(tmp_path)).collect()
     assert (r["name"], r["namespace"], r["identifier"], r["measure"], r["number"], r["problem"]) == ("Alone", None, None, None, 5.0, None)
+
+
+def test_facts_of_many_reports_are_handed_on_together():
+    """Rows of different reports share a batch, a bounded number of them, in their order and each with its own report."""
+    import pyarrow as pa
+
+    from kartotek.sources import xbrl_any
+
+    texts = [report(i, many(i % 3)) for i in range(9_000)] + ["<broken>"]
+    names = [f"r{i}" for i in range(len(texts))]
+    batch = pa.RecordBatch.from_arrays([pa.array(["f"] * len(texts)), pa.array(names), pa.array(texts)], names=["file", "report", "text"])
+    given = list(xbrl_any._parsed([batch]))
+    assert 2 <= len(given) <= 4
+    rows = [r for b in given for r in b.to_pylist()]
+    assert [(r["report"], r["name"]) for r in rows] == [
+        (f"r{i}", f'{"ab"[j % 2]}:Tag{j}') for i in range(9_000) for j in range(i % 3)
+    ] + [("r9000", None)]
+    assert {r["identifier"] for r in rows[:-1]} == {str(i) for i in range(9_000) if i % 3}
+    assert rows[-1]["dimensions"] == [] and rows[-1]["problem"]
