@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -245,17 +246,20 @@ FROM (SELECT label, unnest([customer, priority]) AS term FROM r) GROUP BY term
 def q_wide_glm_moments(t: Tables) -> DataFrame:
     """Finished orders regressed on customer and priority, a column each; at the optimum a term's chances add up to its count."""
     label = (F.col("o_orderstatus") == "F").cast("double").alias("label")
-    rows = t.orders.select("o_orderkey", label, F.col("o_custkey").cast("string").alias("customer"), "o_orderpriority")
-    found, dictionary = onehot_sparse(rows, "o_orderkey", ["customer", "o_orderpriority"])
-    training = rows.select("o_orderkey", "label").join(found, "o_orderkey")
-    fit = wide_glm.fit_wide_binomial(training, features="onehot", tolerance=0.3 / max(rows.count(), 1))
-    weights = t.spark.createDataFrame(enumerate(fit.coefficients.tolist()), "term_index long, weight double")
+    rows = t.orders.select(label, F.col("o_custkey").cast("string").alias("customer"), "o_orderpriority")
+    found, dictionary = onehot_sparse(rows, "label", ["customer", "o_orderpriority"])
+    fit = wide_glm.fit_wide_binomial(found, features="onehot", tolerance=0.3 / max(rows.count(), 1))
+    weights = t.spark.createDataFrame(pa.table({"term_index": np.arange(len(fit.coefficients)), "weight": fit.coefficients}))
     named = dictionary.join(weights, "term_index").select("term", "weight")
+    z = F.lit(fit.intercept)
+    for column in ("customer", "o_orderpriority"):
+        term = F.concat(F.lit(f"{column}:"), F.coalesce(column, F.lit("null")))
+        own = named.select(F.col("term").alias(f"{column}_term"), F.col("weight").alias(f"{column}_weight"))
+        rows = lookup_join(rows.withColumn(f"{column}_term", term), own, [f"{column}_term"], "inner")
+        z = z + F.col(f"{column}_weight")
     terms = F.array(F.concat(F.lit("customer:"), "customer"), F.concat(F.lit("o_orderpriority:"), "o_orderpriority"))
-    each = lookup_join(rows.select("o_orderkey", F.explode(terms).alias("term")), named, ["term"], "inner")
-    chances = each.groupBy("o_orderkey").agg((F.sum("weight") + fit.intercept).alias("z"), F.collect_list("term").alias("terms"))
-    chance = 1 / (1 + F.exp(-F.col("z")))
-    told = chances.select(F.explode("terms").alias("term"), chance.alias("p")).groupBy("term")
+    chance = F.when(F.col("label").isNotNull(), 1 / (1 + F.exp(-z))).otherwise(0.0)
+    told = rows.select(F.explode(terms).alias("term"), chance.alias("p")).groupBy("term")
     return told.agg(F.count("*").alias("n"), F.round(F.sum("p")).cast("long").alias("moment"))
 
 

@@ -63,3 +63,36 @@ def test_no_rows_and_wrong_type(spark, frame):
         wide_glm.fit_wide_binomial(frame.limit(0))
     with pytest.raises(TypeError):
         wide_glm.fit_wide_binomial(spark.createDataFrame([(1.0, [1.0])], ["label", "features"]))
+
+
+def test_own_positions_stay_in_their_tasks(spark, monkeypatch):
+    """Rows with one position of their own next to shared ones: the same fit without a product of vectors as wide as the table."""
+    generator = np.random.default_rng(11)
+    monkeypatch.setattr(wide_glm, "SHARED", 3)
+    data = []
+    for i in range(1_500):
+        group, kind = int(generator.integers(0, 60)), int(generator.integers(0, 3))
+        entries = {kind: 1.0, 3 + group: float(1 + group % 2)} if i % 10 else {kind: 1.0}
+        data.append((float(generator.random() < (0.2 + 0.2 * kind + 0.1 * (group % 4))), Vectors.sparse(63, entries)))
+    frame = spark.createDataFrame(data, ["label", "features"]).repartition(5)
+    with monkeypatch.context() as m:
+        m.setattr(wide_glm, "_fit_shared", lambda *_: None)
+        plain = wide_glm.fit_wide_binomial(frame)
+    monkeypatch.setattr(wide_glm, "_products", None)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        fit = wide_glm.fit_wide_binomial(frame)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert fit.gap <= 1e-8 and (fit.rows, plain.rows) == (1_500, 1_500)
+    assert fit.deviance == pytest.approx(plain.deviance, rel=1e-9)
+    chances = [[f.intercept + v.dot(f.coefficients) for _, v in data] for f in (fit, plain)]
+    assert chances[0] == pytest.approx(chances[1], abs=1e-4)
+
+
+def test_rows_with_several_rare_positions(spark, frame, monkeypatch):
+    whole = wide_glm.fit_wide_binomial(frame)
+    monkeypatch.setattr(wide_glm, "SHARED", 1)
+    some = wide_glm.fit_wide_binomial(frame)
+    assert some.coefficients == pytest.approx(whole.coefficients, abs=1e-6) and some.deviance == pytest.approx(whole.deviance, rel=1e-9)
