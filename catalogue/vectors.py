@@ -284,7 +284,7 @@ SELECT id, other, round(cosine, 6) AS cosine, CAST(rn AS INTEGER) AS rank FROM r
 def q_most_similar_rows(t: Tables) -> DataFrame:
     """The three most similar rows of each, of those with a cosine of at least 0.25."""
     found = row_similarity.similar_rows(t.embeddings, "vec_id", "embedding", 0.25, most=3)
-    return row_similarity.most_similar(found.pairs, 3).withColumn("cosine", F.round("cosine", 6))
+    return row_similarity.most_similar_rows(found, 3).withColumn("cosine", F.round("cosine", 6))
 
 
 PART_CLASSES = """
