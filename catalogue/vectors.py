@@ -271,7 +271,7 @@ p AS (SELECT a.vec_id AS id_a, b.vec_id AS id_b, list_dot_product(a.x, b.x) / sq
 def q_row_cosines(t: Tables) -> DataFrame:
     """Pairs of rows with a cosine of at least 0.35; random directions seldom come nearer."""
     found = row_similarity.similar_rows(t.embeddings, "vec_id", "embedding", 0.35)
-    return found.pairs.withColumn("cosine", F.round("cosine", 6))
+    return row_similarity.row_pairs(found).withColumn("cosine", F.round("cosine", 6))
 
 
 @query(
